@@ -45,18 +45,23 @@ def mask_view(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # One three-point shape per order line on a 64 x 64 frame.
 TRI = """
-tri AS (SELECT l_orderkey AS image_id, l_linenumber AS shape_no,
-               CAST(l_partkey % 64 AS DOUBLE) AS ax, CAST(l_suppkey % 64 AS DOUBLE) AS ay,
-               CAST(trunc(l_quantity) AS DOUBLE) AS bx, round(l_discount * 100) * 6 AS by,
-               CAST(l_linenumber * 8 AS DOUBLE) AS cx, round(l_tax * 100) * 7 AS cy FROM lineitem)"""
+tri AS (SELECT DISTINCT l_orderkey AS image_id, l_returnflag AS form, l_linestatus = 'F' AND l_linenumber = 1 AS ignored,
+               concat_ws('-', l_linenumber, l_partkey, l_suppkey, CAST(trunc(l_quantity) AS BIGINT),
+                         CAST(round(l_discount * 100) AS BIGINT), CAST(round(l_tax * 100) AS BIGINT)) AS shape_no,
+               CAST(l_partkey % 64 AS DOUBLE) AS u1, CAST(l_suppkey % 64 AS DOUBLE) AS v1,
+               CAST(trunc(l_quantity) AS DOUBLE) AS u2, round(l_discount * 100) * 6 AS v2,
+               CAST(l_linenumber * 8 AS DOUBLE) AS u3, round(l_tax * 100) * 7 AS v3 FROM lineitem)"""
 
 
 def shape_view(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Three-point polygons, one per order line."""
+    """Three-point polygons, one per order line; the shape number spells out the geometry."""
     point = lambda x, y: F.struct(x.cast("double").alias("x"), y.cast("double").alias("y"))
     return table(spark, sf_dir, "lineitem").select(
         F.col("l_orderkey").alias("image_id"),
-        F.col("l_linenumber").alias("shape_no"),
+        F.concat_ws(
+            "-", "l_linenumber", "l_partkey", "l_suppkey", F.col("l_quantity").cast("long"),
+            F.round(F.col("l_discount") * 100).cast("long"), F.round(F.col("l_tax") * 100).cast("long"),
+        ).alias("shape_no"),
         F.lit("polygon").alias("shape_type"),
         F.array(
             point(F.col("l_partkey") % 64, F.col("l_suppkey") % 64),
@@ -66,6 +71,7 @@ def shape_view(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(64).alias("height"),
         F.lit(64).alias("width"),
         F.col("l_returnflag").alias("label"),
+        F.when((F.col("l_linestatus") == "F") & (F.col("l_linenumber") == 1), 1).otherwise(0).alias("ignore"),
     )
 
 

@@ -11,10 +11,11 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from defectspark.operators.fill import ring_runs
 from defectspark.operators.masks import merge_runs
+from defectspark.session import spread
 
 POINTS_TYPE = "array<struct<x:double,y:double>>"
-_RUNS_TYPE = "array<struct<y:int,x0:int,x1:int>>"
 
 
 def points_from_flat(flat: Column) -> Column:
@@ -40,18 +41,6 @@ def _whole_points(points: Column) -> Column:
     )
 
 
-def _edges(points: Column) -> Column:
-    """Closed-ring edges ``(xa, ya, xb, yb)``."""
-    closing = F.concat(F.slice(points, 2, F.size(points)), F.slice(points, 1, 1))
-    return F.zip_with(
-        points,
-        closing,
-        lambda a, b: F.struct(
-            a["x"].alias("xa"), a["y"].alias("ya"), b["x"].alias("xb"), b["y"].alias("yb")
-        ),
-    )
-
-
 def _clipped(y: Column, x0: Column, x1: Column, width: Column) -> Column:
     return F.struct(
         y.cast("int").alias("y"),
@@ -66,56 +55,6 @@ def _lines(low: Column, high: Column, height: Column) -> Column:
     return F.when(first <= last, F.sequence(first, last)).otherwise(F.array().cast("array<int>"))
 
 
-def interior_runs(edges: Column, height: Column, width: Column) -> Column:
-    """Even-odd interior: per line, sorted crossings taken in pairs."""
-
-    def crossings(y: Column) -> Column:
-        cut = F.filter(edges, lambda e: (F.least(e["ya"], e["yb"]) <= y) & (y < F.greatest(e["ya"], e["yb"])))
-        return F.array_sort(
-            F.transform(
-                cut, lambda e: e["xa"] + (y - e["ya"]) * (e["xb"] - e["xa"]) / (e["yb"] - e["ya"])
-            )
-        )
-
-    def line(y: Column) -> Column:
-        return F.transform(
-            F.array(crossings(y)),
-            lambda xs: F.transform(
-                F.filter(xs, lambda x, i: i % 2 == 0),
-                lambda x, i: _clipped(y, F.ceil(x), F.floor(F.get(xs, 2 * i + 1)), width),
-            ),
-        )
-
-    low = F.array_min(F.transform(edges, lambda e: e["ya"]))
-    high = F.array_max(F.transform(edges, lambda e: e["ya"]))
-    runs = F.flatten(F.flatten(F.transform(_lines(low, high, height), line)))
-    return F.filter(runs, lambda r: r["x0"] <= r["x1"])
-
-
-def outline_runs(edges: Column, height: Column, width: Column) -> Column:
-    """Pixels of each edge: per line, the part of the edge nearest to that line."""
-
-    def edge(e: Column) -> Column:
-        y_low, y_high = F.least(e["ya"], e["yb"]), F.greatest(e["ya"], e["yb"])
-
-        def x_at(y: Column) -> Column:
-            return e["xa"] + (y - e["ya"]) * (e["xb"] - e["xa"]) / (e["yb"] - e["ya"])
-
-        def line(y: Column) -> Column:
-            above, below = F.greatest(y - 0.5, y_low), F.least(y + 0.5, y_high)
-            flat = y_low == y_high
-            one = F.when(flat, e["xa"]).otherwise(x_at(above))
-            two = F.when(flat, e["xb"]).otherwise(x_at(below))
-            return _clipped(
-                y, F.floor(F.least(one, two) + 0.5), F.floor(F.greatest(one, two) + 0.5), width
-            )
-
-        return F.transform(_lines(y_low, y_high, height), line)
-
-    runs = F.flatten(F.transform(edges, edge))
-    return F.filter(runs, lambda r: r["x0"] <= r["x1"])
-
-
 def rectangle_runs(points: Column, height: Column, width: Column) -> Column:
     a, b = F.get(points, 0), F.get(points, 1)
     lines = _lines(F.least(a["y"], b["y"]), F.greatest(a["y"], b["y"]), height)
@@ -136,36 +75,25 @@ def _thick_line(points: Column, half: float = 1.0) -> Column:
     return F.array(corner(a, 1), corner(b, 1), corner(b, -1), corner(a, -1))
 
 
-def shape_runs(shapes: DataFrame, keys: Sequence[str] = ("image_id", "shape_no")) -> DataFrame:
+def shape_runs(shapes: DataFrame, keys: Sequence[str] = ("image_id", "shape_no"), outline: bool = True) -> DataFrame:
     """Run rows of each shape; runs of one shape may overlap (see ``shape_masks``).
 
     Needs ``shape_type``, ``points``, ``height`` and ``width``. Shapes with too few
     points for their type give no rows.
     """
-    whole = shapes.withColumn("__p", _whole_points(F.col("points"))).withColumn("__n", F.size("__p"))
+    whole = spread(shapes).withColumn("__p", _whole_points(F.col("points"))).withColumn("__n", F.size("__p"))
+    box = F.col("shape_type") == "rectangle"
     open_shape = F.col("shape_type").isin("polygon", "linestrip")
-    outline = (
-        F.when(F.col("shape_type") == "rectangle", F.lit(None).cast(POINTS_TYPE))
+    ring = (
+        F.when(box, F.lit(None).cast(POINTS_TYPE))
         .when(F.col("__n") >= 3, F.col("__p"))
         .when(open_shape & (F.col("__n") == 2), _thick_line(F.col("__p")))
     )
-    ringed = whole.withColumn("__edges", _edges(outline))
-    height, width = F.col("height"), F.col("width")
-    runs = (
-        F.when(
-            F.col("__edges").isNotNull(),
-            F.concat(
-                interior_runs(F.col("__edges"), height, width),
-                outline_runs(F.col("__edges"), height, width),
-            ),
-        )
-        .when(
-            (F.col("shape_type") == "rectangle") & (F.col("__n") >= 2),
-            rectangle_runs(F.col("__p"), height, width),
-        )
-        .otherwise(F.array().cast(_RUNS_TYPE))
-    )
-    return ringed.select(*keys, F.inline(runs))
+    runs = F.when(
+        box & (F.col("__n") >= 2), rectangle_runs(F.col("__p"), F.col("height"), F.col("width"))
+    ).otherwise(F.col("__ring_runs"))
+    filled = whole.withColumn("__ring_runs", ring_runs(ring, F.col("height"), F.col("width"), outline))
+    return filled.select(*keys, F.inline(runs))
 
 
 def shape_masks(shapes: DataFrame, keys: Sequence[str] = ("image_id",)) -> DataFrame:

@@ -16,6 +16,7 @@ def local_session(cores: int | str = "*", app: str = "defectspark") -> SparkSess
         SparkSession.builder.master(f"local[{cores}]")
         .appName(app)
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", "8g")
         .config("spark.sql.shuffle.partitions", shuffle)
         .config("spark.sql.adaptive.enabled", "true")
@@ -37,3 +38,13 @@ def cut_lineage(df: DataFrame) -> DataFrame:
         folder = spark.conf.get(CHECKPOINT_CONF, None) or context.getConf().get(CHECKPOINT_CONF)
         context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="defectspark-ckpt-"))
     return df.checkpoint(eager=True)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Use every core before an expanding step when the input has too few partitions.
+
+    Moves only the compact input rows, and only for small inputs: a large scan already
+    has more partitions than cores and is returned unchanged.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
