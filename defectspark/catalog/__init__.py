@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-GROUPS = ["masks"]
+GROUPS = ["masks", "splits"]
 
 
 def load():

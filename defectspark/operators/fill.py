@@ -51,7 +51,21 @@ def _runs_of(shape, xa, ya, xb, yb, h, w, interior: bool, outline: bool):
     limit[shape] = w - 1
     x0, x1 = np.maximum(x0, 0), np.minimum(x1, limit[s])
     keep = x0 <= x1
-    return s[keep], y[keep], x0[keep], x1[keep]
+    return _islands(s[keep], y[keep].astype(np.int64), x0[keep], x1[keep])
+
+
+def _islands(s, y, x0, x1):
+    """Union of overlapping or adjacent runs per (shape, line): fewer rows leave the step."""
+    if s.size == 0:
+        return s, y, x0, x1
+    line = s * (int(y.max()) + 1) + y
+    order = np.lexsort((x0, line))
+    s, y, x0, x1, line = s[order], y[order], x0[order], x1[order], line[order]
+    stride = int(x1.max()) + 3
+    reach = np.maximum.accumulate(line * stride + x1)
+    opens = np.concatenate([[True], line[1:] * stride + x0[1:] > reach[:-1] + 1])
+    first = np.flatnonzero(opens)
+    return s[first], y[first], x0[first], np.maximum.reduceat(x1, first)
 
 
 def _fill(points: pa.Array, height: pa.Array, width: pa.Array, interior: bool, outline: bool) -> pa.Array:
@@ -80,11 +94,9 @@ def _fill(points: pa.Array, height: pa.Array, width: pa.Array, interior: bool, o
         s, ry, x0, x1 = (np.concatenate(p) for p in zip(*pieces))
     else:
         s = ry = x0 = x1 = np.zeros(0)
-    s = s.astype(np.int64)
-    order = np.argsort(s, kind="stable")
-    offsets = np.concatenate([[0], np.cumsum(np.bincount(s, minlength=n))]).astype(np.int32)
+    offsets = np.concatenate([[0], np.cumsum(np.bincount(s.astype(np.int64), minlength=n))]).astype(np.int32)
     runs = pa.StructArray.from_arrays(
-        [pa.array(v[order].astype(np.int32)) for v in (ry, x0, x1)], ["y", "x0", "x1"]
+        [pa.array(v.astype(np.int32)) for v in (ry, x0, x1)], ["y", "x0", "x1"]
     )
     return pa.ListArray.from_arrays(pa.array(offsets), runs)
 
