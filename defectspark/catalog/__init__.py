@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-GROUPS = ["masks", "splits"]
+GROUPS = ["masks", "splits", "metrics", "results", "lake", "corpus"]
 
 
 def load():

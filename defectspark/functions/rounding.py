@@ -25,8 +25,8 @@ def half_even(value: Column) -> Column:
 
 
 def fixed_text(value: Column, digits: int) -> Column:
-    """Number with ``digits`` decimals; binary ties go to the even digit."""
-    return F.format_string(f"%.{digits}f", F.bround(value, digits))
+    """Number with ``digits`` decimals, ties to the even digit; null stays null."""
+    return F.when(value.isNotNull(), F.format_string(f"%.{digits}f", F.bround(value, digits)))
 
 
 def lenient_fixed_text(value: Column, digits: int = 4, missing: str = "N/A") -> Column:
