@@ -95,10 +95,15 @@ def unknown_report_keys(df: DataFrame, document: str, keys: Sequence[str]) -> Da
     for path, names in allowed.items():
         present = F.map_keys(F.try_variant_get(F.col(document), path, "map<string,variant>"))
         extra = F.array_except(present, F.array(*[F.lit(n) for n in names]))
-        found.append(F.transform(F.coalesce(extra, F.array().cast("array<string>")), lambda k, p=path: F.concat(F.lit(p + "."), k)))
+        prefix = F.lit(path + ".")
+        found.append(_prefixed(F.coalesce(extra, F.array().cast("array<string>")), prefix))
     return df.select(*keys, F.explode(F.flatten(F.array(*found))).alias("unknown_key"))
 
 
+def _prefixed(names: Column, prefix: Column) -> Column:
+    return F.transform(names, lambda name: F.concat(prefix, name))
+
+
 def agreement_rules() -> dict[str, Column]:
     """Grounding against report, and both against the membership row."""
     g, r = F.col("grounding"), F.col("report")
