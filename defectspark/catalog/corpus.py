@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from defectspark.catalog.masks import CROP, FACTS, PCT, facts_view, reports_view, template_view
 from defectspark.catalog.registry import query, table
@@ -172,7 +173,7 @@ def _hashes(spark, sf_dir):
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", R.contract_hash(text).alias("digest"))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _shout(text: pd.Series) -> pd.Series:
     return text.str.upper()
 
@@ -189,7 +190,7 @@ def _enriched(spark, sf_dir):
     return enriched.select("image_id", F.col("report.description").alias("description"), (broken[0] + broken[1]).alias("n_violations"))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def _peak_gap(generated: pd.Series, clean: pd.Series, mask: pd.Series) -> pd.Series:
     return pd.Series([float(max(g)) - float(max(c)) + 0.0 * len(m) for g, c, m in zip(generated, clean, mask)])
 
@@ -202,7 +203,7 @@ def _custom(spark, sf_dir):
     return N.score_candidates(vectors, _peak_gap).select("vec_id", F.round("score", 6).alias("score"))
 
 
-@F.pandas_udf("int")
+@F.pandas_udf(T.IntegerType())
 def _word_count(text: pd.Series) -> pd.Series:
     return text.str.findall("[A-Za-z0-9]+").str.len().astype("int32")
 

@@ -75,11 +75,12 @@ def collect_masks(runs: DataFrame, images: DataFrame) -> DataFrame:
 def merge_runs(runs: DataFrame, keys: Sequence[str] = ("image_id",)) -> DataFrame:
     """Union of overlapping or adjacent runs per (image, row): gaps and islands.
 
-    Runs that start at one column are merged first, so a window never holds more rows
-    than the image is wide, however many shapes overlap.
+    One shuffle, keyed by line, so even a single huge image is spread over its lines. Runs
+    that start at one column are merged first: a window never holds more rows than the
+    image is wide, however many shapes overlap.
     """
     line = [*keys, "y"]
-    starts = runs.groupBy(*line, "x0").agg(F.max("x1").alias("x1"))
+    starts = runs.repartition(*line).groupBy(*line, "x0").agg(F.max("x1").alias("x1"))
     by_start = Window.partitionBy(*line).orderBy("x0")
     reach = F.max("x1").over(by_start.rowsBetween(Window.unboundedPreceding, -1))
     opened = starts.withColumn(
@@ -97,26 +98,44 @@ def merge_runs(runs: DataFrame, keys: Sequence[str] = ("image_id",)) -> DataFram
 # --- measures --------------------------------------------------------------------
 
 
+def _once(df: DataFrame, *columns: Column) -> DataFrame:
+    """Adds columns that are computed once per row, however often they are used later.
+
+    The optimizer copies expressions into filters and later projections; it does not copy
+    them across a generator, here a one-element ``inline``.
+    """
+    return df.select("*", F.inline(F.array(F.struct(*columns))))
+
+
 def with_extent(masks: DataFrame) -> DataFrame:
     """Adds area, bounding extent and pixel means; extents are null for an empty mask."""
-    total = lambda f: F.aggregate("runs", F.lit(0).cast("long"), lambda acc, r: acc + f(r))
-    length = lambda r: (r["x1"] - r["x0"] + 1).cast("long")
-    area = total(length)
-    return masks.withColumns(
-        {
-            "area": area,
-            "x_min": F.array_min(F.transform("runs", lambda r: r["x0"])),
-            "y_min": F.array_min(F.transform("runs", lambda r: r["y"])),
-            "x_max": F.array_max(F.transform("runs", lambda r: r["x1"])),
-            "y_max": F.array_max(F.transform("runs", lambda r: r["y"])),
-            "sum_2x": total(lambda r: (r["x0"] + r["x1"]) * length(r)),
-            "sum_y": total(lambda r: r["y"] * length(r)),
-        }
-    ).select(
-        "*",
-        F.when(F.col("area") > 0, F.col("sum_2x") / 2.0 / F.col("area")).alias("mean_x"),
-        F.when(F.col("area") > 0, F.col("sum_y") / F.col("area")).alias("mean_y"),
-    ).drop("sum_2x", "sum_y")
+    none, zero = F.lit(None).cast("int"), F.lit(0).cast("long")
+    start = F.struct(
+        zero.alias("area"), none.alias("x_min"), none.alias("y_min"), none.alias("x_max"), none.alias("y_max"),
+        zero.alias("twice_x"), zero.alias("sum_y"),
+    )
+
+    def add(acc: Column, r: Column) -> Column:
+        length = (r["x1"] - r["x0"] + 1).cast("long")
+        return F.struct(
+            (acc["area"] + length).alias("area"),
+            F.least(acc["x_min"], r["x0"]).alias("x_min"),
+            F.least(acc["y_min"], r["y"]).alias("y_min"),
+            F.greatest(acc["x_max"], r["x1"]).alias("x_max"),
+            F.greatest(acc["y_max"], r["y"]).alias("y_max"),
+            (acc["twice_x"] + (r["x0"] + r["x1"]) * length).alias("twice_x"),
+            (acc["sum_y"] + r["y"] * length).alias("sum_y"),
+        )
+
+    summed = _once(masks, F.aggregate("runs", start, add).alias("__e"))
+    area = F.nullif("__e.area", zero)
+    measured = ["area", "x_min", "y_min", "x_max", "y_max"]
+    return summed.select(
+        *[c for c in masks.columns if c not in [*measured, "mean_x", "mean_y"]],
+        *[F.col(f"__e.{c}").alias(c) for c in measured],
+        (F.col("__e.twice_x") / 2.0 / area).alias("mean_x"),
+        (F.col("__e.sum_y") / area).alias("mean_y"),
+    )
 
 
 def ground_masks(
@@ -130,8 +149,7 @@ def ground_masks(
     The box spans all parts; the centroid belongs to the largest 8-connected part. An
     empty mask gives null geometry, zero area and level ``none``.
     """
-    part = largest_component(F.col("runs"))
-    wide = with_extent(masks).withColumn("__part", part)
+    wide = with_extent(masks).withColumn("__part", largest_component(F.col("runs")))
     share = 100.0 * F.col("area") / (F.col("height").cast("long") * F.col("width"))
     wide = wide.withColumn("area_pct", F.least(F.greatest(share, F.lit(0.0)), F.lit(100.0)))
     present = F.col("area") > 0
@@ -159,8 +177,7 @@ def with_crop(masks: DataFrame, size: int) -> DataFrame:
     window = crop_window(
         size, *[F.col(c) for c in ("width", "height", "x_min", "y_min", "x_max", "y_max", "mean_x", "mean_y")]
     )
-    keep = [c for c in masks.columns]
-    return wide.select(*keep, window.alias("crop"))
+    return _once(wide, window.alias("crop")).select(*masks.columns, "crop")
 
 
 def crop_eligibility(cropped: DataFrame, group: str) -> DataFrame:
@@ -218,7 +235,7 @@ def crop_masks(cropped: DataFrame, size: int) -> DataFrame:
     side = F.lit(size)
     scaled = resize_runs(F.col("__local"), crop["crop_w"], crop["crop_h"], side, side)
     return (
-        kept.withColumn("__local", local)
+        _once(kept, local.alias("__local"))
         .withColumn("runs", F.when(crop["resized"], scaled).otherwise(F.col("__local")))
         .withColumn("height", side)
         .withColumn("width", side)
@@ -335,15 +352,11 @@ def object_rectangles(
     wide = with_extent(masks)
     box_w = F.col("x_max") - F.col("x_min") + 1
     box_h = F.col("y_max") - F.col("y_min") + 1
-    wide = wide.withColumns({"__bw": box_w.cast("long"), "__bh": box_h.cast("long")}).withColumn(
-        "__options",
-        F.when(
-            F.col("area") > 0,
-            feasible_rectangle_heights(
-                F.col("__bw"), F.col("__bh"), F.col("width"), F.col("height"), min_scale, max_scale
-            ),
-        ),
+    wide = wide.withColumns({"__bw": box_w.cast("long"), "__bh": box_h.cast("long")})
+    options = feasible_rectangle_heights(
+        F.col("__bw"), F.col("__bh"), F.col("width"), F.col("height"), min_scale, max_scale
     )
+    wide = _once(wide, F.when(F.col("area") > 0, options).alias("__options"))
 
     def pick(label: str, low: Column, high: Column) -> Column:
         text = F.sha2(F.concat_ws("|", F.lit(f"{seed}|{label}"), F.col(key).cast("string")), 256)
@@ -375,7 +388,7 @@ def object_rectangles(
         .otherwise("infeasible")
     )
     return wide.select(
-        *masks.columns,
+        *[c for c in masks.columns if c != "area"],
         F.col("area"),
         F.col("__bw").alias("box_w"),
         F.col("__bh").alias("box_h"),

@@ -32,7 +32,10 @@ def violations(df: DataFrame, keys: Sequence[str], rules: Mapping[str, Column])
     broken = F.array_compact(
         F.array(*[F.when(F.coalesce(bad, F.lit(False)), F.lit(name)) for name, bad in rules.items()])
     )
-    return df.select(*keys, F.explode(broken).alias("rule"))
+    # The list is a column of its own: exploding an expression over every field of one
+    # struct loses rows in Spark 4.1 (nested column pruning below a generator).
+    listed = df.select(*keys, broken.alias("__broken"))
+    return listed.select(*keys, F.explode("__broken").alias("rule"))
 
 
 def require_none(found: DataFrame, sample: int = 5) -> None:

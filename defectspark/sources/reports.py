@@ -87,9 +87,9 @@ def write_mask_manifest(manifest: DataFrame, path: str) -> None:
     flat.write.mode("overwrite").option("header", "true").csv(path)
 
 
-def read_split_manifest(spark: SparkSession, path: str) -> DataFrame:
-    """Nested split documents as one row per sample."""
-    text = spark.read.text(path, wholetext=True)
+def read_split_manifest(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """Nested split documents as one row per sample: one document per file, or per line."""
+    text = spark.read.text(path, wholetext=not lines)
     categories = text.select(F.explode(F.from_json("value", _MANIFEST)).alias("category", "m"))
     splits = categories.select(
         F.col("m.dataset_name").alias("dataset"), "category", F.explode("m.splits").alias("split", "entries")
