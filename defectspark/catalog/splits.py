@@ -156,7 +156,9 @@ def _eligible(spark, sf_dir):
 def _spaced(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "n_chars")
     order = [F.col("n_chars"), F.col("doc_id")]
-    return S.spaced_picks(docs, ["lang"], order, K.value_bucket(F.col("n_chars")), 8)
+    # Many documents may share a length, so the bucket goes on with the key.
+    bucket = F.struct("n_chars", K.step_bucket(F.col("doc_id")).alias("step"))
+    return S.spaced_picks(docs, ["lang"], order, bucket, 8)
 
 
 @query(

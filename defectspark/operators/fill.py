@@ -51,11 +51,11 @@ def _runs_of(shape, xa, ya, xb, yb, h, w, interior: bool, outline: bool):
     limit[shape] = w - 1
     x0, x1 = np.maximum(x0, 0), np.minimum(x1, limit[s])
     keep = x0 <= x1
-    return _islands(s[keep], y[keep].astype(np.int64), x0[keep], x1[keep])
+    return s[keep], y[keep].astype(np.int64), x0[keep], x1[keep]
 
 
 def _islands(s, y, x0, x1):
-    """Union of overlapping or adjacent runs per (shape, line): fewer rows leave the step."""
+    """Union of overlapping or adjacent runs per (row, line): fewer runs leave the step."""
     if s.size == 0:
         return s, y, x0, x1
     line = s * (int(y.max()) + 1) + y
@@ -68,47 +68,53 @@ def _islands(s, y, x0, x1):
     return s[first], y[first], x0[first], np.maximum.reduceat(x1, first)
 
 
-def _fill(points: pa.Array, height: pa.Array, width: pa.Array, interior: bool, outline: bool) -> pa.Array:
-    n = len(points)
-    size = points.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
-    flat = points.flatten()
+def _ints(values: pa.Array) -> np.ndarray:
+    return values.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+
+
+def _fill(rings: pa.Array, owner: np.ndarray, height: pa.Array, width: pa.Array, interior=True, outline=True) -> pa.Array:
+    """Runs per input row; ``owner`` is the row that each ring belongs to."""
+    rows = len(height)
+    size = _ints(rings.value_lengths())
+    flat = rings.flatten()
     x, y = (flat.field(f).to_numpy(zero_copy_only=False).astype(float) for f in ("x", "y"))
     end = np.cumsum(size)
     following = np.arange(x.size) + 1
     following[end[size > 0] - 1] = (end - size)[size > 0]
-    shape = np.repeat(np.arange(n), size)
-    h = height.to_numpy(zero_copy_only=False).astype(float)
-    w = width.to_numpy(zero_copy_only=False).astype(float)
+    shape = np.repeat(np.arange(size.size), size)
+    h, w = _ints(height).astype(float)[owner], _ints(width).astype(float)[owner]
     xa, ya, xb, yb = x, y, x[following], y[following]
-    lines = np.bincount(shape, np.abs(yb - ya) + 1, n) if x.size else np.zeros(n)
+    lines = np.bincount(shape, np.abs(yb - ya) + 1, size.size)
     step = (np.cumsum(lines) // _LINES_PER_STEP).astype(np.int64)
     pieces = []
     for number in np.unique(step[size > 0]):
         sel = step[shape] == number
-        pieces.append(
-            _runs_of(
-                shape[sel], xa[sel], ya[sel], xb[sel], yb[sel], h[shape[sel]], w[shape[sel]], interior, outline
-            )
-        )
+        part = shape[sel]
+        pieces.append(_runs_of(part, xa[sel], ya[sel], xb[sel], yb[sel], h[part], w[part], interior, outline))
     if pieces:
         s, ry, x0, x1 = (np.concatenate(p) for p in zip(*pieces))
+        s, ry, x0, x1 = _islands(owner[s.astype(np.int64)], ry, x0, x1)
     else:
         s = ry = x0 = x1 = np.zeros(0)
-    offsets = np.concatenate([[0], np.cumsum(np.bincount(s.astype(np.int64), minlength=n))]).astype(np.int32)
-    runs = pa.StructArray.from_arrays(
-        [pa.array(v.astype(np.int32)) for v in (ry, x0, x1)], ["y", "x0", "x1"]
-    )
+    offsets = np.concatenate([[0], np.cumsum(np.bincount(s.astype(np.int64), minlength=rows))]).astype(np.int32)
+    runs = pa.StructArray.from_arrays([pa.array(v.astype(np.int32)) for v in (ry, x0, x1)], ["y", "x0", "x1"])
     return pa.ListArray.from_arrays(pa.array(offsets), runs)
 
 
 @arrow_udf(T.ArrayType(_RUN))
 def _interior(points: pa.Array, height: pa.Array, width: pa.Array) -> pa.Array:
-    return _fill(points, height, width, True, False)
+    return _fill(points, np.arange(len(points)), height, width, outline=False)
 
 
 @arrow_udf(T.ArrayType(_RUN))
 def _filled(points: pa.Array, height: pa.Array, width: pa.Array) -> pa.Array:
-    return _fill(points, height, width, True, True)
+    return _fill(points, np.arange(len(points)), height, width)
+
+
+@arrow_udf(T.ArrayType(_RUN))
+def _union(rings: pa.Array, height: pa.Array, width: pa.Array) -> pa.Array:
+    owner = np.repeat(np.arange(len(rings)), _ints(rings.value_lengths()))
+    return _fill(rings.flatten(), owner, height, width)
 
 
 def ring_runs(points: Column, height: Column, width: Column, outline: bool = True) -> Column:
@@ -119,3 +125,8 @@ def ring_runs(points: Column, height: Column, width: Column, outline: bool = Tru
     """
     # Marked so that the filter inferred from a later ``inline`` does not run it twice.
     return (_filled if outline else _interior).asNondeterministic()(points, height, width)
+
+
+def ring_union(rings: Column, height: Column, width: Column) -> Column:
+    """Merged run array of all rings of one image, held in one row: no shuffle at all."""
+    return _union.asNondeterministic()(rings, height, width)

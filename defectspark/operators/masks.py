@@ -98,7 +98,7 @@ def merge_runs(runs: DataFrame, keys: Sequence[str] = ("image_id",)) -> DataFram
 # --- measures --------------------------------------------------------------------
 
 
-def _once(df: DataFrame, *columns: Column) -> DataFrame:
+def compute_once(df: DataFrame, *columns: Column) -> DataFrame:
     """Adds columns that are computed once per row, however often they are used later.
 
     The optimizer copies expressions into filters and later projections; it does not copy
@@ -127,7 +127,7 @@ def with_extent(masks: DataFrame) -> DataFrame:
             (acc["sum_y"] + r["y"] * length).alias("sum_y"),
         )
 
-    summed = _once(masks, F.aggregate("runs", start, add).alias("__e"))
+    summed = compute_once(masks, F.aggregate("runs", start, add).alias("__e"))
     area = F.nullif("__e.area", zero)
     measured = ["area", "x_min", "y_min", "x_max", "y_max"]
     return summed.select(
@@ -177,7 +177,7 @@ def with_crop(masks: DataFrame, size: int) -> DataFrame:
     window = crop_window(
         size, *[F.col(c) for c in ("width", "height", "x_min", "y_min", "x_max", "y_max", "mean_x", "mean_y")]
     )
-    return _once(wide, window.alias("crop")).select(*masks.columns, "crop")
+    return compute_once(wide, window.alias("crop")).select(*masks.columns, "crop")
 
 
 def crop_eligibility(cropped: DataFrame, group: str) -> DataFrame:
@@ -235,7 +235,7 @@ def crop_masks(cropped: DataFrame, size: int) -> DataFrame:
     side = F.lit(size)
     scaled = resize_runs(F.col("__local"), crop["crop_w"], crop["crop_h"], side, side)
     return (
-        _once(kept, local.alias("__local"))
+        compute_once(kept, local.alias("__local"))
         .withColumn("runs", F.when(crop["resized"], scaled).otherwise(F.col("__local")))
         .withColumn("height", side)
         .withColumn("width", side)
@@ -356,7 +356,7 @@ def object_rectangles(
     options = feasible_rectangle_heights(
         F.col("__bw"), F.col("__bh"), F.col("width"), F.col("height"), min_scale, max_scale
     )
-    wide = _once(wide, F.when(F.col("area") > 0, options).alias("__options"))
+    wide = compute_once(wide, F.when(F.col("area") > 0, options).alias("__options"))
 
     def pick(label: str, low: Column, high: Column) -> Column:
         text = F.sha2(F.concat_ws("|", F.lit(f"{seed}|{label}"), F.col(key).cast("string")), 256)

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from defectspark.operators.ranking import exact_percentiles, exact_rank, running_sums, value_bucket
+from defectspark.operators.ranking import exact_percentiles, exact_rank, join_groups, running_sums, value_bucket
 
 # --- detection scores ---------------------------------------------------------------
 
@@ -77,7 +77,7 @@ def percentile_filter(df: DataFrame, group: Sequence[str], score: str = "score",
     if not 0.0 <= percentile <= 100.0:
         raise ValueError("percentile must lie in [0, 100]")
     cuts = exact_percentiles(df, group, score, {"threshold": percentile / 100.0})
-    return df.join(cuts, list(group)).withColumn("accepted", F.col(score) >= F.col("threshold"))
+    return join_groups(df, cuts, group).withColumn("accepted", F.col(score) >= F.col("threshold"))
 
 
 def nonfinite_scores(df: DataFrame, keys: Sequence[str], score: str = "score") -> DataFrame:
@@ -424,9 +424,9 @@ def quality_flags(
     )
     spread = F.col("q3") - F.col("q1")
     fence = quartiles.select(
-        "__all",
-        (F.col("q1") - multiplier * spread).alias("fence_low"),
-        (F.col("q3") + multiplier * spread).alias("fence_high"),
+        F.struct(
+            (F.col("q1") - multiplier * spread).alias("low"), (F.col("q3") + multiplier * spread).alias("high")
+        )
     )
     flags = F.array_compact(
         F.array(
@@ -435,11 +435,12 @@ def quality_flags(
             F.when((F.col(kid) < F.col("fence_low")) | (F.col(kid) > F.col("fence_high")), "KID_OUTLIER"),
         )
     )
-    # The fence is a single row, so the join moves nothing but that row.
-    joined = rows.crossJoin(F.broadcast(fence.drop("__all").limit(1)))
-    return joined.withColumn(
-        "flags", F.when(F.size(flags) == 0, "OK").otherwise(F.array_join(flags, ","))
+    fenced = rows.withColumn("__fence", fence.scalar()).withColumns(
+        {"fence_low": F.col("__fence.low"), "fence_high": F.col("__fence.high")}
     )
+    return fenced.withColumn(
+        "flags", F.when(F.size(flags) == 0, "OK").otherwise(F.array_join(flags, ","))
+    ).drop("__fence")
 
 
 def fidelity_rows(

@@ -41,29 +41,6 @@ def _whole_points(points: Column) -> Column:
     )
 
 
-def _clipped(y: Column, x0: Column, x1: Column, width: Column) -> Column:
-    return F.struct(
-        y.cast("int").alias("y"),
-        F.greatest(x0, F.lit(0.0)).cast("int").alias("x0"),
-        F.least(x1, (width - 1).cast("double")).cast("int").alias("x1"),
-    )
-
-
-def _lines(low: Column, high: Column, height: Column) -> Column:
-    first = F.greatest(low, F.lit(0.0)).cast("int")
-    last = F.least(high, (height - 1).cast("double")).cast("int")
-    return F.when(first <= last, F.sequence(first, last)).otherwise(F.array().cast("array<int>"))
-
-
-def rectangle_runs(points: Column, height: Column, width: Column) -> Column:
-    a, b = F.get(points, 0), F.get(points, 1)
-    lines = _lines(F.least(a["y"], b["y"]), F.greatest(a["y"], b["y"]), height)
-    runs = F.transform(
-        lines, lambda y: _clipped(y, F.least(a["x"], b["x"]), F.greatest(a["x"], b["x"]), width)
-    )
-    return F.filter(runs, lambda r: r["x0"] <= r["x1"])
-
-
 def _thick_line(points: Column, half: float = 1.0) -> Column:
     """Corners of the band around a two-point line, three pixels wide by default."""
     a, b = F.get(points, 0), F.get(points, 1)
@@ -75,25 +52,32 @@ def _thick_line(points: Column, half: float = 1.0) -> Column:
     return F.array(corner(a, 1), corner(b, 1), corner(b, -1), corner(a, -1))
 
 
+def shape_ring(shape_type: Column, points: Column) -> Column:
+    """Ring of whole-pixel vertices that covers a shape; null with too few points."""
+    whole = _whole_points(points)
+    count = F.size(points)
+    a, b = F.get(whole, 0), F.get(whole, 1)
+    corner = lambda x, y: F.struct(x(a["x"], b["x"]).alias("x"), y(a["y"], b["y"]).alias("y"))
+    box = F.array(
+        corner(F.least, F.least), corner(F.greatest, F.least),
+        corner(F.greatest, F.greatest), corner(F.least, F.greatest),
+    )
+    return (
+        F.when(shape_type == "rectangle", F.when(count >= 2, box))
+        .when(count >= 3, whole)
+        .when(shape_type.isin("polygon", "linestrip") & (count == 2), _thick_line(whole))
+    )
+
+
 def shape_runs(shapes: DataFrame, keys: Sequence[str] = ("image_id", "shape_no"), outline: bool = True) -> DataFrame:
-    """Run rows of each shape; runs of one shape may overlap (see ``shape_masks``).
+    """Run rows of each shape.
 
     Needs ``shape_type``, ``points``, ``height`` and ``width``. Shapes with too few
     points for their type give no rows.
     """
-    whole = spread(shapes).withColumn("__p", _whole_points(F.col("points"))).withColumn("__n", F.size("__p"))
-    box = F.col("shape_type") == "rectangle"
-    open_shape = F.col("shape_type").isin("polygon", "linestrip")
-    ring = (
-        F.when(box, F.lit(None).cast(POINTS_TYPE))
-        .when(F.col("__n") >= 3, F.col("__p"))
-        .when(open_shape & (F.col("__n") == 2), _thick_line(F.col("__p")))
-    )
-    runs = F.when(
-        box & (F.col("__n") >= 2), rectangle_runs(F.col("__p"), F.col("height"), F.col("width"))
-    ).otherwise(F.col("__ring_runs"))
-    filled = whole.withColumn("__ring_runs", ring_runs(ring, F.col("height"), F.col("width"), outline))
-    return filled.select(*keys, F.inline(runs))
+    ring = shape_ring(F.col("shape_type"), F.col("points"))
+    filled = spread(shapes).withColumn("__runs", ring_runs(ring, F.col("height"), F.col("width"), outline))
+    return filled.select(*keys, F.inline("__runs"))
 
 
 def shape_masks(shapes: DataFrame, keys: Sequence[str] = ("image_id",)) -> DataFrame:

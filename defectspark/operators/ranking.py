@@ -4,7 +4,10 @@ A window over one huge group runs in one task. These operators split every group
 into order-preserving buckets, count the buckets (map-side combined), turn the
 counts into offsets, and sort only inside ``(group, bucket)``. The bucket is a
 pure function of the row, so both passes agree without a checkpoint. Results
-equal the plain window; group columns must not be null.
+equal the plain window.
+
+Group columns travel as one struct: two structs with null fields are equal, so rows with
+a null group stay, which a join on the plain columns would drop.
 """
 
 from __future__ import annotations
@@ -14,7 +17,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-_BUCKET, _BEFORE, _SIZE, _N = "__bucket", "__before", "__size", "__n"
+_GROUP, _BUCKET, _BEFORE, _SIZE, _N = "__group", "__bucket", "__before", "__size", "__n"
 
 
 def hash_order(seed: int | str, *keys: Column) -> Column:
@@ -22,7 +25,7 @@ def hash_order(seed: int | str, *keys: Column) -> Column:
     return F.sha2(F.concat_ws("|", F.lit(str(seed)), *[k.cast("string") for k in keys]), 256)
 
 
-def hash_bucket(order_key: Column, digits: int = 3) -> Column:
+def hash_bucket(order_key: Column, digits: int = 4) -> Column:
     """Leading hex digits of a hash key: uniform and order preserving."""
     return F.substring(order_key, 1, digits)
 
@@ -66,13 +69,20 @@ def sampled_bucket(df: DataFrame, key: Column, buckets: int = 64, per_bucket: in
     return F.size(F.filter(cuts, lambda cut: cut < key))
 
 
-def _offsets(counts: DataFrame, group: Sequence[str], sums: Sequence[str], descending: bool) -> DataFrame:
+def join_groups(left: DataFrame, right: DataFrame, group: Sequence[str]) -> DataFrame:
+    """Inner join on group columns that keeps null groups; ``right`` adds its other columns."""
+    key = F.struct(*group)
+    table = right.select(key.alias(_GROUP), *[c for c in right.columns if c not in group])
+    return left.withColumn(_GROUP, key).join(table, _GROUP).drop(_GROUP)
+
+
+def _offsets(counts: DataFrame, sums: Sequence[str], descending: bool) -> DataFrame:
     """Per (group, bucket): the sums over all earlier buckets and over the group."""
     order = F.col(_BUCKET).desc() if descending else F.col(_BUCKET).asc()
-    earlier = Window.partitionBy(*group).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    whole = Window.partitionBy(*group)
+    earlier = Window.partitionBy(_GROUP).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    whole = Window.partitionBy(_GROUP)
     return counts.select(
-        *group,
+        _GROUP,
         _BUCKET,
         *[F.coalesce(F.sum(s).over(earlier), F.lit(0)).alias(f"{_BEFORE}_{s}") for s in sums],
         *[F.sum(s).over(whole).alias(f"{_SIZE}_{s}") for s in sums],
@@ -93,20 +103,20 @@ def exact_rank(
     ``order`` must be a total order that ``bucket`` respects. ``size`` adds the group
     size. ``keep`` drops buckets that start past that rank before rows are moved.
     """
-    base = df.withColumn(_BUCKET, bucket)
-    counts = base.groupBy(*group, _BUCKET).agg(F.count(F.lit(1)).alias(_N))
-    offsets = _offsets(counts, group, [_N], descending=False)
+    base = df.withColumn(_GROUP, F.struct(*group)).withColumn(_BUCKET, bucket)
+    counts = base.groupBy(_GROUP, _BUCKET).agg(F.count(F.lit(1)).alias(_N))
+    offsets = _offsets(counts, [_N], descending=False)
     if keep is not None:
         offsets = offsets.where(F.col(f"{_BEFORE}_{_N}") < keep)
-    inside = Window.partitionBy(*group, _BUCKET).orderBy(*order)
-    ranked = base.join(offsets, [*group, _BUCKET]).withColumn(
+    inside = Window.partitionBy(_GROUP, _BUCKET).orderBy(*order)
+    ranked = base.join(offsets, [_GROUP, _BUCKET]).withColumn(
         rank, (F.row_number().over(inside) + F.col(f"{_BEFORE}_{_N}")).cast("long")
     )
     if keep is not None:
         ranked = ranked.where(F.col(rank) <= keep)
     if size is not None:
         ranked = ranked.withColumn(size, F.col(f"{_SIZE}_{_N}"))
-    return ranked.drop(_BUCKET, f"{_BEFORE}_{_N}", f"{_SIZE}_{_N}")
+    return ranked.drop(_GROUP, _BUCKET, f"{_BEFORE}_{_N}", f"{_SIZE}_{_N}")
 
 
 def running_sums(
@@ -123,17 +133,17 @@ def running_sums(
     values are merged first, so ties and repeated values never pile up.
     """
     names = list(sums)
-    merged = df.groupBy(*group, value).agg(*[c.alias(n) for n, c in sums.items()])
+    merged = df.groupBy(F.struct(*group).alias(_GROUP), value).agg(*[c.alias(n) for n, c in sums.items()])
     merged = merged.withColumn(_BUCKET, bucket)
-    counts = merged.groupBy(*group, _BUCKET).agg(*[F.sum(n).alias(n) for n in names])
-    offsets = _offsets(counts, group, names, descending)
+    counts = merged.groupBy(_GROUP, _BUCKET).agg(*[F.sum(n).alias(n) for n in names])
+    offsets = _offsets(counts, names, descending)
     order = F.col(value).desc() if descending else F.col(value).asc()
     earlier = (
-        Window.partitionBy(*group, _BUCKET).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+        Window.partitionBy(_GROUP, _BUCKET).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
     )
-    joined = merged.join(offsets, [*group, _BUCKET])
+    joined = merged.join(offsets, [_GROUP, _BUCKET])
     return joined.select(
-        *group,
+        *[F.col(f"{_GROUP}.{g}").alias(g) for g in group],
         value,
         *names,
         *[

@@ -75,8 +75,8 @@ def section_table(df: DataFrame, dataset: str, category: str, values: Sequence[s
         F.col(dataset).alias("dataset"), F.lit("MEAN").alias("category"),
         *[F.coalesce(fixed_text(F.col(v), digits), F.lit("N/A")).alias(v) for v in values],
     )
-    last = means.agg(F.max(dataset).alias("__last"))
-    dividers = means.join(last, means[dataset] < F.col("__last")).select(
+    last = df.agg(F.max(dataset)).scalar()
+    dividers = means.where(F.col(dataset) < last).select(
         F.col(dataset).alias("section"), F.lit(2).alias("place"), F.lit("").alias("sort_name"),
         F.lit("").alias("dataset"), F.lit("").alias("category"), *[F.lit("").alias(v) for v in values],
     )

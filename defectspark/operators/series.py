@@ -10,7 +10,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from defectspark.operators.ranking import exact_rank, time_bucket
+from defectspark.operators.ranking import exact_rank, join_groups, time_bucket
 
 
 def numbered(df: DataFrame, group: Sequence[str], order: Sequence[Column], bucket: Column) -> DataFrame:
@@ -43,7 +43,7 @@ def throughput(series: DataFrame, group: Sequence[str], ts: str) -> DataFrame:
     micros = F.unix_micros(F.col(ts).cast("timestamp"))
     started = series.groupBy(*group).agg(F.min(micros).alias("__start"))
     seconds = (micros - F.col("__start")) / F.lit(1e6)
-    return series.join(started, list(group)).select(
+    return join_groups(series, started, group).select(
         *series.columns, (F.col("step") / F.nullif(seconds, F.lit(0.0))).alias("per_second")
     )
 

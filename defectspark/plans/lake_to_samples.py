@@ -8,9 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from defectspark.operators import lake as L
-from defectspark.operators.polygons import shape_masks
 from defectspark.operators.splits import truncated_split
-from defectspark.sources.annotations import document_frame_size, extract_shapes, parse_documents
+from defectspark.sources.annotations import document_frame_size, document_masks, extract_shapes, parse_documents
 from defectspark.sources.images import probe_images, read_images
 from defectspark.sources.inventory import read_inventory
 
@@ -41,14 +40,13 @@ def routed_files(files: DataFrame, options: LakeOptions) -> DataFrame:
 
 
 def annotation_masks(documents: DataFrame, images: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """Run rows of the union mask per document, and the shapes behind the mask manifest.
+    """Mask rows per document, and the shapes behind the mask manifest.
 
     ``documents`` has ``path, stem, text``; ``images`` has ``stem, image_height,
     image_width`` for documents that do not state their frame.
     """
     sized = document_frame_size(parse_documents(documents), images)
-    shapes = extract_shapes(sized, ["path", "height", "width"])
-    return shape_masks(shapes, ["path"]), shapes
+    return document_masks(sized, ["path"]), extract_shapes(sized, ["path", "height", "width"])
 
 
 def split_samples(processed: DataFrame, options: LakeOptions) -> DataFrame:

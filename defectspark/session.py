@@ -41,14 +41,19 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+SMALL_INPUT_BYTES = 256 * 1024 * 1024
+
+
 def spread(df: DataFrame) -> DataFrame:
-    """Use every core before an expanding step when the input has too few partitions.
+    """Use every core before an expanding step when the input is small.
 
-    Moves only the compact input rows, and only for small inputs: a large scan already
-    has more partitions than cores and is returned unchanged.
+    Small files often form a single partition. Only inputs whose estimated size is under
+    ``SMALL_INPUT_BYTES`` move; larger scans have enough partitions and are left alone.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    if size >= SMALL_INPUT_BYTES:
+        return df
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism)
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:

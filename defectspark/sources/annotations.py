@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from defectspark.functions.rounding import half_even  # noqa: F401  (re-exported for callers)
 from defectspark.functions.text import base_name, file_stem, part_name
-from defectspark.operators.polygons import POINTS_TYPE, points_from_flat, points_from_nested
+from defectspark.operators.fill import ring_union
+from defectspark.operators.masks import compute_once
+from defectspark.operators.polygons import POINTS_TYPE, points_from_flat, points_from_nested, shape_ring
 
 
 def read_json_documents(spark: SparkSession, root: str) -> DataFrame:
@@ -49,6 +50,38 @@ def extract_shapes(docs: DataFrame, keys: list[str]) -> DataFrame:
     A bare list is one polygon; otherwise the first of ``shapes``, ``objects`` (both
     lists) and ``regions`` (map or list) that is present decides the layout.
     """
+    layout, entries = _layout_and_entries()
+    rows = docs.select(*keys, layout.alias("layout"), F.posexplode(entries).alias("shape_no", "entry"))
+    entry = F.col("entry")
+    shape_type, label, points = _shape_of(F.col("layout"), entry)
+    return rows.select(
+        *keys, "layout", "shape_no", shape_type.alias("shape_type"),
+        F.coalesce(label, F.lit("defect")).alias("label"),
+        F.coalesce(points, F.array().cast(POINTS_TYPE)).alias("points"),
+    )
+
+
+def document_masks(docs: DataFrame, keys: list[str]) -> DataFrame:
+    """Mask rows straight from parsed documents with ``height`` and ``width``.
+
+    All shapes of a document are united in its own row, so nothing is shuffled.
+    """
+    layout, entries = _layout_and_entries()
+    listed = docs.withColumn("__layout", layout).withColumn("__entries", entries)
+
+    def ring(entry: Column) -> Column:
+        shape_type, _, points = _shape_of(F.col("__layout"), entry)
+        return shape_ring(shape_type, points)
+
+    rings = F.filter(F.transform("__entries", ring), lambda r: r.isNotNull())
+    rings = F.coalesce(rings, F.array().cast(f"array<{POINTS_TYPE}>"))
+    # Behind a boundary: Spark does not run a Python function on nested lambdas in place.
+    ringed = compute_once(listed, rings.alias("__rings"))
+    runs = ring_union(F.col("__rings"), F.col("height"), F.col("width"))
+    return ringed.select(*keys, "height", "width", runs.alias("runs"))
+
+
+def _layout_and_entries() -> tuple[Column, Column]:
     doc = F.col("doc")
     bare = _get(doc, "$", "array<variant>")
     shapes = _get(doc, "$.shapes", "array<variant>")
@@ -64,8 +97,11 @@ def extract_shapes(docs: DataFrame, keys: list[str]) -> DataFrame:
         .when(regions.isNotNull(), "regions")
     )
     entries = F.when(bare.isNotNull(), F.array(doc)).otherwise(F.coalesce(shapes, objects, regions))
-    rows = docs.select(*keys, layout.alias("layout"), F.posexplode(entries).alias("shape_no", "entry"))
-    entry = F.col("entry")
+    return layout, entries
+
+
+def _shape_of(layout: Column, entry: Column) -> tuple[Column, Column, Column]:
+    """Shape type, label and points of one entry of a layout."""
     text = lambda path: _get(entry, path, "string")
     raw = lambda path: _get(entry, path, "variant")
     region_type = F.coalesce(text("$.shape_attributes.name"), F.lit("polygon"))
@@ -75,7 +111,7 @@ def extract_shapes(docs: DataFrame, keys: list[str]) -> DataFrame:
         lambda x, y: F.struct(x.alias("x"), y.alias("y")),
     )
     paired = F.filter(region_points, lambda p: p["x"].isNotNull() & p["y"].isNotNull())
-    is_ = lambda name: F.col("layout") == name
+    is_ = lambda name: layout == name
     shape_type = (
         F.when(is_("list"), "polygon")
         .when(is_("regions"), region_type)
@@ -97,14 +133,7 @@ def extract_shapes(docs: DataFrame, keys: list[str]) -> DataFrame:
         .when(region_type == "polygon", paired)
         .otherwise(parsed_points(raw("$.points")))
     )
-    return rows.select(
-        *keys,
-        "layout",
-        "shape_no",
-        shape_type.alias("shape_type"),
-        F.coalesce(label, F.lit("defect")).alias("label"),
-        F.coalesce(points, F.array().cast(POINTS_TYPE)).alias("points"),
-    )
+    return shape_type, label, points
 
 
 def document_frame_size(docs: DataFrame, images: DataFrame | None = None, default: int = 256) -> DataFrame:

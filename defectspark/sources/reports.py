@@ -102,15 +102,20 @@ def write_samples(samples: DataFrame, path: str) -> None:
     samples.write.mode("overwrite").partitionBy("dataset", "category", "split").parquet(path)
 
 
-def export_split_manifest(samples: DataFrame, path: str, seed: int, val_fraction: float) -> None:
-    """Nested JSON per category: one document line each, entries listed by split.
+def export_split_manifest(
+    samples: DataFrame, path: str, seed: int, val_fraction: float, entries_per_line: int = 10000
+) -> None:
+    """Nested JSON lines, one document per category and chunk of entries.
 
-    A category's entries become one document, as the format demands; large lakes should
-    read the partitioned table instead.
+    A category that fits ``entries_per_line`` is one document; a larger one is cut into
+    several by hash, which ``read_split_manifest(lines=True)`` puts together again.
     """
+    keys = ["dataset", "category"]
+    sizes = samples.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / F.lit(float(entries_per_line))).alias("__chunks"))
+    chunked = samples.join(sizes, keys).withColumn("__chunk", F.pmod(F.xxhash64("image_path"), "__chunks"))
     entry = F.struct("image_path", "label", "is_anomalous", "mask_path")
-    per_split = samples.groupBy("dataset", "category", "split").agg(F.array_sort(F.collect_list(entry)).alias("entries"))
-    documents = per_split.groupBy("dataset", "category").agg(
+    per_split = chunked.groupBy(*keys, "__chunk", "split").agg(F.array_sort(F.collect_list(entry)).alias("entries"))
+    documents = per_split.groupBy(*keys, "__chunk").agg(
         F.map_from_entries(F.collect_list(F.struct("split", "entries"))).alias("splits")
     )
     body = F.struct(

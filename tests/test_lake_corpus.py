@@ -70,11 +70,34 @@ def test_audit_rename_and_route(spark, lake):
 
 def test_documents_to_masks(spark, lake):
     docs = A.read_json_documents(spark, lake).withColumn("stem", F.lit("b"))
-    runs, shapes = E.annotation_masks(docs)
-    assert sorted((r["y"], r["x0"], r["x1"]) for r in runs.collect()) == [(0, 0, 2), (1, 1, 2)]
+    masks, shapes = E.annotation_masks(docs)
+    assert [tuple(r) for r in masks.first()["runs"]] == [(0, 0, 2), (1, 1, 2)]
     assert shapes.first()["label"] == "x" and shapes.first()["height"] == 4
 
 
+def test_document_masks_equal_shape_masks(spark):
+    from defectspark.operators.masks import explode_runs
+    from defectspark.operators.polygons import shape_masks
+
+    texts = [
+        '{"shapes":[{"points":[[1,1],[9,2],[4,9]]},{"points":[[0,0],[7,7]],"shape_type":"rectangle"},{"points":[[2,8],[11,3]]}]}',
+        "[[0,0],[12,0],[12,10],[6,2],[0,10]]", '{"objects":[{"polygon":[3,3,9,3,9,9,3,9]},{"points":[[1,1]]}]}',
+        '{"regions":{"a":{"shape_attributes":{"all_points_x":[1,5,9],"all_points_y":[2,11,4]}},"b":{"shape_attributes":{"name":"rect"},"points":[[1,2],[3,4]]}}}',
+        '{"shapes":[]}', "{broken",
+    ]
+    docs = A.parse_documents(spark.createDataFrame(list(enumerate(texts)), "id int, text string")).withColumns({"height": F.lit(12), "width": F.lit(13)})
+    rows = lambda df: sorted((r["id"], r["y"], r["x0"], r["x1"]) for r in df.collect())
+    direct = A.document_masks(docs, ["id"])
+    assert direct.count() == 6
+    assert rows(explode_runs(direct, ["id"])) == rows(shape_masks(A.extract_shapes(docs, ["id", "height", "width"]), ["id"]))
+
+
+def test_mask_manifest_round_trip(spark, tmp_path):
+    rows = spark.createDataFrame([("p", "a.png", "a.png", True, ["x", "y"], 2), ("p", "b.png", "b.png", False, [], 0)], "part string, image_filename string, mask_filename string, is_defective boolean, defect_categories array<string>, num_defect_regions int")
+    IO.write_mask_manifest(rows, str(tmp_path / "m"))
+    assert [tuple(r) for r in IO.read_mask_manifest(spark, str(tmp_path / "m")).collect()] == [("a.png", ["x", "y"])]
+
+
 def test_coco_documents(spark, tmp_path):
     doc = {
         "images": [{"id": 1, "file_name": "a.png", "height": 10, "width": 12}, {"id": 2, "file_name": "b.png"}, {"id": 3, "file_name": "c.png", "height": 4, "width": 4}],
@@ -122,7 +145,7 @@ def test_processed_lake_to_samples(spark, tmp_path):
     path = str(tmp_path / "samples")
     IO.write_samples(samples.drop("empties_rest"), path)
     assert spark.read.parquet(path).where("category = 'cat'").count() == 24
-    IO.export_split_manifest(samples, str(tmp_path / "nested"), 42, 0.1)
+    IO.export_split_manifest(samples, str(tmp_path / "nested"), 42, 0.1, entries_per_line=7)
     back = IO.read_split_manifest(spark, str(tmp_path / "nested"), lines=True)
     assert back.count() == len(rows) and {r["split"] for r in back.select("split").distinct().collect()} == {"train", "val", "test"}
 

@@ -85,6 +85,13 @@ def test_exact_rank_and_running_sums(spark, descending):
         assert (r["n"], r["n_before"], r["n_total"]) == (same.count(r["v"]), before, len(same))
 
 
+def test_null_groups_are_kept(spark):
+    df = spark.createDataFrame([(None, 1.0), (None, 3.0), ("a", 2.0)], "g string, score double").withColumn("id", F.monotonically_increasing_id())
+    out = {r["score"]: (r["threshold"], r["accepted"]) for r in N.percentile_filter(df, ["g"], percentile=50).collect()}
+    assert out == {1.0: (2.0, False), 3.0: (2.0, True), 2.0: (2.0, True)}
+    assert P.stratified_split(df, ["g"], "id", fraction=0.5).count() == 3
+
+
 def test_sampled_bucket_ranks_strings(spark):
     names = [f"{hashlib.md5(str(i).encode()).hexdigest()}" for i in range(4000)]
     df = spark.createDataFrame([("x", n) for n in names], "g string, name string")
