@@ -129,11 +129,7 @@ def _train_test(spark, sf_dir):
 )
 def _budgets(spark, sf_dir):
     pairs = with_uid(sample_view(spark, sf_dir)).where("mask_path IS NOT NULL").select("uid", "class")
-    parts = [
-        S.budget_pairs(pairs, ["class"], "uid", b).select(F.lit(b).alias("budget"), "uid", "class", "pair_rank", "shortfall")
-        for b in (5, 10, 20)
-    ]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+    return S.nested_budgets(pairs, ["class"], "uid", [5, 10, 20]).select("budget", "uid", "class", "pair_rank", "shortfall")
 
 
 @query(

@@ -83,15 +83,12 @@ def merge_runs(runs: DataFrame, keys: Sequence[str] = ("image_id",)) -> DataFram
     starts = runs.repartition(*line).groupBy(*line, "x0").agg(F.max("x1").alias("x1"))
     by_start = Window.partitionBy(*line).orderBy("x0")
     reach = F.max("x1").over(by_start.rowsBetween(Window.unboundedPreceding, -1))
-    opened = starts.withColumn(
-        "__new", F.when(F.col("x0") > reach + 1, 1).when(reach.isNull(), 1).otherwise(0)
-    )
-    island = F.sum("__new").over(by_start.rowsBetween(Window.unboundedPreceding, 0))
-    return (
-        opened.withColumn("__island", island)
-        .groupBy(*line, "__island")
-        .agg(F.min("x0").alias("x0"), F.max("x1").alias("x1"))
-        .drop("__island")
+    end = F.max("x1").over(by_start.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    opened = starts.select(*line, "x0", reach.alias("__reach"), end.alias("__end"))
+    opened = opened.where(F.col("__reach").isNull() | (F.col("x0") > F.col("__reach") + 1))
+    # What an island's start has behind it is where the island before it ended.
+    return opened.select(
+        *line, "x0", F.coalesce(F.lead("__reach").over(by_start), "__end").alias("x1")
     )
 
 

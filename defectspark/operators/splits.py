@@ -98,6 +98,15 @@ def budget_pairs(df: DataFrame, group: Sequence[str], key: str, budget: int | st
     )
 
 
+def nested_budgets(df: DataFrame, group: Sequence[str], key: str, budgets: Sequence[int], seed: int = 42) -> DataFrame:
+    """All budgets from one ranking: a row per (budget, pair), each budget a prefix of the next."""
+    ranked = budget_pairs(df, group, key, max(budgets), seed).drop("shortfall")
+    sizes = F.filter(F.array(*[F.lit(int(b)) for b in budgets]), lambda b: F.col("pair_rank") <= b)
+    return ranked.withColumn("budget", F.explode(sizes)).withColumn(
+        "shortfall", F.greatest(F.col("budget") - F.col("n_pairs"), F.lit(0).cast("long"))
+    )
+
+
 def eligible_pairs(
     df: DataFrame, group: Sequence[str], key: str, eligible: Column, budget: int, seed: int = 42
 ) -> DataFrame:
