@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from defectspark.operators.fill import ring_runs
-from defectspark.operators.masks import merge_runs
+from defectspark.operators.masks import compute_once, merge_runs
 from defectspark.session import spread
 
 POINTS_TYPE = "array<struct<x:double,y:double>>"
@@ -54,8 +54,13 @@ def _thick_line(points: Column, half: float = 1.0) -> Column:
 
 def shape_ring(shape_type: Column, points: Column) -> Column:
     """Ring of whole-pixel vertices that covers a shape; null with too few points."""
-    whole = _whole_points(points)
-    count = F.size(points)
+    # The one-element transform binds the cut vertices once for all their uses.
+    bound = F.transform(F.array(_whole_points(points)), lambda whole: _ring_of(shape_type, whole))
+    return F.get(bound, 0)
+
+
+def _ring_of(shape_type: Column, whole: Column) -> Column:
+    count = F.size(whole)
     a, b = F.get(whole, 0), F.get(whole, 1)
     corner = lambda x, y: F.struct(x(a["x"], b["x"]).alias("x"), y(a["y"], b["y"]).alias("y"))
     box = F.array(
@@ -76,7 +81,8 @@ def shape_runs(shapes: DataFrame, keys: Sequence[str] = ("image_id", "shape_no")
     points for their type give no rows.
     """
     ring = shape_ring(F.col("shape_type"), F.col("points"))
-    filled = spread(shapes).withColumn("__runs", ring_runs(ring, F.col("height"), F.col("width"), outline))
+    ringed = compute_once(spread(shapes), ring.alias("__ring"))
+    filled = ringed.withColumn("__runs", ring_runs(F.col("__ring"), F.col("height"), F.col("width"), outline))
     return filled.select(*keys, F.inline("__runs"))
 
 
