@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from defectspark.catalog.registry import table
-from defectspark.llm import decision_lists, decontamination, language_id, sharding, toxicity
+from defectspark.llm import decision_lists, decontamination, jaccard_join, language_id, packing, pii, sharding, toxicity
 from defectspark.llm.common import fold, store
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -54,6 +54,23 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query("op2_pii_boosting")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base and added spans of personal data in every text; a null text counts as empty.
+
+    Base spans and candidates are stored once, thin, for learning and for the result.
+    """
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = store(pii.with_spans(docs).select("doc_id", "__pii"), "pii-spans")
+    model = pii.fit(found, fold(F.col("doc_id"), 4) == 0)
+    spans = F.col("__pii")
+    return found.select(
+        "doc_id", *[F.size(spans["base"][k]).cast("long").alias(f"n_{k}") for k in pii.KINDS],
+        F.sha2(pii.span_text(pii.all_spans(spans)), 256).alias("base_sha256"),
+        pii.span_text(pii.all_spans(spans, model)).alias("spans"),
+    )
+
+
 @query("op3_quality_lists")
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base statistics of every text and the verdict of the learned list.
@@ -140,3 +157,16 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", (fold(F.col("doc_id"), 5) == 0).alias("held_out"),
         F.col("language.lang").alias("lang_pred"), F.col("language.score").alias("score"),
     )
+
+
+@query("op8_pattern_packing")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document in sequences of at most 2048 tokens."""
+    return packing.pack_documents(spark, table(spark, sf_dir, "documents"))
+
+
+@query("op9_jaccard_join")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate class and number of links of every document."""
+    found = jaccard_join.near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "class_id", "n_links", "n_text_links")
