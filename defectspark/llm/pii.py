@@ -113,7 +113,7 @@ def with_spans(docs: DataFrame, text: str = "text", out: str = "__pii") -> DataF
     """Add ``out``: struct of base spans by kind (``base``) and generated candidates (``found``) with 24 characters around."""
     body = F.coalesce(F.col(text), F.lit(""))
     base = F.struct(*[
-        F.filter(find_all(body, BASE[k], _HINT[k]), lambda s, k=k: _valid(k, s["text"])).alias(k) for k in KINDS
+        F.filter(find_all(body, BASE[k], _HINT[k]), lambda s: _valid(k, s["text"])).alias(k) for k in KINDS
     ])
     around = lambda s: F.struct(
         s["start"].alias("start"), s["end"].alias("end"), s["text"].alias("text"),
@@ -184,7 +184,7 @@ def added(spans: Column, model: PiiModel) -> Column:
 
 def all_spans(spans: Column, model: PiiModel | None = None) -> Column:
     """Sorted array of (kind number, start, end): base spans and, with a model, the added ones."""
-    parts = [F.transform(spans["base"][k], lambda s, i=i: F.struct(F.lit(i).alias("kind"), s["start"].alias("start"), s["end"].alias("end"))) for i, k in enumerate(KINDS)]
+    parts = [F.transform(spans["base"][k], lambda s: F.struct(F.lit(i).alias("kind"), s["start"].alias("start"), s["end"].alias("end"))) for i, k in enumerate(KINDS)]
     if model is not None:
         parts.append(F.transform(added(spans, model), lambda c: F.struct(c["kind"].alias("kind"), c["start"].alias("start"), c["end"].alias("end"))))
     return F.array_sort(F.concat(*parts))
