@@ -8,7 +8,18 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from defectspark.catalog.registry import table
-from defectspark.llm import decision_lists, decontamination, jaccard_join, language_id, packing, pii, sharding, toxicity
+from defectspark.llm import (
+    collinear,
+    decision_lists,
+    decontamination,
+    jaccard_join,
+    language_id,
+    packing,
+    pii,
+    pitman_yor,
+    sharding,
+    toxicity,
+)
 from defectspark.llm.common import fold, store
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -170,3 +181,19 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate class and number of links of every document."""
     found = jaccard_join.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "class_id", "n_links", "n_text_links")
+
+
+@query("op5_pitman_yor")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log10 probability of every text, learned outside the held-out tenth."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pitman_yor.score(docs, fold(F.col("doc_id"), 10) != 0)
+
+
+@query("op10_collinear_passages")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Passages of every document that other documents repeat."""
+    found = collinear.repeated_passages(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    n_dup = F.aggregate("spans", F.lit(0).cast("long"), lambda s, x: s + x["end"] - x["start"])
+    text = F.array_join(F.transform("spans", lambda x: F.concat_ws(":", x["start"], x["end"])), ",")
+    return found.select("doc_id", "n_words", n_dup.alias("n_dup_words"), text.alias("spans"), "copies")
