@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from defectspark.llm.common import global_rank
+from defectspark.llm.common import global_rank, store
 
 _END = b"\0\0\0\0"
 _SIMPLE = re.compile(r"[\x21-\x7e\xc0-\xff]+")
@@ -267,6 +267,7 @@ def pack(rows: DataFrame, ties: list[str], length: int = 2048) -> DataFrame:
     ``ties`` fixes the order of pieces of one length; rows that agree on all of it are
     interchangeable. An empty table gives an empty result. No piece is cut or dropped.
     """
+    rows = store(rows, "packing-pieces")  # ranging reads its input twice; tokens are made once
     ranked = global_rank(rows, ["length", *ties], "__rank", "packing")
     counts = np.zeros(length + 1, dtype=np.int64)
     for size, n in ranked.groupBy("length").count().collect():
