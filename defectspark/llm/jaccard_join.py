@@ -120,7 +120,7 @@ def in_blocks(rows: DataFrame, group: str, size: str, block_rows: int) -> DataFr
     own = F.pmod(F.xxhash64("rid"), blocks).cast("int")
     out = rows.withColumn("block", own).withColumn("__other", F.explode(F.sequence(F.lit(0), blocks - 1)))
     out = out.withColumns({"lo": F.least("block", "__other"), "hi": F.greatest("block", "__other")}).drop("__other")
-    return out.repartition(group, "lo", "hi").sortWithinPartitions(group, "lo", "hi")
+    return out.repartition(group, "lo", "hi").sortWithinPartitions(group, "lo", "hi", "rid")
 
 
 def by_group(keys: list[str], work: Callable[[pd.DataFrame], list[tuple]], columns: list[str]):
@@ -245,7 +245,7 @@ def shingle_sets(docs: DataFrame, n: int, text: Column, out: str) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = 5, threshold: float = 0.8,
-                    recall: float = 0.9995, margin: float = 0.25, block_rows: int = 256) -> DataFrame:
+                    recall: float = 0.9995, margin: float = 0.25, block_rows: int = 256, bucket_rows: int = 4096) -> DataFrame:
     """One row per document: ``key``, ``text_hash``, ``class_id``, ``n_links``, ``n_text_links``, ``first``.
 
     Documents are linked at a Jaccard similarity of ``threshold`` or more of their sets of
@@ -261,7 +261,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", n:
     members = store(sigs.select("rid", "key", "text_hash", "n", "fp1", "fp2").join(groups, ["fp1", "fp2"]), "jaccard-members")
     reps = members.where("rid = rep").select("rid", "key", "fp1", "fp2", "copies", "n")
     nodes = sigs.join(reps.where("n > 0").select("rid"), "rid").select("rid", "n", "sig", "keys")
-    near = store(components(candidate_edges(nodes, threshold, margin, block_rows), "jaccard-clusters"), "jaccard-near")
+    near = store(components(candidate_edges(nodes, threshold, margin, bucket_rows), "jaccard-clusters"), "jaccard-near")
     sizes = near.groupBy("label").agg(F.count("*").alias("m"))
     wanted = near.withColumnRenamed("node", "rid").join(sizes, "label").join(reps, "rid").select(
         F.col("label").alias("cluster"), "m", "rid", "copies", F.col("fp1").alias("w1"), F.col("fp2").alias("w2"),

@@ -200,7 +200,7 @@ def test_jaccard_blocks(spark):
         texts.append((i, " ".join(copy)))
     texts += [(100 + i, " ".join(f"u{i}_{k}" for k in range(30))) for i in range(20)]
     docs = spark.createDataFrame(texts, "doc_id long, text string")
-    rows = jaccard_join.near_duplicates(docs, block_rows=16).collect()
+    rows = jaccard_join.near_duplicates(docs, block_rows=16, bucket_rows=16).collect()
     assert Counter((r["doc_id"], r["class_id"], r["n_links"]) for r in rows) == classes(texts)
     assert sum(r["first"] for r in rows) == len({r["class_id"] for r in rows})
     assert jaccard_join.choose_bands(0.8, 0.9995) == (20, 5)
