@@ -1,6 +1,7 @@
 """Toxicity: boosted trees over dense text features, calibrated by isotonic regression.
 
-The lexicon is learned: words that labelled toxic texts have far more often than clean ones.
+The lexicon is learned: words, and stems of inflected words, that labelled toxic texts have far
+more often than clean ones.
 Features are its density, how close it stands to the second person, capitals, punctuation and
 obfuscated spellings. Trees and calibration are fitted by aggregation over all labelled rows.
 """
@@ -30,6 +31,12 @@ SECOND_PERSON = frozenset(
 # Characters that stand for letters in disguised words.
 _LEET = str.maketrans({"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s", "!": "i"})
 _NEAR = 8
+_STEMS = (5, 6, 7)
+
+
+def _entries(word: str) -> list[str]:
+    """The lexicon entries a word can match: itself, and its stems marked by a star."""
+    return [word, *[word[:k] + "*" for k in _STEMS if len(word) > k]]
 
 
 @dataclass
@@ -43,18 +50,21 @@ class ToxicityModel:
 
 
 def _document_words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Documents per word and label, summed over a batch."""
+    """Documents per lexicon entry and label, summed over a batch."""
     for batch in batches:
         toxic, clean = Counter(), Counter()
         for text, label in zip(batch["text"], batch["label"], strict=True):
-            (toxic if label else clean).update(set(_WORD.findall(text.lower())))
+            (toxic if label else clean).update({e for w in set(_WORD.findall(text.lower())) for e in _entries(w)})
         rows = [(w, toxic[w], clean[w]) for w in toxic]
         rows += [(w, 0, n) for w, n in clean.items() if w not in toxic]
         yield pd.DataFrame(rows, columns=["word", "toxic", "clean"])
 
 
-def learn_lexicon(labelled: DataFrame, text: str, label: str, size: int = 64) -> list[str]:
-    """The ``size`` words whose log odds between toxic and clean documents are surest (z score above 3)."""
+def learn_lexicon(labelled: DataFrame, text: str, label: str, size: int = 256) -> list[str]:
+    """At most ``size`` words and stems that mark toxic documents, those in most toxic documents first.
+
+    Their log odds against clean documents exceed 3 and stand out from chance.
+    """
     rows = labelled.select(F.col(text).alias("text"), F.col(label).alias("label")).where("text is not null")
     totals = rows.agg(F.sum("label"), F.count("*")).first()
     toxic, clean = float(totals[0] or 0), float((totals[1] or 0) - (totals[0] or 0))
@@ -62,14 +72,16 @@ def learn_lexicon(labelled: DataFrame, text: str, label: str, size: int = 64) ->
     sums = words.groupBy("word").agg(F.sum("toxic").alias("t"), F.sum("clean").alias("c")).where("t >= 3")
     odds = F.log((F.col("t") + 0.5) / (toxic - F.col("t") + 0.5)) - F.log((F.col("c") + 0.5) / (clean - F.col("c") + 0.5))
     surety = odds / F.sqrt(1 / (F.col("t") + 0.5) + 1 / (F.col("c") + 0.5))
-    return [r[0] for r in sums.select("word", surety.alias("z")).where("z > 3").orderBy(F.desc("z"), "word").limit(size).collect()]
+    marked = sums.where((odds > 3) & (surety > 2.5)).orderBy(F.desc("t"), "word").limit(size)
+    return [r["word"] for r in marked.select("word").collect()]
 
 
 def _features(text: str | None, lexicon: frozenset[str]) -> tuple[float, ...]:
     text = text or ""
     words = _WORD.findall(text.lower())
     n = max(len(words), 1)
-    at = [i for i, w in enumerate(words) if w in lexicon]
+    marked = {w for w in set(words) if any(e in lexicon for e in _entries(w))}
+    at = [i for i, w in enumerate(words) if w in marked] if marked else []
     near = 0
     for i in at:
         near += any(w in SECOND_PERSON for w in words[max(0, i - _NEAR):i + _NEAR + 1])
@@ -105,7 +117,7 @@ def with_features(docs: DataFrame, lexicon: list[str], text: str = "text", out:
 def fit_on_features(rows: DataFrame, lexicon: list[str], label: str, calibrate: Column, features: str = "__f") -> ToxicityModel:
     """Fit trees on the rows where ``calibrate`` is false and the isotonic map on the others."""
     flat = store(rows.select(*[F.col(f"{features}.{f}") for f in FEATURES], F.col(label).alias("__y"), calibrate.alias("__cal")), "toxicity-fit")
-    trees = fit_boosted(flat.where("not __cal"), FEATURES, "__y")
+    trees = fit_boosted(flat.where("not __cal"), FEATURES, "__y", rounds=10, bins=8)
     return ToxicityModel(lexicon, trees, fit_isotonic(flat.where("__cal"), trees.margin(), "__y"))
 
 
