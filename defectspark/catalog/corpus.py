@@ -220,7 +220,7 @@ def _token_lengths(spark, sf_dir):
 )
 def _unknown_keys(spark, sf_dir):
     kind = F.when(F.col("event_type") == "view", "level").otherwise(F.col("event_type"))
-    text = F.concat(F.lit('{"severity":{"'), kind, F.lit('":1},'), F.substring("props", 2, 1000))
+    text = F.concat(F.lit('{"severity":{"'), kind, F.lit('":1},'), F.expr("substring(props, 2)"))
     docs = table(spark, sf_dir, "events").select("event_id", F.try_parse_json(text).alias("doc"))
     return V.unknown_report_keys(docs, "doc", ["event_id"])
 

@@ -251,9 +251,6 @@ def kernel_distance_subsets(
         .withColumn("subset", F.explode(F.sequence(F.lit(0), F.lit(subsets - 1))))
         .withColumn("h", F.shiftright(F.xxhash64(F.lit(seed), "subset", key), 1) + F.lit(1 << 62))
     )
-    # The drawn keys are the m smallest hashes; far larger hashes cannot be among them.
-    spot = F.col("h") / F.lit(float(1 << 63)) * F.col("n")
-    draws = draws.where(spot < F.col("m") + 12 * F.sqrt("m") + 50)
     bucket = F.floor(F.col("h") / F.lit(float(1 << 63)) * 4096)
     drawn = exact_rank(draws, [*names, "subset"], [F.col("h"), F.col(key)], bucket, "r", keep=max_size)
     chosen = drawn.where(F.col("r") <= F.col("m")).select(key, "subset").join(
