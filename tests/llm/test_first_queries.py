@@ -141,7 +141,7 @@ def test_boosting_and_isotonic(spark):
 
     rows = spark.range(5000).select((F.col("id") % 71).cast("double").alias("a"), (F.col("id") % 53).cast("double").alias("b"))
     rows = rows.withColumn("y", ((F.col("a") > 40) != (F.col("b") > 25)).cast("int"))
-    model = fit_boosted(rows, ["a", "b"], "y", rounds=8, depth=3)
+    model = fit_boosted(rows, ["a", "b"], "y", rounds=8, depth=3, bins=100)  # cuts fine enough to hold the two thresholds
     assert rows.where((model.margin() > 0).cast("int") == F.col("y")).count() > 4900
     points = fit_isotonic(rows, model.margin(), "y")
     assert points == sorted(points) and [p for _, p in points] == sorted(p for _, p in points)
