@@ -39,9 +39,13 @@ def _append(spark, sf_dir):
     "SELECT o_custkey, o_orderpriority, arg_max(o_totalprice, o_orderkey) AS price, max(o_orderkey) AS o_orderkey FROM orders GROUP BY ALL",
 )
 def _upsert(spark, sf_dir):
-    """The last row per key of a streamed table, upserted batch by batch."""
+    """The last row per key of a streamed table, upserted in four batches whose rows are out of order."""
+    source = shared_folder(spark, "upsert-in")
+    dealt = table(spark, sf_dir, "orders").withColumn("part", F.pmod(F.xxhash64("o_orderkey"), F.lit(4)))
+    dealt.repartition(4, "part").write.partitionBy("part").parquet(source)
     target, checkpoint = shared_folder(spark, "upsert"), shared_folder(spark, "upsert-ckpt")
-    rows = stream_of(spark, sf_dir, "orders").select(
+    reader = spark.readStream.schema(dealt.schema).option("maxFilesPerTrigger", "1")
+    rows = reader.parquet(source).select(
         "o_custkey", "o_orderpriority", F.col("o_totalprice").alias("price"), "o_orderkey"
     )
     finish(T.upsert_new(rows, target, checkpoint, ["o_custkey", "o_orderpriority"], ["o_orderkey"]))

@@ -187,7 +187,7 @@ def _fid(spark, sf_dir):
 
 @query("coreset")
 def _coreset(spark, sf_dir):
-    return M.coreset(side_view(spark, sf_dir), ["class"], "vec_id", "embedding", ratio=0.1)
+    return M.coreset(side_view(spark, sf_dir), ["class"], "vec_id", "embedding", ratio=0.1, parts=4)
 
 
 @query(
@@ -235,7 +235,7 @@ def _fidelity(spark, sf_dir):
     )
     exclusions = crop_eligibility(with_crop(mask_view(spark, sf_dir), 9), "class").select("class", "crop_exclusion_count")
     return M.fidelity_rows(
-        vectors.where("side = 'real'"), vectors.where("side = 'synthetic'"), acceptance, exclusions, ["class"], "embedding", "vec_id", 64
+        vectors.where("side = 'real'"), vectors.where("side = 'synthetic'"), acceptance, exclusions, ["class"], "embedding", "vec_id", whole_sets_dim=64
     )
 
 

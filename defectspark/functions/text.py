@@ -68,13 +68,6 @@ def posix_path(path: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(slashed, "/+", "/"), r"^(\./)+", "")
 
 
-def relative_to(path: Column, root: str) -> Column:
-    """Path below ``root``; null when it lies elsewhere."""
-    clean = posix_path(path)
-    prefix = root.rstrip("/") + "/"
-    return F.when(clean.startswith(prefix), F.substring(clean, len(prefix) + 1, 1 << 20))
-
-
 def is_under(path: Column, root: str) -> Column:
     """Lexical containment; any ``..`` component counts as outside."""
     clean = posix_path(path)

@@ -152,7 +152,7 @@ def _partial_sums(df: DataFrame, group: Sequence[str], vector: str, cubic: bool)
     def rows(key: tuple, acc: list) -> dict:
         count, diagonal, total = acc
         body = [np.array([count, diagonal])] + list(total)
-        return {"key": [list(map(str, key))] * len(body), "i": list(range(-1, len(body) - 1)), "a": body}
+        return {"key": [list(key)] * len(body), "i": list(range(-1, len(body) - 1)), "a": body}
 
     def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         open_sums: dict[tuple, list] = {}
@@ -171,17 +171,19 @@ def _partial_sums(df: DataFrame, group: Sequence[str], vector: str, cubic: bool)
             open_sums.clear()
 
         for batch in batches:
-            keys = pd.DataFrame({n: batch.column(n).to_pylist() for n in names})
             lists = batch.column("__x")
             if len(lists) == 0:
                 continue
             x = lists.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(lists), -1)
             d = x.shape[1]
-            for key, index in keys.groupby(names, sort=False).indices.items():
+            members: dict[tuple, list[int]] = {}
+            for at, key in enumerate(zip(*[batch.column(n).to_pylist() for n in names])):
+                members.setdefault(key, []).append(at)
+            for key, index in members.items():
                 part = x[index]
                 total = symmetric(part) if cubic else list(np.concatenate([part.sum(0)[:, None], part.T @ part], 1))
                 diagonal = float((((part * part).sum(1) / d + 1.0) ** 3).sum())
-                acc = open_sums.setdefault(key if isinstance(key, tuple) else (key,), [0, 0.0, None])
+                acc = open_sums.setdefault(key, [0, 0.0, None])
                 acc[0] += len(index)
                 acc[1] += diagonal
                 acc[2] = total if acc[2] is None else [u + v for u, v in zip(acc[2], total)]
@@ -189,9 +191,9 @@ def _partial_sums(df: DataFrame, group: Sequence[str], vector: str, cubic: bool)
                 yield from flush()
         yield from flush()
 
-    narrow = df.select(*[F.col(n).cast("string") for n in names], F.col(vector).cast("array<double>").alias("__x"))
+    narrow = df.select(*[F.col(n).cast("string") for n in names], F.col(vector).cast("array<double>").alias("__x")).where("__x IS NOT NULL")
     partial = narrow.mapInArrow(fold, "key array<string>, i int, a array<double>")
-    keyed = partial.select(*[F.get("key", k).alias(n) for k, n in enumerate(names)], "i", "a")
+    keyed = partial.select(*[F.get("key", k).cast(df.schema[n].dataType).alias(n) for k, n in enumerate(names)], "i", "a")
     spread_rows = keyed.repartition(*names, "i").select(*names, "i", F.posexplode("a").alias("j", "v"))
     return spread_rows.groupBy(*names, "i", "j").agg(F.sum("v").alias("v"))
 
@@ -245,9 +247,9 @@ def kernel_distance_subsets(
     names = [*group, side]
     sizes = df.groupBy(*names).agg(F.count(F.lit(1)).alias("n"))
     smallest = sizes.groupBy(*group).agg(F.least(F.min("n"), F.lit(max_size)).alias("m"), F.count(F.lit(1)).alias("k"))
-    limits = sizes.join(smallest.where("k = 2 AND m > 1").drop("k"), list(group))
+    limits = join_groups(sizes, smallest.where("k = 2 AND m > 1").drop("k"), group)
     draws = (
-        df.select(*names, key).join(limits, names)
+        join_groups(df.select(*names, key), limits, names)
         .withColumn("subset", F.explode(F.sequence(F.lit(0), F.lit(subsets - 1))))
         .withColumn("h", F.shiftright(F.xxhash64(F.lit(seed), "subset", key), 1) + F.lit(1 << 62))
     )
@@ -284,7 +286,7 @@ def frechet_distance(
     """
     table = _two_sets(_partial_sums(df, [*group, side], vector, False), group, side, first, second)
     names = list(group)
-    schema = ", ".join(f"`{n}` string" for n in names) + ", n_first long, n_second long, fid double"
+    schema = T.StructType([df.schema[n] for n in names]).add("n_first", "long").add("n_second", "long").add("fid", "double")
 
     def root(m: np.ndarray) -> np.ndarray:
         values, vectors = np.linalg.eigh(m)
@@ -321,18 +323,19 @@ def frechet_distance(
 def _blocks(df: DataFrame, group: Sequence[str], key: str, rows: int, name: str) -> DataFrame:
     """Adds a hash block number so that no (group, block) holds many more than ``rows``."""
     sizes = df.groupBy(*group).agg(F.ceil(F.count(F.lit(1)) / F.lit(float(rows))).alias("__blocks"))
-    return df.join(sizes, list(group)).withColumn(name, F.pmod(F.xxhash64(F.lit(name), key), "__blocks")).drop("__blocks")
+    return join_groups(df, sizes, group).withColumn(name, F.pmod(F.xxhash64(F.lit(name), key), "__blocks")).drop("__blocks")
 
 
 def coreset(
-    df: DataFrame, group: Sequence[str], key: str, vector: str, ratio: float = 0.01, block_rows: int = 4096
+    df: DataFrame, group: Sequence[str], key: str, vector: str, ratio: float = 0.01, parts: int = 1
 ) -> DataFrame:
     """Greedy k-centre picks: keys that cover each group, ``ratio`` of its rows.
 
-    Groups are cut into hash blocks and each block runs the greedy rule from its smallest
-    key; a group that fits one block gets the plain greedy result.
+    Every group is cut into ``parts`` hash parts, whatever its size, and each part runs the
+    greedy rule from its smallest key; one part is the plain greedy result. A part is held
+    by one task, so the caller names as many parts as the largest group needs.
     """
-    blocked = _blocks(df.select(*group, key, vector), group, key, block_rows, "__block")
+    blocked = df.select(*group, key, vector).withColumn("__block", F.pmod(F.xxhash64(F.lit("__block"), key), F.lit(parts)))
     names = list(group)
     schema = T.StructType([df.schema[n] for n in names] + [df.schema[key], T.StructField("pick", T.IntegerType())])
 
@@ -368,8 +371,8 @@ def nearest_neighbours(
     chunks = q.groupBy(*names).agg(F.max("__chunk").alias("__last_chunk"))
     blocks = b.groupBy(*names).agg(F.max("__block").alias("__last_block"))
     whole = lambda last: F.explode(F.sequence(F.lit(0).cast("long"), last))
-    left = q.join(blocks, names).withColumn("__block", whole(F.col("__last_block"))).drop("__last_block")
-    right = b.join(chunks, names).withColumn("__chunk", whole(F.col("__last_chunk"))).drop("__last_chunk", key)
+    left = join_groups(q, blocks, names).withColumn("__block", whole(F.col("__last_block"))).drop("__last_block")
+    right = join_groups(b, chunks, names).withColumn("__chunk", whole(F.col("__last_chunk"))).drop("__last_chunk", key)
     meet = [*names, "__chunk", "__block"]
     schema = T.StructType(
         [queries.schema[n] for n in names] + [queries.schema[key], T.StructField("distance", T.DoubleType())]
@@ -442,20 +445,26 @@ def quality_flags(
 
 def fidelity_rows(
     real: DataFrame, synthetic: DataFrame, acceptance: DataFrame, exclusions: DataFrame,
-    keys: Sequence[str], vector: str, item: str, dim: int,
+    keys: Sequence[str], vector: str, item: str, whole_sets_dim: int | None = None,
 ) -> DataFrame:
-    """One fidelity row per class from feature vectors, acceptance rates and crop exclusions."""
+    """One fidelity row per class from feature vectors, acceptance rates and crop exclusions.
+
+    The kernel distance is the mean over seeded subsets; ``whole_sets_dim``, the vectors'
+    length, asks for the distance of the whole sets instead.
+    """
     both = real.select(*keys, item, vector, F.lit("real").alias("__side")).unionByName(
         synthetic.select(*keys, item, vector, F.lit("synthetic").alias("__side"))
     )
     fid = frechet_distance(both, keys, "__side", vector, "real", "synthetic")
-    if dim <= 128:
-        kid = kernel_distance(both, keys, "__side", vector, "real", "synthetic", dim).select(*keys, "kid")
+    if whole_sets_dim is not None:
+        kid = kernel_distance(both, keys, "__side", vector, "real", "synthetic", whole_sets_dim).select(*keys, "kid")
     else:
         kid = kernel_distance_subsets(both, keys, "__side", item, vector, "real", "synthetic").select(*keys, "kid")
     diversity = mean_pairwise_distance(synthetic, keys, vector).select(*keys, "diversity")
     names = list(keys)
-    joined = fid.join(kid, names).join(diversity, names).join(acceptance, names).join(exclusions, names)
+    joined = fid
+    for other in (kid, diversity, acceptance, exclusions):
+        joined = join_groups(joined, other, names)
     return joined.select(
         *names,
         F.col("n_first").alias("n_real"), F.col("n_second").alias("n_synth"), "crop_exclusion_count",

@@ -31,14 +31,20 @@ def hash_bucket(order_key: Column, digits: int = 4) -> Column:
 
 
 def value_bucket(value: Column, per_octave: int = 1024) -> Column:
-    """Order-preserving bucket of a finite double: logarithmic steps, no data scan."""
-    size = F.abs(value.cast("double"))
+    """Order-preserving bucket of a double: logarithmic steps, no data scan; infinities and NaN have their own."""
+    value = value.cast("double")
+    high = F.isnan(value) | (value == float("inf"))
+    low = value == float("-inf")
+    size = F.when(high | low | (value == 0), 1.0).otherwise(F.abs(value))
     octave = F.floor(F.log2(size))
     step = octave * per_octave + F.floor((size / F.pow(F.lit(2.0), octave) - 1) * per_octave)
     # 1100 octaves keep every positive step above zero, so signs do not mix.
     positive = step + 1100 * per_octave
     return (
-        F.when(value == 0, F.lit(0).cast("long"))
+        F.when(F.isnan(value), F.lit(2 << 40))
+        .when(high, F.lit(1 << 40))
+        .when(low, F.lit(-(1 << 40)))
+        .when(value == 0, F.lit(0).cast("long"))
         .when(value > 0, positive.cast("long"))
         .otherwise(-positive.cast("long"))
     )

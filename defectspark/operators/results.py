@@ -157,7 +157,7 @@ def resume_plan(scope: DataFrame, artefacts: DataFrame, keys: Sequence[str], kin
 
 def length_summary(df: DataFrame, group: Sequence[str], length: str, target: str, tokens: str) -> DataFrame:
     """Sequence-length extremes and exact median, 95th and 99th percentiles per group."""
-    from defectspark.operators.ranking import exact_percentiles
+    from defectspark.operators.ranking import exact_percentiles, join_groups
 
     points = {"median_length": 0.5, "p95_length": 0.95, "p99_length": 0.99}
     quantiles = exact_percentiles(df, group, length, points)
@@ -167,7 +167,7 @@ def length_summary(df: DataFrame, group: Sequence[str], length: str, target: str
         F.min(target).alias("min_target"), F.max(target).alias("max_target"),
         F.max(tokens).alias("max_tokens"),
     )
-    return extremes.join(quantiles, list(group))
+    return join_groups(extremes, quantiles, group)
 
 
 def table_fingerprint(df: DataFrame, group: Sequence[str], columns: Sequence[str]) -> DataFrame:

@@ -51,7 +51,7 @@ def throughput(series: DataFrame, group: Sequence[str], ts: str) -> DataFrame:
 def broken_steps(df: DataFrame, group: Sequence[str], step: str, values: Sequence[str], ts: str) -> DataFrame:
     """Rows with a non-finite value, or logged after a later step.
 
-    Order is checked inside each hour against the running maximum of steps, starting from
+    Rows of one time count in the order of their steps. Order is checked inside each hour against the running maximum of steps, starting from
     the maximum of all earlier hours.
     """
     bad = F.lit(False)
@@ -62,8 +62,8 @@ def broken_steps(df: DataFrame, group: Sequence[str], step: str, values: Sequenc
     peaks = hourly.groupBy(*group, "__hour").agg(F.max(step).alias("__peak"))
     past = Window.partitionBy(*group).orderBy("__hour").rowsBetween(Window.unboundedPreceding, -1)
     carried = peaks.select(*group, "__hour", F.max("__peak").over(past).alias("__before"))
-    inside = Window.partitionBy(*group, "__hour").orderBy(ts).rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy(*group, "__hour").orderBy(ts, step).rowsBetween(Window.unboundedPreceding, -1)
     seen = F.greatest("__before", F.max(step).over(inside))
     rule = F.when(bad, "non-finite value").when(F.col(step) <= seen, "step out of order")
-    checked = hourly.join(carried, [*group, "__hour"]).withColumn("rule", rule)
+    checked = join_groups(hourly, carried, [*group, "__hour"]).withColumn("rule", rule)
     return checked.where("rule IS NOT NULL").select(*group, step, "rule")

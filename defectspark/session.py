@@ -27,20 +27,6 @@ def local_session(cores: int | str = "*", app: str = "defectspark") -> SparkSess
     )
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared checkpoint folder and continue from there.
-
-    The folder is the one the cluster names in ``spark.checkpoint.dir``; only a
-    session without that setting (a test) gets a temporary folder.
-    """
-    spark = df.sparkSession
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        folder = spark.conf.get(CHECKPOINT_CONF, None) or context.getConf().get(CHECKPOINT_CONF)
-        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="defectspark-ckpt-"))
-    return df.checkpoint(eager=True)
-
-
 SMALL_INPUT_BYTES = 256 * 1024 * 1024
 
 
@@ -57,6 +43,13 @@ def spread(df: DataFrame) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
-    """A fresh folder below the shared checkpoint folder, for tables between steps."""
+    """A fresh folder below ``spark.checkpoint.dir``, for tables between steps.
+
+    Only a single-machine session (a test) that leaves the setting out gets a temporary folder.
+    """
     base = spark.conf.get(CHECKPOINT_CONF, None) or spark.sparkContext.getConf().get(CHECKPOINT_CONF)
-    return f"{(base or tempfile.mkdtemp(prefix='defectspark-')).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    if not base:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError(f"set {CHECKPOINT_CONF} to a folder that the driver and all executors share")
+        base = tempfile.mkdtemp(prefix="defectspark-")
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"

@@ -139,7 +139,9 @@ def _shape_of(layout: Column, entry: Column) -> tuple[Column, Column, Column]:
 def document_frame_size(docs: DataFrame, images: DataFrame | None = None, default: int = 256) -> DataFrame:
     """Adds ``height`` and ``width``: first non-zero document key, image size, default.
 
-    ``images`` holds ``stem, image_height, image_width`` per source folder stem. As both
+    ``images`` holds ``stem, image_height, image_width``, and where known ``folder`` and
+    ``path``. Images of one stem (and folder, where both sides have it) count as the first by
+    path, else the smallest, so no document is repeated. As both
     sides must be known together, a half-given size falls back to the image as well.
     """
     doc = F.col("doc")
@@ -152,7 +154,11 @@ def document_frame_size(docs: DataFrame, images: DataFrame | None = None, defaul
     )
     image_h = image_w = F.lit(None).cast("int")
     if images is not None:
-        out = out.join(images, "stem", "left")
+        place = [c for c in ("folder", "stem") if c in images.columns and c in docs.columns]
+        order = [c for c in ("path", "image_height", "image_width") if c in images.columns]
+        size = F.struct("image_height", "image_width")
+        sized = images.groupBy(*place).agg(F.min_by(size, F.struct(*order)).alias("__size")).select(*place, "__size.*")
+        out = out.join(sized, place, "left")
         image_h, image_w = F.col("image_height"), F.col("image_width")
     known = F.col("__h").isNotNull() & F.col("__w").isNotNull()
     return (

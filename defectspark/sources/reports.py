@@ -102,26 +102,30 @@ def write_samples(samples: DataFrame, path: str) -> None:
     samples.write.mode("overwrite").partitionBy("dataset", "category", "split").parquet(path)
 
 
-def export_split_manifest(
-    samples: DataFrame, path: str, seed: int, val_fraction: float, entries_per_line: int = 10000
-) -> None:
-    """Nested JSON lines, one document per category and chunk of entries.
+def export_split_manifest(samples: DataFrame, path: str, seed: int, val_fraction: float, parts: int = 16) -> None:
+    """Nested JSON lines: every category in up to ``parts`` documents, dealt by the hash of the path.
 
-    A category that fits ``entries_per_line`` is one document; a larger one is cut into
-    several by hash, which ``read_split_manifest(lines=True)`` puts together again.
+    The form does not depend on the size of a category; one part is one document each. Each
+    document carries its own counts as ``stats``. ``read_split_manifest(lines=True)`` puts the
+    documents together again. Samples without ``defect_types`` get null ones.
     """
-    keys = ["dataset", "category"]
-    sizes = samples.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / F.lit(float(entries_per_line))).alias("__chunks"))
-    chunked = samples.join(sizes, keys).withColumn("__chunk", F.pmod(F.xxhash64("image_path"), "__chunks"))
-    entry = F.struct("image_path", "label", "is_anomalous", "mask_path")
-    per_split = chunked.groupBy(*keys, "__chunk", "split").agg(F.array_sort(F.collect_list(entry)).alias("entries"))
-    documents = per_split.groupBy(*keys, "__chunk").agg(
-        F.map_from_entries(F.collect_list(F.struct("split", "entries"))).alias("splits")
+    keys = ["dataset", "category", "__part"]
+    if "defect_types" not in samples.columns:
+        samples = samples.withColumn("defect_types", F.lit(None).cast("array<string>"))
+    dealt = samples.withColumn("__part", F.pmod(F.xxhash64("image_path"), F.lit(parts)))
+    entry = F.struct("image_path", "label", "is_anomalous", "mask_path", "defect_types")
+    per_split = dealt.groupBy(*keys, "split").agg(
+        F.array_sort(F.collect_list(entry)).alias("entries"),
+        F.struct(F.count(F.lit(1)).alias("total"), F.count_if("is_anomalous").alias("anomalous")).alias("counts"),
+    )
+    documents = per_split.groupBy(*keys).agg(
+        F.map_from_entries(F.collect_list(F.struct("split", "entries"))).alias("splits"),
+        F.map_from_entries(F.collect_list(F.struct("split", "counts"))).alias("stats"),
     )
     body = F.struct(
         F.col("dataset").alias("dataset_name"), F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("created_at"),
         F.lit(seed).alias("seed"), F.lit("val_normals_only").alias("split_strategy"),
-        F.lit(val_fraction).alias("val_fraction"), "splits",
+        F.lit(val_fraction).alias("val_fraction"), "splits", "stats",
     )
     lines = documents.select(F.to_json(F.create_map("category", body), {"ignoreNullFields": "false"}))
     lines.write.mode("overwrite").text(path)
@@ -149,10 +153,21 @@ def append_results(rows: DataFrame, path: str) -> None:
 
 
 def write_accepted(candidates: DataFrame, path: str, keys: Sequence[str] = ("dataset", "class")) -> None:
-    """Accepted candidates replace their class partitions; rejected ones disappear with them."""
-    candidates.where("accepted").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(
-        *keys
-    ).parquet(path)
+    """Accepted candidates replace their class partitions; rejected ones disappear with them.
+
+    A class of the batch without an accepted row loses its old partition. Keys must be strings.
+    """
+    spark, names = candidates.sparkSession, list(keys)
+    accepted = candidates.where("accepted")
+    emptied = candidates.groupBy(*names).agg(F.count_if("accepted").alias("n")).where("n = 0").drop("n")
+    if path_exists(spark, path):
+        old = spark.read.schema(candidates.schema).parquet(path).withColumn("__file", F.col("_metadata.file_path"))
+        stale = old.join(emptied, names, "left_semi").select(F.regexp_replace("__file", "/[^/]*$", "").alias("f")).distinct()
+        jvm = spark.sparkContext._jvm
+        for row in stale.collect():  # one row per emptied class
+            folder = jvm.org.apache.hadoop.fs.Path(jvm.java.net.URI(row["f"]))
+            folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+    accepted.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*names).parquet(path)
 
 
 def candidate_metadata(

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from defectspark.sources.annotations import document_frame_size, extract_shapes, parse_documents
-from defectspark.sources.reports import path_exists, upsert
+from defectspark.sources.reports import path_exists
 
 
 def stream_documents(spark: SparkSession, root: str, glob: str = "*.json", files_per_batch: int = 10000) -> DataFrame:
@@ -43,6 +43,9 @@ def upsert_new(
 ) -> StreamingQuery:
     """Upsert each micro-batch by key; ``latest_version`` names the newest whole table.
 
+    The row with the largest ``order`` stays, stored or new, so a late row replaces nothing;
+    of equal ones the newly arrived stays.
+
     A batch writes folder ``version=<batch>`` from the newest earlier version, so a batch
     that is replayed after a failure writes the same folder again.
     """
@@ -51,7 +54,10 @@ def upsert_new(
         spark = batch.sparkSession
         before = latest_version(spark, target, below=number)
         old = spark.read.parquet(before) if before else batch.limit(0)
-        upsert(old, batch, keys, order).write.mode("overwrite").parquet(f"{target}/version={number:010d}")
+        both = old.withColumn("__new", F.lit(False)).unionByName(batch.withColumn("__new", F.lit(True)))
+        rest = [c for c in batch.columns if c not in keys]
+        newest = both.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct(*order, "__new")).alias("__row"))
+        newest.select(*keys, "__row.*").select(*batch.columns).write.mode("overwrite").parquet(f"{target}/version={number:010d}")
 
     return (
         stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint)

@@ -145,9 +145,13 @@ def test_processed_lake_to_samples(spark, tmp_path):
     path = str(tmp_path / "samples")
     IO.write_samples(samples.drop("empties_rest"), path)
     assert spark.read.parquet(path).where("category = 'cat'").count() == 24
-    IO.export_split_manifest(samples, str(tmp_path / "nested"), 42, 0.1, entries_per_line=7)
+    typed = samples.withColumn("defect_types", F.when(F.col("is_anomalous"), F.array(F.lit("dent"))))
+    IO.export_split_manifest(typed, str(tmp_path / "nested"), 42, 0.1, parts=3)
     back = IO.read_split_manifest(spark, str(tmp_path / "nested"), lines=True)
     assert back.count() == len(rows) and {r["split"] for r in back.select("split").distinct().collect()} == {"train", "val", "test"}
+    assert back.where("defect_types[0] = 'dent'").count() == typed.where("is_anomalous").count()
+    stats = spark.read.json(str(tmp_path / "nested")).select("cat.stats.test.*").where("total IS NOT NULL").agg(F.sum("total"), F.sum("anomalous")).first()
+    assert tuple(stats) == (4, 3)
 
 
 def test_report_corpus_end_to_end(spark, tmp_path):
@@ -252,6 +256,15 @@ def test_accepted_partitions_are_replaced(spark, tmp_path):
     IO.write_accepted(spark.createDataFrame([("d", "b", "u3", True)], "dataset string, class string, uid string, accepted boolean"), path)
     IO.write_accepted(rows(False), path)
     assert sorted(r["uid"] for r in spark.read.parquet(path).collect()) == ["u1", "u3"]
+    IO.write_accepted(rows(False).withColumn("accepted", F.lit(False)), path)
+    assert [r["uid"] for r in spark.read.parquet(path).collect()] == ["u3"]
+
+
+def test_images_of_one_stem_do_not_repeat_a_document(spark):
+    docs = A.parse_documents(spark.createDataFrame([("p/x.json", "x", "{}"), ("q/y.json", "y", "{}")], "path string, stem string, text string"))
+    images = spark.createDataFrame([("x", "b/x.png", 5, 6), ("x", "a/x.png", 7, 8)], "stem string, path string, image_height int, image_width int")
+    sized = A.document_frame_size(docs, images).select("stem", "height", "width").orderBy("stem").collect()
+    assert [tuple(r) for r in sized] == [("x", 7, 8), ("y", 256, 256)]
 
 
 def test_streams_take_only_new_files(spark, tmp_path):
@@ -284,6 +297,7 @@ def test_streamed_upsert_keeps_the_last(spark, tmp_path):
 
     assert run([("a", 1, 1), ("a", 2, 2), ("b", 5, 1)]) == {"a": 2, "b": 5}
     assert run([("b", 6, 2), ("c", 7, 1)]) == {"a": 2, "b": 6, "c": 7}
+    assert run([("b", 9, 1), ("c", 8, 1)]) == {"a": 2, "b": 6, "c": 8}
 
 
 def test_configuration_rows(spark):

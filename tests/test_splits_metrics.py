@@ -164,6 +164,28 @@ def test_set_distances_match_numpy(spark):
         assert fid[c] == pytest.approx(want)
 
 
+def test_null_groups_stay(spark):
+    df, _ = vectors(spark)
+    nulled = df.withColumn("class", F.when(F.col("class") != "a", F.col("class")))
+    for found, key in (
+        (N.frechet_distance(nulled, ["class"], "side", "x", "real", "synthetic"), "fid"),
+        (N.kernel_distance(nulled, ["class"], "side", "x", "real", "synthetic", 5), "kid"),
+        (N.kernel_distance_subsets(nulled, ["class"], "side", "id", "x", "real", "synthetic", subsets=3, max_size=5), "kid"),
+    ):
+        got = {r["class"]: r[key] for r in found.collect()}
+        assert set(got) == {None, "b"} and all(v is not None for v in got.values())
+    assert {r["class"] for r in N.coreset(nulled, ["class"], "id", "x", parts=2).collect()} == {None, "b"}
+    halves = nulled.where("side = 'synthetic'"), nulled.where("side = 'real'")
+    assert {r["class"] for r in N.nearest_neighbours(*halves, ["class"], "id", "x", k=2).collect()} == {None, "b"}
+
+
+def test_buckets_order_every_double(spark):
+    values = [float("-inf"), -1e300, -2.0, 0.0, 1e-300, 3.0, 1e308, float("inf"), float("nan")]
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, v double")
+    rows = df.withColumn("b", K.value_bucket(F.col("v"))).orderBy("i").collect()
+    assert [r["b"] for r in rows] == sorted({r["b"] for r in rows})
+
+
 def test_subset_kernel_distance(spark):
     df, pick = vectors(spark)
     # Equal sizes and a large limit: every draw is the whole smaller set.
