@@ -25,10 +25,16 @@ _SIMPLE = re.compile(r"[\x21-\x7e\xc0-\xff]+")
 # How the tokenizer cuts a chunk of small letters: fixed by its file.
 _PIECE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z\xdf-\xf6\xf8-\xff]+|[0-9]|[^a-z0-9\xdf-\xf6\xf8-\xff]+")
 _ODD_BLANK = re.compile("[\x0b\x0c\x1c-\x1f\x85\xa0  -     　]")
+_ODD_ASCII = "\x0b\x0c\x1c\x1d\x1e\x1f"
 _HELD = 400_000
 _SLICE_CHARS = 4_000_000
 
 
+def _has_odd_blank(text: str) -> bool:
+    """Whether ``str.split`` would cut where the tokenizer does not; plain text is searched character by character."""
+    return any(c in text for c in _ODD_ASCII) if text.isascii() else _ODD_BLANK.search(text) is not None
+
+
 class _Recent:
     """A map that keeps the latest ``most`` to ``2 * most`` entries used."""
 
@@ -97,9 +103,9 @@ class ChunkEncoder:
         self.parts.turn()
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        split = [re.split(r"[ \n\t\r]+", t.strip(" \n\t\r")) if _ODD_BLANK.search(t) else t.split() for t in texts]
+        split = [re.split(r"[ \n\t\r]+", t.strip(" \n\t\r")) if _has_odd_blank(t) else t.split() for t in texts]
         get = self.chunks.get
-        missing = {c for chunks in split for c in chunks if get(c) is None}
+        missing = {c for c in set().union(*split) if get(c) is None}
         missing.discard("")
         self._learn_chunks(sorted(missing))
         held = self.chunks.new
