@@ -421,34 +421,36 @@ def composite_lines(
     lines: DataFrame, runs: DataFrame, inside: str, outside: str, out: str = "pixels",
     keys: Sequence[str] = ("image_id",),
 ) -> DataFrame:
-    """Scanlines that take ``inside`` under the mask and ``outside`` elsewhere.
+    """Scanlines that take ``inside`` under the mask and ``outside`` elsewhere, both of the line's length.
 
-    Adds the result and ``spans``, the mask runs of the line (at most half its width).
+    Adds the result and ``spans``, the disjoint mask runs of the line in order (at most half its
+    width). A line is put together from slices, so its cost is linear in the width.
     """
     line = [*keys, "y"]
-    spans = runs.groupBy(*line).agg(F.collect_list(F.struct("x0", "x1")).alias("spans"))
+    before = Window.partitionBy(*line).orderBy("x0", "x1").rowsBetween(Window.unboundedPreceding, -1)
+    first = F.greatest(F.col("x0"), F.max("x1").over(before) + 1, F.lit(0))
+    apart = runs.withColumn("x0", first).where("x0 <= x1")
+    spans = apart.groupBy(*line).agg(F.array_sort(F.collect_list(F.struct("x0", "x1"))).alias("spans"))
     joined = lines.join(spans, line, "left")
-    return joined.withColumn(
-        out,
-        F.transform(
-            F.arrays_zip(F.col(inside).alias("a"), F.col(outside).alias("b")),
-            lambda p, x: F.when(_covered(x), p["a"]).otherwise(p["b"]),
-        ),
-    )
+    return joined.withColumn(out, _laid(F.col(inside), F.col(outside)))
 
 
-def _covered(x: Column) -> Column:
-    hit = F.exists("spans", lambda s: (s["x0"] <= x) & (x <= s["x1"]))
-    return F.coalesce(hit, F.lit(False))
+def _laid(inside: Column, outside: Column) -> Column:
+    """``inside`` over the ordered disjoint ``spans``, ``outside`` between them, slice by slice."""
+    spans = F.coalesce(F.col("spans"), F.array().cast("array<struct<x0:int,x1:int>>"))
+    after = lambda i: F.coalesce(F.get(spans, i - 1)["x1"] + 1, F.lit(0))
+    cut = lambda pixels, start, end: F.slice(pixels, start + 1, F.greatest(end - start, F.lit(0)))
+    pieces = F.transform(
+        spans,
+        lambda s, i: F.concat(cut(outside, after(i), s["x0"]), cut(inside, s["x0"], s["x1"] + 1)),
+    )
+    return F.concat(F.flatten(pieces), cut(outside, after(F.size(spans)), F.size(outside)))
 
 
 def composite_violations(lines: DataFrame, result: str, clean: str, keys: Sequence[str] = ("image_id",)) -> DataFrame:
     """Images with pixels outside the mask where ``result`` differs from ``clean``."""
     wrong = F.filter(
-        F.transform(
-            F.arrays_zip(F.col(result).alias("a"), F.col(clean).alias("b")),
-            lambda p, x: ~_covered(x) & ~p["a"].eqNullSafe(p["b"]),
-        ),
+        F.zip_with(result, _laid(F.col(result), F.col(clean)), lambda a, b: ~a.eqNullSafe(b)),
         lambda bad: bad,
     )
     return (

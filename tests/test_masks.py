@@ -194,3 +194,12 @@ def test_composite_keeps_pixels_outside(spark):
     assert flat == [i if i in (8, 9, 24) else 127 for i in range(36)]
     assert M.composite_violations(lines, "pixels", "clean").count() == 0
     assert M.composite_violations(lines, "made", "clean").first()["changed_outside"] == 33
+
+
+def test_composite_lays_overlapping_runs_once(spark):
+    lines = spark.createDataFrame([(1, 0, [1, 2, 3, 4, 5], [-1, -2, -3, -4, -5]), (1, 1, [7, 8], [-7, -8]), (2, 0, [], [])],
+                                  "image_id int, y int, made array<int>, clean array<int>")
+    runs = spark.createDataFrame([(1, 0, 0, 2), (1, 0, 1, 1), (1, 0, 2, 3), (2, 0, 0, 4)], "image_id int, y int, x0 int, x1 int")
+    laid = M.composite_lines(lines, runs, "made", "clean")
+    assert {(r["image_id"], r["y"]): r["pixels"] for r in laid.collect()} == {(1, 0): [1, 2, 3, 4, -5], (1, 1): [-7, -8], (2, 0): []}
+    assert {r["image_id"]: r["changed_outside"] for r in M.composite_violations(laid, "made", "clean").collect()} == {1: 3}
