@@ -56,8 +56,8 @@ def _grounding(spark, sf_dir):
 @query(
     "record_disagreements",
     FACTS
-    + """ SELECT 'u' || image_id AS uid, 'affected areas disagree' AS rule FROM facts WHERE area_pct > 15
-       UNION ALL SELECT 'u' || image_id, 'regions disagree' FROM facts WHERE severity_level = 'minor' AND region <> 'centre'
+    + """ SELECT 'u' || image_id AS uid, 'area differs from the facts' AS rule FROM facts WHERE area_pct > 15
+       UNION ALL SELECT 'u' || image_id, 'region differs from the facts' FROM facts WHERE severity_level = 'minor' AND region <> 'centre'
        UNION ALL SELECT 'u' || image_id, 'image path mismatch' FROM facts WHERE severity_level = 'none'""",
 )
 def _disagreements(spark, sf_dir):
@@ -107,13 +107,15 @@ def _vocabulary(spark, sf_dir):
 
 SYSTEM = "Describe the defect as one JSON object."
 ASK = "Vocabulary and facts follow."
+WORDS = "Known types: "
+KNOWN = "Measured: "
 NOTE = "Only the action inspect is supported."
 
 
 def prompts_view(spark, sf_dir):
     members = R.prompt_facts(members_view(spark, sf_dir)).withColumn("answer", R.report_json(F.col("report")))
     templates = template_view(spark, sf_dir).select(F.lit("vectors").alias("dataset"), "defect_type")
-    return R.prompt_messages(members, R.defect_vocabulary(templates), SYSTEM, ASK, NOTE, target="answer")
+    return R.prompt_messages(members, R.defect_vocabulary(templates), SYSTEM, ASK, NOTE, WORDS, KNOWN, target="answer")
 
 
 # Only values with a plain decimal form occur here, so both sides print numbers alike.
@@ -121,14 +123,14 @@ def prompts_view(spark, sf_dir):
     "report_prompts",
     FACTS
     + f""", v AS (SELECT '["' || string_agg(DISTINCT 'type_' || label, '","' ORDER BY 'type_' || label) || '"]' AS words FROM embeddings)
-      SELECT image_id, 'system,user,assistant' AS roles, '{SYSTEM}' || chr(10) || '{ASK}' || chr(10) || 'Applicable defect vocabulary: ' || words || chr(10) || 'Authoritative Bridge facts: ' AS head,
+      SELECT image_id, 'system,user,assistant' AS roles, '{SYSTEM}' || chr(10) || '{ASK}' || chr(10) || '{WORDS}' || words || chr(10) || '{KNOWN}' AS head,
         '"defect_present":' || defect_present || ',"region":' || coalesce('"' || region || '"', 'null') || ',"severity_level":"' || severity_level || '"' AS facts FROM facts, v""",
 )
 def _prompts(spark, sf_dir):
     text = R.prompt_text(F.col("messages"))
     return prompts_view(spark, sf_dir).select(
         "image_id", F.array_join(F.transform("messages", lambda m: m["role"]), ",").alias("roles"),
-        F.regexp_extract(text, r"(?s)^(.*?Authoritative Bridge facts: )", 1).alias("head"),
+        F.regexp_extract(text, rf"(?s)^(.*?{KNOWN})", 1).alias("head"),
         F.concat(F.regexp_extract(text, '("defect_present":[a-z]+,)', 1), F.regexp_extract(text, '("region":.*?,"severity_level":"[a-z]+")', 1)).alias("facts"),
     )
 
@@ -136,8 +138,8 @@ def _prompts(spark, sf_dir):
 @query(
     "report_json",
     FACTS
-    + f""" SELECT image_id, '"defect_present":' || defect_present || ',"defect_type":"' || defect_type || '","description":"A ' || defect_type || ' condition on ' || class || ' is identified in the '
-      || coalesce(region, 'None') || ', affecting ' || {PCT} || '% of the image.","location":{{"bounding_box":' || coalesce('[' || box_x || ',' || box_y || ',' || box_w || ',' || box_h || ']', 'null') || ',' AS part FROM facts""",
+    + f""" SELECT image_id, '"defect_present":' || defect_present || ',"defect_type":"' || defect_type || '","description":"' || class || ' shows ' || defect_type || ': '
+      || coalesce(region, 'None') || ', ' || {PCT} || '% covered.","location":{{"bounding_box":' || coalesce('[' || box_x || ',' || box_y || ',' || box_w || ',' || box_h || ']', 'null') || ',' AS part FROM facts""",
 )
 def _json(spark, sf_dir):
     text = R.report_json(F.col("report"))
@@ -181,7 +183,7 @@ def _shout(text: pd.Series) -> pd.Series:
 @query(
     "enriched_descriptions",
     FACTS
-    + f""" SELECT image_id, upper('A ' || defect_type || ' condition on ' || class || ' is identified in the ' || coalesce(region, 'None') || ', affecting ' || {PCT} || '% of the image.') AS description,
+    + f""" SELECT image_id, upper(class || ' shows ' || defect_type || ': ' || coalesce(region, 'None') || ', ' || {PCT} || '% covered.') AS description,
         0 AS n_violations FROM facts""",
 )
 def _enriched(spark, sf_dir):

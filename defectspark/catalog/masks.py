@@ -107,7 +107,9 @@ def _grounded_runs(spark, sf_dir):
     return flat_facts(M.ground_masks(rebuilt, "defect_type", CUTOFFS, OVERRIDES), "image_id")
 
 
-DESCRIPTION = "A {defect_type} condition on {class_name} is identified in the {region}, affecting {affected_area_pct:.2f}% of the image."
+DESCRIPTION = "{class_name} shows {defect_type}: {region}, {affected_area_pct:.2f}% covered."
+RATIONALE = "Graded {severity_level}: {defect_type} covers {affected_area_pct:.2f}%."
+CONFIDENCE = "Sample text; check by eye."
 REASON = "Inspect the {region} to verify the {severity_level} {defect_type}."
 
 
@@ -124,7 +126,7 @@ def template_view(spark, sf_dir: str) -> DataFrame:
 
 
 def reports_view(spark, sf_dir: str) -> DataFrame:
-    return R.full_reports(facts_view(spark, sf_dir), template_view(spark, sf_dir))
+    return R.full_reports(facts_view(spark, sf_dir), template_view(spark, sf_dir), RATIONALE, CONFIDENCE)
 
 
 # Percentages of 64 pixels have at most six binary digits; ties go to the even digit.
@@ -135,10 +137,8 @@ PCT = "printf('%.2f', round_even(area_pct, 2))"
     "defect_reports",
     FACTS
     + f""" SELECT image_id, defect_type, defect_present, coalesce(region, 'None') AS region, severity_level,
-   'A ' || defect_type || ' condition on ' || class || ' is identified in the ' || coalesce(region, 'None')
-     || ', affecting ' || {PCT} || '% of the image.' AS description,
-   'The ' || defect_type || ' affects ' || {PCT} || '% of the image and is assigned ' || severity_level
-     || ' severity by the configured area thresholds.' AS rationale,
+   class || ' shows ' || defect_type || ': ' || coalesce(region, 'None') || ', ' || {PCT} || '% covered.' AS description,
+   'Graded ' || severity_level || ': ' || defect_type || ' covers ' || {PCT} || '%.' AS rationale,
    'inspect' AS action, 'Inspect the ' || coalesce(region, 'None') || ' to verify the ' || severity_level || ' ' || defect_type || '.' AS reason,
    0 AS n_violations FROM facts""",
 )

@@ -158,8 +158,8 @@ def _latest(spark, sf_dir):
     "category_readiness",
     """WITH s AS (SELECT d.source AS category, count(*) FILTER (WHERE l.doc_id IS NULL) AS train_total, count(*) FILTER (WHERE toxic = 1) AS test_anomalous,
           count(*) FILTER (WHERE toxic = 0) AS test_normal FROM documents d LEFT JOIN labels l USING (doc_id) GROUP BY 1)
-       SELECT category, CASE WHEN category = 'src4' THEN 'held back' WHEN train_total = 0 THEN 'No training samples' WHEN test_anomalous = 0 THEN '0 anomalous test images'
-          WHEN test_normal = 0 THEN '0 normal test images' ELSE 'ok' END AS reason,
+       SELECT category, CASE WHEN category = 'src4' THEN 'held back' WHEN train_total = 0 THEN 'nothing to train on' WHEN test_anomalous = 0 THEN 'no anomalous test image'
+          WHEN test_normal = 0 THEN 'no normal test image' ELSE 'ok' END AS reason,
           category <> 'src4' AND train_total > 0 AND test_anomalous > 0 AND test_normal > 0 AND train_total < 30 AS low_sample FROM s""",
 )
 def _readiness(spark, sf_dir):
@@ -180,8 +180,8 @@ def ready_view(spark, sf_dir):
     """WITH s AS (SELECT d.source AS category, count(*) FILTER (WHERE l.doc_id IS NULL) AS train_total, count(*) FILTER (WHERE toxic = 1) AS a,
           count(*) FILTER (WHERE toxic = 0) AS n, count(*) FILTER (WHERE lang = 'fr') AS fr, count(*) FILTER (WHERE lang = 'de' AND toxic = 1) AS de
           FROM documents d LEFT JOIN labels l USING (doc_id) GROUP BY 1),
-       r AS (SELECT *, CASE WHEN category = 'src4' THEN 'held back' WHEN train_total = 0 THEN 'No training samples' WHEN a = 0 THEN '0 anomalous test images'
-          WHEN n = 0 THEN '0 normal test images' ELSE 'ok' END AS reason FROM s),
+       r AS (SELECT *, CASE WHEN category = 'src4' THEN 'held back' WHEN train_total = 0 THEN 'nothing to train on' WHEN a = 0 THEN 'no anomalous test image'
+          WHEN n = 0 THEN 'no normal test image' ELSE 'ok' END AS reason FROM s),
        t AS (SELECT CASE WHEN reason <> 'ok' THEN 'skipped' WHEN fr > 8 THEN 'successful' WHEN de > 0 THEN 'failed' ELSE 'pending' END AS status, reason FROM r)
        SELECT status, CASE status WHEN 'skipped' THEN reason WHEN 'failed' THEN 'out of memory' ELSE '' END AS why, count(*) AS n_categories FROM t GROUP BY ALL""",
 )

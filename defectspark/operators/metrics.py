@@ -428,6 +428,7 @@ def quality_flags(
             (F.col("q1") - multiplier * spread).alias("low"), (F.col("q3") + multiplier * spread).alias("high")
         )
     )
+    # Flag names that report readers expect.
     flags = F.array_compact(
         F.array(
             F.when((F.col(rate) < low) | (F.col(rate) > high), "LFS_OUTSIDE_EXPECTED_BAND"),

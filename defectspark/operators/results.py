@@ -93,10 +93,10 @@ def readiness(stats: DataFrame, skip: Mapping[str, str] | None = None, low_sampl
         reason = F.coalesce(reason, F.when(F.col("category") == name, F.lit(why)))
     rule = (
         F.when(reason.isNotNull(), reason)
-        .when(~F.col("in_manifest"), "Category missing from manifest")
-        .when(F.col("train_total") == 0, "No training samples")
-        .when(F.col("test_anomalous") == 0, "0 anomalous test images")
-        .when(F.col("test_normal") == 0, "0 normal test images")
+        .when(~F.col("in_manifest"), "not in the manifest")
+        .when(F.col("train_total") == 0, "nothing to train on")
+        .when(F.col("test_anomalous") == 0, "no anomalous test image")
+        .when(F.col("test_normal") == 0, "no normal test image")
         .otherwise("ok")
     )
     return stats.withColumn("reason", rule).withColumn("ok", F.col("reason") == "ok").withColumn(

@@ -112,11 +112,11 @@ def agreement_rules() -> dict[str, Column]:
     g, r = F.col("grounding"), F.col("report")
     differ = lambda a, b: ~a.eqNullSafe(b)
     return {
-        "bounding boxes disagree": differ(g["bounding_box"], r["location"]["bounding_box"]),
-        "centroids disagree": differ(g["centroid"], r["location"]["centroid"]),
-        "regions disagree": differ(g["region"], r["location"]["region"]),
-        "affected areas disagree": differ(g["area_pct"], r["severity"]["affected_area_pct"]),
-        "severity levels disagree": differ(g["severity_level"], r["severity"]["level"]),
+        "box differs from the facts": differ(g["bounding_box"], r["location"]["bounding_box"]),
+        "centroid differs from the facts": differ(g["centroid"], r["location"]["centroid"]),
+        "region differs from the facts": differ(g["region"], r["location"]["region"]),
+        "area differs from the facts": differ(g["area_pct"], r["severity"]["affected_area_pct"]),
+        "severity differs from the facts": differ(g["severity_level"], r["severity"]["level"]),
         "uid mismatch": differ(g["uid"], F.col("uid")),
         "image path mismatch": differ(posix_path(g["image_path"]), posix_path(F.col("image_path"))),
         "mask path mismatch": differ(posix_path(g["mask_path"]), posix_path(F.col("mask_path"))),

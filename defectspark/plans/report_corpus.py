@@ -19,6 +19,8 @@ from defectspark.operators.masks import ground_masks
 class CorpusOptions:
     dataset: str
     root: str
+    rationale: str
+    confidence: str
     seed: int = 42
     test_fraction: float = 0.2
     cutoffs: tuple[float, float] = (1.0, 5.0)
@@ -41,7 +43,7 @@ def select_members(samples: DataFrame, inventory: DataFrame, options: CorpusOpti
 def corpus_reports(members: DataFrame, masks: DataFrame, templates: DataFrame, options: CorpusOptions) -> DataFrame:
     """Members with facts and a full report; ``masks`` has ``mask_path, height, width, runs``."""
     facts = ground_masks(members.join(masks, "mask_path"), "defect_type", options.cutoffs, options.overrides)
-    return R.full_reports(facts, templates)
+    return R.full_reports(facts, templates, options.rationale, options.confidence)
 
 
 def corpus_violations(reports: DataFrame, members: DataFrame, inventory: DataFrame, options: CorpusOptions) -> DataFrame:

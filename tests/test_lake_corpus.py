@@ -163,7 +163,7 @@ def test_report_corpus_end_to_end(spark, tmp_path):
     rows = [("cat", "dent", True, f"data/{n}.png", f"gt/{n}.png") for n in sizes] + [("cat", "dent", True, "data/e.png", None), ("cat", "dent", True, "data/f.png", "gt/f.png"), ("cat", "good", False, "data/g.png", None)]
     samples = spark.createDataFrame(rows, "category string, label string, is_anomalous boolean, image_path string, mask_path string")
     inventory = spark.createDataFrame([(f"gt/{n}.png",) for n in sizes] + [(f"data/{n}.png",) for n in "abd"], "path string")
-    options = C.CorpusOptions("lake", "data")
+    options = C.CorpusOptions("lake", "data", "{severity_level} at {affected_area_pct:.2f}%", "sample")
     members, skipped = C.select_members(samples, inventory, options)
     assert {(r["image_path"], r["skip_reason"]) for r in skipped.collect()} == {("data/e.png", "null mask_path"), ("data/f.png", "missing mask file: gt/f.png")}
     split = {r["image_path"]: r["split"] for r in members.collect()}
