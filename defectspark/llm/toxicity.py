@@ -8,6 +8,7 @@ obfuscated spellings. Trees and calibration are fitted by aggregation over all l
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -63,16 +64,23 @@ def _document_words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def learn_lexicon(labelled: DataFrame, text: str, label: str, size: int = 256) -> list[str]:
     """At most ``size`` words and stems that mark toxic documents, those in most toxic documents first.
 
-    Their log odds against clean documents exceed 3 and stand out from chance.
+    Their log odds against clean documents exceed 3, and even among as many entries as were looked
+    at, less than one would be that one-sided by chance (Chernoff bound of the binomial tail).
     """
     rows = labelled.select(F.col(text).alias("text"), F.col(label).alias("label")).where("text is not null")
     totals = rows.agg(F.sum("label"), F.count("*")).first()
     toxic, clean = float(totals[0] or 0), float((totals[1] or 0) - (totals[0] or 0))
+    if not toxic or not clean:
+        return []
     words = rows.mapInPandas(_document_words, "word string, toxic long, clean long")
-    sums = words.groupBy("word").agg(F.sum("toxic").alias("t"), F.sum("clean").alias("c")).where("t >= 3")
+    sums = words.groupBy("word").agg(F.sum("toxic").alias("t"), F.sum("clean").alias("c")).where("t + c >= 3")
+    sums = store(sums, "toxicity-words")
+    tests = max(sums.count(), 1)
     odds = F.log((F.col("t") + 0.5) / (toxic - F.col("t") + 0.5)) - F.log((F.col("c") + 0.5) / (clean - F.col("c") + 0.5))
-    surety = odds / F.sqrt(1 / (F.col("t") + 0.5) + 1 / (F.col("c") + 0.5))
-    marked = sums.where((odds > 3) & (surety > 2.5)).orderBy(F.desc("t"), "word").limit(size)
+    n, rate = F.col("t") + F.col("c"), toxic / (toxic + clean)
+    surplus = lambda k, share: F.when(k > 0, k * F.log(k / n / share)).otherwise(0.0)
+    chance = surplus(F.col("t"), rate) + surplus(F.col("c"), 1 - rate)
+    marked = sums.where((F.col("t") >= 3) & (odds > 3) & (chance > math.log(tests))).orderBy(F.desc("t"), "word").limit(size)
     return [r["word"] for r in marked.select("word").collect()]
 
 
