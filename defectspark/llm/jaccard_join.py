@@ -259,16 +259,17 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", n:
     sigs = signatures(docs, n, bands, rows, text, key)
     groups = sigs.groupBy("fp1", "fp2").agg(F.min("rid").alias("rep"), F.count("*").alias("copies"))
     members = store(sigs.select("rid", "key", "text_hash", "n", "fp1", "fp2").join(groups, ["fp1", "fp2"]), "jaccard-members")
-    reps = members.where("rid = rep").select("rid", "key", "fp1", "fp2", "copies", "n")
+    reps = members.where("rid = rep").select("rid", "key", "text_hash", "fp1", "fp2", "copies", "n")
     nodes = sigs.join(reps.where("n > 0").select("rid"), "rid").select("rid", "n", "sig", "keys")
     near = store(components(candidate_edges(nodes, threshold, margin, bucket_rows), "jaccard-clusters"), "jaccard-near")
     sizes = near.groupBy("label").agg(F.count("*").alias("m"))
     wanted = near.withColumnRenamed("node", "rid").join(sizes, "label").join(reps, "rid").select(
         F.col("label").alias("cluster"), "m", "rid", "copies", F.col("fp1").alias("w1"), F.col("fp2").alias("w2"),
-        F.xxhash64("key").alias("__k"),
+        F.xxhash64("key").alias("__k"), F.col("text_hash").alias("__h"),
     )
-    texts = docs.select(F.xxhash64(F.col(key)).alias("__k"), F.col(text).alias("__t")).where("__t is not null")
-    sets = shingle_sets(texts.join(wanted, "__k"), n, F.col("__t"), "s").where("s.fp1 = w1 and s.fp2 = w2")
+    texts = docs.select(F.xxhash64(F.col(key)).alias("__k"), F.xxhash64(F.col(text)).alias("__h"), F.col(text).alias("__t")).where("__t is not null")
+    met = texts.join(wanted, ["__k", "__h"]).dropDuplicates(["rid"])  # rows of one key meet only where their texts are equal
+    sets = shingle_sets(met, n, F.col("__t"), "s").where("s.fp1 = w1 and s.fp2 = w2")
     links = store(verified(sets.select("cluster", "m", "rid", "copies", "s.shingles"), threshold, block_rows), "jaccard-links")
     labels = components(links.where("rid != root").select(F.col("rid").alias("a"), F.col("root").alias("b")), "jaccard-classes")
     counts = links.groupBy("rid").agg(F.sum("docs").alias("docs"), F.sum("texts").alias("texts"))

@@ -218,3 +218,17 @@ def test_components(spark):
     got = {r[0]: r[1] for r in components(spark.createDataFrame(edges, "a long, b long"), "t").collect()}
     assert got == {**dict.fromkeys(range(41), 0), 100: 50, 50: 50, 60: 50, 70: 70, 71: 70}
     assert components(spark.createDataFrame([], "a long, b long"), "t").collect() == []
+
+
+def test_rows_of_one_key_meet_only_equal_texts(spark, monkeypatch):
+    """With a null id in every row, each text of a cluster is cut into shingles once, and links stay right."""
+    words = [f"w{i}" for i in range(60)]
+    texts = [(None, " ".join([f"c{c}_{w}" for w in words[:-1]] + [f"t{c}_{v}"])) for c in range(20) for v in range(3)]
+    texts += [(None, texts[0][1])] * 30 + [(None, " ".join(f"u{i}_{k}" for k in range(30))) for i in range(200)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    cut, plain = [], jaccard_join.shingle_sets
+    monkeypatch.setattr(jaccard_join, "shingle_sets", lambda rows, *rest: cut.append(rows.count()) or plain(rows, *rest))
+    rows = jaccard_join.near_duplicates(docs).collect()
+    assert cut == [60]
+    assert Counter((r["doc_id"], r["class_id"], r["n_links"]) for r in rows) == classes(texts)
+    assert sum(r["first"] for r in rows) == 220
