@@ -11,7 +11,7 @@ from defectspark.llm.queries import toxicity_model
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a calibrated toxicity under one half; null and empty texts have no toxic feature."""
+    """Documents with a toxicity under one half, all of them where labels allow no fit; null and empty texts have no toxic feature."""
     scored = toxicity.score(docs, toxicity_model(spark, sf_dir, docs), out="__toxicity")
     return scored.where(F.col("__toxicity") < 0.5).select(*docs.columns)
 

@@ -33,6 +33,8 @@ SECOND_PERSON = frozenset(
 _LEET = str.maketrans({"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s", "!": "i"})
 _NEAR = 8
 _STEMS = (5, 6, 7)
+# The score of every text where nothing was learned: under one half, so that no text is rejected.
+UNFITTED = 0.49
 
 
 def _entries(word: str) -> list[str]:
@@ -47,7 +49,11 @@ class ToxicityModel:
     points: list[tuple[float, float]]
 
     def score(self, features: str = "__f") -> Column:
-        return calibrated(self.points, self.trees.margin(lambda f: F.col(f"{features}.{f}")))
+        """The calibrated margin; without calibration points its plain odds; ``UNFITTED`` if no tree tells texts apart."""
+        if not self.trees.trees:
+            return F.lit(UNFITTED)
+        margin = self.trees.margin(lambda f: F.col(f"{features}.{f}"))
+        return calibrated(self.points, margin) if self.points else 1 / (1 + F.exp(-margin))
 
 
 def _document_words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -123,16 +129,18 @@ def with_features(docs: DataFrame, lexicon: list[str], text: str = "text", out:
 
 
 def fit_on_features(rows: DataFrame, lexicon: list[str], label: str, calibrate: Column, features: str = "__f") -> ToxicityModel:
-    """Fit trees on the rows where ``calibrate`` is false and the isotonic map on the others."""
+    """Fit trees on the rows where ``calibrate`` is false and the isotonic map on the others, if these hold both classes."""
     flat = store(rows.select(*[F.col(f"{features}.{f}") for f in FEATURES], F.col(label).alias("__y"), calibrate.alias("__cal")), "toxicity-fit")
     trees = fit_boosted(flat.where("not __cal"), FEATURES, "__y", rounds=10, bins=8)
-    return ToxicityModel(lexicon, trees, fit_isotonic(flat.where("__cal"), trees.margin(), "__y"))
+    held = flat.where("__cal")
+    both = held.agg(F.countDistinct("__y")).first()[0] > 1
+    return ToxicityModel(lexicon, trees, fit_isotonic(held, trees.margin(), "__y") if both else [])
 
 
 def fit(labelled: DataFrame, label: str, calibrate: Column, text: str = "text") -> ToxicityModel:
     """Learn lexicon, trees and calibration from rows with a label; rows with null text count as empty.
 
-    Without labelled rows every score is 0.5; with one class only, scores follow that class.
+    Without labelled rows, with one class only or where no feature splits the classes, every score is ``UNFITTED``.
     """
     lexicon = learn_lexicon(labelled.where(~calibrate), text, label)
     return fit_on_features(with_features(labelled, lexicon, text), lexicon, label, calibrate)

@@ -126,3 +126,34 @@ def test_edges(spark, tiny, none):
     assert {r[0] for r in got[-1].select("doc_id").collect()} == {r[0] for r in got[-2].select("doc_id").collect()}
     empty = corpus_pipeline.run(spark, none)
     assert empty.count() == 0 and empty.columns == got[-1].columns
+
+
+def test_tiny_rows_leave_every_stage(spark, tiny):
+    """No label falls into the calibration fold, and still only the repeated and the contaminated rows go."""
+    got = [sorted((r[0] is None, r[0] or 0) for r in df.select("doc_id").collect()) for df in stage_outputs(spark, tiny)]
+    ids = lambda *keys: [(False, k) for k in keys]
+    assert got[0] == got[1] == [*ids(1, 2, 3, 4, 4, 5, 6, 7), (True, 0)]
+    assert got[2] == [*ids(1, 2, 3, 4, 5, 6, 7), (True, 0)]
+    assert got[3] == got[4] == ids(1, 2, 3, 5, 7)
+    assert sorted(set(got[5])) == ids(1, 2, 3, 5, 7)
+
+
+@pytest.mark.parametrize("labels", [[], [(k, None) for k in range(40)], [(k, 1) for k in range(40)], "outside"])
+def test_labels_that_allow_no_calibration(spark, tmp_path, labels):
+    """Without usable calibration labels clean texts stay; with trees and no calibration rows toxic ones still go."""
+    from pyspark.sql import functions as F
+
+    from defectspark.llm.common import fold
+
+    folder = str(tmp_path)
+    texts = [(k, f"you are an idiot moron {k}" if k % 2 else f"a fine day in town {k}") for k in range(200)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    docs.write.parquet(f"{folder}/documents.parquet")
+    if labels == "outside":
+        docs.where(fold(F.col("doc_id"), 5) != 4).select("doc_id", (F.col("doc_id") % 2).cast("int").alias("toxic")).write.parquet(f"{folder}/labels.parquet")
+        want = {k for k, _ in texts if k % 2 == 0}
+    else:
+        spark.createDataFrame(labels, "doc_id long, toxic int").write.parquet(f"{folder}/labels.parquet")
+        want = {k for k, _ in texts}
+    assert set(texts_of(corpus_pipeline.drop_toxic(spark, docs, folder))) == want
+    assert {r["doc_id"] for r in queries.QUERIES["op4_toxicity"](spark, folder).where("predicted = 0").collect()} == want
