@@ -2,7 +2,7 @@ import json
 import os
 
 import pytest
-from conftest import mask_df, png, raster
+from rasters import mask_df, png, raster
 from pyspark.sql import functions as F
 
 from defectspark.operators import lake as L

@@ -2,7 +2,7 @@ import random
 
 import numpy as np
 import pytest
-from conftest import bmp, mask_df, png, raster
+from rasters import bmp, mask_df, png, raster
 from pyspark.sql import functions as F
 
 from defectspark.functions.geometry import severity_level
