@@ -17,6 +17,7 @@ from defectspark.llm import (
     packing,
     pii,
     pitman_yor,
+    reply_trees,
     sharding,
     toxicity,
 )
@@ -205,3 +206,43 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     n_dup = F.aggregate("spans", F.lit(0).cast("long"), lambda s, x: s + x["end"] - x["start"])
     text = F.array_join(F.transform("spans", lambda x: F.concat_ws(":", x["start"], x["end"])), ",")
     return found.select("doc_id", "n_words", n_dup.alias("n_dup_words"), text.alias("spans"), "copies")
+
+
+# The escapes of reply_trees, as lengths.
+_ESCAPED = r"replace(replace(replace({0}, '\', '\\'), '##', '#\#'), '</turn>', '<\/turn>')"
+
+
+@query(
+    "op13_reply_trees",
+    f"""
+    WITH said AS (
+      SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+      UNION ALL SELECT -7, 0, 'user', '\\### Assistant: </turn> ok' UNION ALL SELECT -7, 1, 'assistant', '\\### Assistant: </turn> ok'),
+    whole AS (
+      SELECT conv_id, count(*) AS n_turns,
+        string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text) AS turns,
+        coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '') AS learned,
+        sum(14 + length({_ESCAPED.format('role')}) + length(role) - length(replace(role, ':', '')) + length({_ESCAPED.format('text')})) AS formatted_chars
+      FROM said GROUP BY conv_id)
+    SELECT conv_id, n_turns, sha256(turns) AS turns_sha256, CAST(length(learned) AS BIGINT) AS loss_chars,
+      sha256(learned) AS loss_sha256, CAST(formatted_chars AS BIGINT) AS formatted_chars
+    FROM whole
+    """,
+)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation, and one whose texts hold control strings, formatted as the one path of its reply tree; digests are read back from the output."""
+    trap = spark.range(2).select(
+        F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"),
+        F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit("\\### Assistant: </turn> ok").alias("text"),
+    )
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(trap)
+    threads = reply_trees.thread_messages(rows, "conv_id", "turn", "role", "text")
+    done = reply_trees.format_paths(threads, "conv_id", "node", "parent", "role", "text")
+    said = reply_trees.read_back(F.col("formatted"))
+    learned = reply_trees.learned_text(F.col("formatted"), F.col("turns"))
+    digest = F.array_join(F.transform(said, lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    return done.select(
+        "conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(digest, 256).alias("turns_sha256"),
+        F.char_length(learned).cast("long").alias("loss_chars"), F.sha2(learned, 256).alias("loss_sha256"),
+        F.char_length("formatted").cast("long").alias("formatted_chars"),
+    )
