@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from defectspark.catalog.registry import table
 from defectspark.llm import (
     collinear,
+    cover_tree,
     decision_lists,
     decontamination,
     jaccard_join,
@@ -246,3 +247,12 @@ def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.char_length(learned).cast("long").alias("loss_chars"), F.sha2(learned, 256).alias("loss_sha256"),
         F.char_length("formatted").cast("long").alias("formatted_chars"),
     )
+
+
+@query("op12_cover_tree")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives of every hundredth vector, searched among all vectors."""
+    vectors = table(spark, sf_dir, "embeddings")
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    rows = cover_tree.clean_rows(vectors, "vec_id", moved, "embedding")
+    return cover_tree.hard_negatives(rows, F.col("id") % 100 == 0)
