@@ -16,6 +16,7 @@ from defectspark.llm import (
     jaccard_join,
     language_id,
     packing,
+    periodic_runs,
     pii,
     pitman_yor,
     reply_trees,
@@ -256,3 +257,15 @@ def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
     rows = cover_tree.clean_rows(vectors, "vec_id", moved, "embedding")
     return cover_tree.hard_negatives(rows, F.col("id") % 100 == 0)
+
+
+@query("op11_periodic_runs")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Periodic runs of every text, a tenth of which are given a periodic tail first, and the text without their repeats."""
+    found = periodic_runs.periodic_runs(table(spark, sf_dir, "documents"), change=periodic_runs.planted)
+    listed = F.array_join(F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n"))), "")
+    return found.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period",
+        F.expr("(1000 * best.length) div best.period").alias("exponent_milli"),
+        F.sha2(listed, 256).alias("runs_sha256"), F.col("collapsed").alias("collapsed_sha256"),
+    )
