@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from defectspark.operators.ranking import exact_percentiles, exact_rank, join_groups, running_sums, value_bucket
+from defectspark.operators.ranking import Balanced, exact_percentiles, exact_rank, join_groups, running_sums
 
 # --- detection scores ---------------------------------------------------------------
 
@@ -29,7 +29,7 @@ def threshold_metrics(
     scored = running_sums(
         df.where(F.col(score).isNotNull()), group, score,
         {"pos": F.sum(F.when(on, count).otherwise(0)), "neg": F.sum(F.when(on, 0).otherwise(count))},
-        value_bucket(F.col(score)),
+        Balanced(F.col(score)),
     )
     total_pos, total_neg = F.col("pos_total").cast("double"), F.col("neg_total").cast("double")
     below = F.col("pos").cast("double") * (F.col("neg_before") + F.col("neg") / F.lit(2.0))

@@ -6,6 +6,10 @@ counts into offsets, and sort only inside ``(group, bucket)``. The bucket is a
 pure function of the row, so both passes agree without a checkpoint. Results
 equal the plain window.
 
+Buckets of numbers come from ``Balanced``: logarithmic steps are counted, and steps that hold too
+many rows are cut into cells between their own smallest and largest value, again and again, and by
+the next key where values tie. However narrow the band of values, no bucket stays large.
+
 Group columns travel as one struct: two structs with null fields are equal, so rows with
 a null group stay, which a join on the plain columns would drop.
 """
@@ -55,8 +59,65 @@ def step_bucket(value: Column, width: int = 65536) -> Column:
     return F.floor(value / F.lit(width)).cast("long")
 
 
-def time_bucket(ts: Column) -> Column:
-    return F.date_trunc("hour", ts)
+class Balanced:
+    """Order-preserving buckets of bounded size for rows ordered by numeric keys.
+
+    A bucket is a path: the logarithmic step of the first key, then the cells it was cut into. A
+    bucket is cut while it holds more than ``least`` rows and more than one ``parts``-th of all, so a
+    round cuts fewer than ``parts`` buckets and only their bounds travel, through the driver and by
+    broadcast. Keys are compared as doubles; rows that tie on all of them stay together.
+    """
+
+    def __init__(self, *keys: Column, parts: int = 20_000, least: int = 4096, width: int = 1024) -> None:
+        self.keys, self.parts, self.least, self.width = keys, parts, least, width
+
+    def add(self, base: DataFrame) -> DataFrame:
+        """``base``, which has its group struct, with the bucket column."""
+        names = [f"__key{i}" for i in range(len(self.keys))]
+        keyed = base.withColumns({n: k.cast("double") for n, k in zip(names, self.keys)})
+        keyed = keyed.withColumn(_BUCKET, F.array(value_bucket(F.col(names[0]))))
+        while True:
+            cells = self._full(keyed, names)
+            if cells is None:
+                return keyed.drop(*names)
+            key = F.get(F.array(*names), F.col("__no"))
+            place = F.floor((key - F.col("__low")) / (F.col("__high") - F.col("__low")) * self.width)
+            cell = F.when(F.col("__steps"), value_bucket(key)).otherwise(F.least(place, F.lit(self.width - 1).cast("long")))
+            path = F.when(F.col("__no").isNotNull(), F.concat(_BUCKET, F.array(cell))).otherwise(F.col(_BUCKET))
+            columns = keyed.columns
+            keyed = keyed.join(F.broadcast(cells), [_GROUP, _BUCKET], "left").withColumn(_BUCKET, path).select(*columns)
+
+    def _full(self, keyed: DataFrame, names: Sequence[str]) -> DataFrame | None:
+        """Buckets to cut: by which key, between which bounds, and whether by logarithmic steps first."""
+        counts = keyed.groupBy(_GROUP, _BUCKET).agg(
+            F.count(F.lit(1)).alias(_N),
+            *[F.min(n).alias(f"{n}_low") for n in names], *[F.max(n).alias(f"{n}_high") for n in names],
+            *[(F.min(value_bucket(F.col(n))) < F.max(value_bucket(F.col(n)))).alias(f"{n}_steps") for n in names],
+        )
+        most = F.greatest(F.lit(self.least), counts.agg(F.sum(_N) / self.parts).scalar())
+        first = F.coalesce(*[F.when(F.col(f"{n}_low") < F.col(f"{n}_high"), i) for i, n in enumerate(names)])
+        pick = lambda part: F.get(F.array(*[F.col(f"{n}_{part}") for n in names]), F.col("__no")).alias(f"__{part}")
+        full = counts.where(F.col(_N) > most).withColumn("__no", first).where("__no IS NOT NULL")
+        full = full.select(_GROUP, _BUCKET, "__no", pick("low"), pick("high"), pick("steps"))
+        rows = full.collect()
+        return keyed.sparkSession.createDataFrame(rows, full.schema) if rows else None
+
+
+Bucket = Column | Balanced
+
+
+def _bucketed(base: DataFrame, bucket: Bucket) -> DataFrame:
+    return bucket.add(base) if isinstance(bucket, Balanced) else base.withColumn(_BUCKET, bucket)
+
+
+def time_order(ts: Column) -> Column:
+    """A time as a numeric key."""
+    return F.unix_micros(ts.cast("timestamp"))
+
+
+def with_pieces(df: DataFrame, group: Sequence[str], bucket: Bucket) -> tuple[DataFrame, list[str]]:
+    """``df`` cut into order-preserving pieces, and the names of the columns that tell pieces apart: the group and its piece."""
+    return _bucketed(df.withColumn(_GROUP, F.struct(*group)), bucket), [_GROUP, _BUCKET]
 
 
 def sampled_bucket(df: DataFrame, key: Column, buckets: int = 64, per_bucket: int = 16) -> Column:
@@ -99,7 +160,7 @@ def exact_rank(
     df: DataFrame,
     group: Sequence[str],
     order: Sequence[Column],
-    bucket: Column,
+    bucket: Bucket,
     rank: str = "rank_no",
     size: str | None = None,
     keep: int | None = None,
@@ -109,7 +170,7 @@ def exact_rank(
     ``order`` must be a total order that ``bucket`` respects. ``size`` adds the group
     size. ``keep`` drops buckets that start past that rank before rows are moved.
     """
-    base = df.withColumn(_GROUP, F.struct(*group)).withColumn(_BUCKET, bucket)
+    base = _bucketed(df.withColumn(_GROUP, F.struct(*group)), bucket)
     counts = base.groupBy(_GROUP, _BUCKET).agg(F.count(F.lit(1)).alias(_N))
     offsets = _offsets(counts, [_N], descending=False)
     if keep is not None:
@@ -130,7 +191,7 @@ def running_sums(
     group: Sequence[str],
     value: str,
     sums: dict[str, Column],
-    bucket: Column,
+    bucket: Bucket,
     descending: bool = False,
 ) -> DataFrame:
     """One row per (group, value) with its sums, sums before it, and group totals.
@@ -140,7 +201,7 @@ def running_sums(
     """
     names = list(sums)
     merged = df.groupBy(F.struct(*group).alias(_GROUP), value).agg(*[c.alias(n) for n, c in sums.items()])
-    merged = merged.withColumn(_BUCKET, bucket)
+    merged = _bucketed(merged, bucket)
     counts = merged.groupBy(_GROUP, _BUCKET).agg(*[F.sum(n).alias(n) for n in names])
     offsets = _offsets(counts, names, descending)
     order = F.col(value).desc() if descending else F.col(value).asc()
@@ -165,13 +226,13 @@ def exact_percentiles(
     group: Sequence[str],
     value: str,
     points: dict[str, float],
-    bucket: Column | None = None,
+    bucket: Bucket | None = None,
 ) -> DataFrame:
     """Exact linear-interpolation percentiles per group, one row per group."""
     for p in points.values():
         if not 0.0 <= p <= 1.0:
             raise ValueError("percentile points must lie in [0, 1]")
-    chosen = bucket if bucket is not None else value_bucket(F.col(value))
+    chosen = bucket if bucket is not None else Balanced(F.col(value))
     runs = running_sums(
         df.where(F.col(value).isNotNull()), group, value, {_N: F.count(F.lit(1))}, chosen
     )

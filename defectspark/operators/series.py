@@ -10,10 +10,10 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from defectspark.operators.ranking import exact_rank, join_groups, time_bucket
+from defectspark.operators.ranking import Balanced, Bucket, exact_rank, join_groups, time_order, with_pieces
 
 
-def numbered(df: DataFrame, group: Sequence[str], order: Sequence[Column], bucket: Column) -> DataFrame:
+def numbered(df: DataFrame, group: Sequence[str], order: Sequence[Column], bucket: Bucket) -> DataFrame:
     """Adds ``step`` (from 1) and ``n_values``."""
     return exact_rank(df, group, order, bucket, "step", "n_values")
 
@@ -51,19 +51,20 @@ def throughput(series: DataFrame, group: Sequence[str], ts: str) -> DataFrame:
 def broken_steps(df: DataFrame, group: Sequence[str], step: str, values: Sequence[str], ts: str) -> DataFrame:
     """Rows with a non-finite value, or logged after a later step.
 
-    Rows of one time count in the order of their steps. Order is checked inside each hour against the running maximum of steps, starting from
-    the maximum of all earlier hours.
+    Rows of one time count in the order of their steps. A run is cut into pieces of time that hold
+    few rows each, however many fall into one hour; inside a piece, steps are checked against their
+    running maximum, which starts from the maximum of all earlier pieces.
     """
     bad = F.lit(False)
     for name in values:
         v = F.col(name)
         bad = bad | v.isNull() | F.isnan(v) | (F.abs(v) == float("inf"))
-    hourly = df.withColumn("__hour", time_bucket(F.col(ts)))
-    peaks = hourly.groupBy(*group, "__hour").agg(F.max(step).alias("__peak"))
-    past = Window.partitionBy(*group).orderBy("__hour").rowsBetween(Window.unboundedPreceding, -1)
-    carried = peaks.select(*group, "__hour", F.max("__peak").over(past).alias("__before"))
-    inside = Window.partitionBy(*group, "__hour").orderBy(ts, step).rowsBetween(Window.unboundedPreceding, -1)
-    seen = F.greatest("__before", F.max(step).over(inside))
+    cut, piece = with_pieces(df, group, Balanced(time_order(F.col(ts)), F.col(step)))
+    peaks = cut.groupBy(*piece).agg(F.max(step).alias("__peak"))
+    past = Window.partitionBy(piece[0]).orderBy(piece[1]).rowsBetween(Window.unboundedPreceding, -1)
+    carried = peaks.select(*piece, F.max("__peak").over(past).alias("__carry"))
+    inside = Window.partitionBy(*piece).orderBy(ts, step).rowsBetween(Window.unboundedPreceding, -1)
+    seen = F.greatest("__carry", F.max(step).over(inside))
     rule = F.when(bad, "non-finite value").when(F.col(step) <= seen, "step out of order")
-    checked = join_groups(hourly, carried, [*group, "__hour"]).withColumn("rule", rule)
+    checked = cut.join(carried, piece).withColumn("rule", rule)
     return checked.where("rule IS NOT NULL").select(*group, step, "rule")
