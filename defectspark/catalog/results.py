@@ -21,7 +21,7 @@ ser AS (SELECT event_type, ts, event_id, value, row_number() OVER (PARTITION BY
 
 def series_view(spark, sf_dir):
     events = table(spark, sf_dir, "events").select("event_type", "ts", "event_id", "value")
-    return S.numbered(events, ["event_type"], [F.col("ts"), F.col("event_id")], K.Balanced(K.time_order(F.col("ts")), F.col("event_id")))
+    return S.numbered(events, ["event_type"], [F.col("ts"), F.col("event_id")], K.Balanced.over_time(F.col("ts"), F.col("event_id")))
 
 
 @query(

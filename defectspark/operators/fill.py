@@ -7,9 +7,13 @@ holds the shape, so no crossing is shuffled.
 
 from __future__ import annotations
 
+from collections.abc import Iterator, Sequence
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.functions import arrow_udf
 
@@ -72,9 +76,8 @@ def _ints(values: pa.Array) -> np.ndarray:
     return values.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
 
 
-def _fill(rings: pa.Array, owner: np.ndarray, height: pa.Array, width: pa.Array, interior=True, outline=True) -> pa.Array:
-    """Runs per input row; ``owner`` is the row that each ring belongs to."""
-    rows = len(height)
+def _ring_runs(rings: pa.Array, owner: np.ndarray, height: np.ndarray, width: np.ndarray, interior=True, outline=True):
+    """Disjoint runs per owner, in the order of owners and lines; ``height`` and ``width`` are per ring."""
     size = _ints(rings.value_lengths())
     flat = rings.flatten()
     x, y = (flat.field(f).to_numpy(zero_copy_only=False).astype(float) for f in ("x", "y"))
@@ -82,7 +85,7 @@ def _fill(rings: pa.Array, owner: np.ndarray, height: pa.Array, width: pa.Array,
     following = np.arange(x.size) + 1
     following[end[size > 0] - 1] = (end - size)[size > 0]
     shape = np.repeat(np.arange(size.size), size)
-    h, w = _ints(height).astype(float)[owner], _ints(width).astype(float)[owner]
+    h, w = height.astype(float), width.astype(float)
     xa, ya, xb, yb = x, y, x[following], y[following]
     lines = np.bincount(shape, np.abs(yb - ya) + 1, size.size)
     step = (np.cumsum(lines) // _LINES_PER_STEP).astype(np.int64)
@@ -90,15 +93,26 @@ def _fill(rings: pa.Array, owner: np.ndarray, height: pa.Array, width: pa.Array,
     for number in np.unique(step[size > 0]):
         sel = step[shape] == number
         part = shape[sel]
-        pieces.append(_runs_of(part, xa[sel], ya[sel], xb[sel], yb[sel], h[part], w[part], interior, outline))
-    if pieces:
-        s, ry, x0, x1 = (np.concatenate(p) for p in zip(*pieces))
-        s, ry, x0, x1 = _islands(owner[s.astype(np.int64)], ry, x0, x1)
-    else:
-        s = ry = x0 = x1 = np.zeros(0)
+        s, *run = _runs_of(part, xa[sel], ya[sel], xb[sel], yb[sel], h[part], w[part], interior, outline)
+        pieces.append(_islands(owner[s.astype(np.int64)], *run))
+    if not pieces:
+        return (np.zeros(0, np.int64),) * 4
+    return _islands(*(np.concatenate(p) for p in zip(*pieces))) if len(pieces) > 1 else pieces[0]
+
+
+def _run_array(y: np.ndarray, x0: np.ndarray, x1: np.ndarray) -> pa.StructArray:
+    return pa.StructArray.from_arrays([pa.array(v.astype(np.int32)) for v in (y, x0, x1)], ["y", "x0", "x1"])
+
+
+def _run_lists(rows: int, s, y, x0, x1) -> pa.ListArray:
     offsets = np.concatenate([[0], np.cumsum(np.bincount(s.astype(np.int64), minlength=rows))]).astype(np.int32)
-    runs = pa.StructArray.from_arrays([pa.array(v.astype(np.int32)) for v in (ry, x0, x1)], ["y", "x0", "x1"])
-    return pa.ListArray.from_arrays(pa.array(offsets), runs)
+    return pa.ListArray.from_arrays(pa.array(offsets), _run_array(y, x0, x1))
+
+
+def _fill(rings: pa.Array, owner: np.ndarray, height: pa.Array, width: pa.Array, interior=True, outline=True) -> pa.Array:
+    """Runs per input row; ``owner`` is the row that each ring belongs to."""
+    found = _ring_runs(rings, owner, _ints(height)[owner], _ints(width)[owner], interior, outline)
+    return _run_lists(len(height), *found)
 
 
 @arrow_udf(T.ArrayType(_RUN))
@@ -130,3 +144,80 @@ def ring_runs(points: Column, height: Column, width: Column, outline: bool = Tru
 def ring_union(rings: Column, height: Column, width: Column) -> Column:
     """Merged run array of all rings of one image, held in one row: no shuffle at all."""
     return _union.asNondeterministic()(rings, height, width)
+
+
+@arrow_udf(T.ArrayType(_RUN))
+def _joined(parts: pa.Array) -> pa.Array:
+    lists = parts.flatten()
+    owner = np.repeat(np.repeat(np.arange(len(parts)), _ints(parts.value_lengths())), _ints(lists.value_lengths()))
+    runs = lists.flatten()
+    y, x0, x1 = (runs.field(f).to_numpy(zero_copy_only=False).astype(np.int64) for f in ("y", "x0", "x1"))
+    return _run_lists(len(parts), *_islands(owner, y, x0, x1))
+
+
+def union_of(parts: Column) -> Column:
+    """Disjoint runs that cover the runs of all lists of ``parts``."""
+    return _joined.asNondeterministic()(parts)
+
+
+_BAND = 256
+_HELD_RUNS = 1_000_000
+
+
+def folded_runs(rings: DataFrame, keys: Sequence[str], ring: str, outline: bool = True) -> DataFrame:
+    """(``keys``, ``band``, ``runs``): the rings of an image as disjoint runs per band of lines, united as far as one task sees them.
+
+    A task holds the runs of the images it has met, united, until they are too many, and then sends
+    them on; so what travels is intervals of images and not the runs of every shape.
+    """
+    names = list(keys)
+
+    def numbers(batch: pa.RecordBatch, known: dict[tuple, int]) -> np.ndarray:
+        """The number of each row's image, given to it when it is first seen."""
+        codes = np.zeros(len(batch), np.int64)
+        for name in names:
+            own = pc.dictionary_encode(batch.column(name), null_encoding="encode").indices.to_numpy(zero_copy_only=False)
+            codes = np.unique(codes * (int(own.max()) + 1) + own, return_inverse=True)[1]
+        _, first, inverse = np.unique(codes, return_index=True, return_inverse=True)
+        heads = zip(*[batch.column(n).take(pa.array(first)).to_pylist() for n in names])
+        return np.array([known.setdefault(h, len(known)) for h in heads], np.int64)[inverse]
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[tuple, int] = {}
+        held: list[tuple] = []
+
+        def united() -> list[tuple]:
+            return [_islands(*(np.concatenate(p) for p in zip(*held)))] if len(held) > 1 else held
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            images = list(known)
+            for s, y, x0, x1 in united():
+                if s.size == 0:
+                    continue
+                band = y // _BAND
+                opens = np.flatnonzero(np.concatenate([[True], (s[1:] != s[:-1]) | (band[1:] != band[:-1])]))
+                heads = [images[i] for i in s[opens].astype(np.int64).tolist()]
+                offsets = pa.array(np.concatenate([opens, [s.size]]).astype(np.int32))
+                columns = [pa.array(c, schema.field(n).type) for n, c in zip(names, zip(*heads))]
+                columns += [pa.array(band[opens].astype(np.int32)), pa.ListArray.from_arrays(offsets, _run_array(y, x0, x1))]
+                yield pa.RecordBatch.from_arrays(columns, [*names, "band", "runs"])
+            known.clear()
+            held.clear()
+
+        schema = None
+        for batch in batches:
+            schema = batch.schema
+            if len(batch) == 0:
+                continue
+            owner = numbers(batch, known)
+            held.append(_ring_runs(batch.column("__ring"), owner, _ints(batch.column("height")), _ints(batch.column("width")), outline=outline))
+            if sum(h[0].size for h in held) > _HELD_RUNS:
+                held[:] = united()
+                if held[0][0].size > _HELD_RUNS // 2:
+                    yield from flush()
+        if held:
+            yield from flush()
+
+    thin = rings.select(*names, F.col(ring).alias("__ring"), *[F.col(c) for c in ("height", "width") if c not in names])
+    out = T.StructType([thin.schema[n] for n in names]).add("band", T.IntegerType()).add("runs", T.ArrayType(_RUN))
+    return thin.where("__ring IS NOT NULL").mapInArrow(fold, out)

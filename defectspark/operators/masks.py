@@ -16,6 +16,7 @@ from defectspark.functions.geometry import (
     crop_window, feasible_rectangle_heights, region_name, relocated_start, severity_level,
 )
 from defectspark.operators.components import largest_component
+from defectspark.operators.fill import union_of
 
 
 def _run(y: Column, x0: Column, x1: Column) -> Column:
@@ -75,12 +76,12 @@ def collect_masks(runs: DataFrame, images: DataFrame) -> DataFrame:
 def merge_runs(runs: DataFrame, keys: Sequence[str] = ("image_id",)) -> DataFrame:
     """Union of overlapping or adjacent runs per (image, row): gaps and islands.
 
-    One shuffle, keyed by line, so even a single huge image is spread over its lines. Runs
-    that start at one column are merged first: a window never holds more rows than the
+    Keyed by line, so even a single huge image is spread over its lines. Runs that start at one
+    column are merged first, in each task before they move: a window never holds more rows than the
     image is wide, however many shapes overlap.
     """
     line = [*keys, "y"]
-    starts = runs.repartition(*line).groupBy(*line, "x0").agg(F.max("x1").alias("x1"))
+    starts = runs.groupBy(*line, "x0").agg(F.max("x1").alias("x1"))
     by_start = Window.partitionBy(*line).orderBy("x0")
     reach = F.max("x1").over(by_start.rowsBetween(Window.unboundedPreceding, -1))
     end = F.max("x1").over(by_start.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
@@ -292,7 +293,7 @@ def transplant_masks(
 
 
 def dilate_masks(masks: DataFrame, radius: int, keys: Sequence[str] = ("image_id",)) -> DataFrame:
-    """Run rows of each mask grown by a square of ``radius``, clipped to the frame."""
+    """Run rows of each mask grown by a square of ``radius``, clipped to the frame and united in the mask's own row."""
     if radius < 0:
         raise ValueError("dilation radius must not be negative")
     grown = F.flatten(
@@ -310,7 +311,9 @@ def dilate_masks(masks: DataFrame, radius: int, keys: Sequence[str] = ("image_id
             ),
         )
     )
-    return merge_runs(masks.select(*keys, F.inline(grown)), keys)
+    # Behind a boundary: Spark does not run a Python function on nested lambdas in place.
+    rows = compute_once(masks, F.array(grown).alias("__grown"))
+    return rows.select(*keys, union_of(F.col("__grown")).alias("__runs")).select(*keys, F.inline("__runs"))
 
 
 def pool_masks(masks: DataFrame, grid_w: int, grid_h: int) -> DataFrame:

@@ -11,9 +11,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from defectspark.operators.fill import ring_runs
-from defectspark.operators.masks import compute_once, merge_runs
-from defectspark.session import spread
+from defectspark.operators.fill import folded_runs, ring_runs, union_of
+from defectspark.operators.masks import compute_once
 
 POINTS_TYPE = "array<struct<x:double,y:double>>"
 
@@ -74,18 +73,36 @@ def _ring_of(shape_type: Column, whole: Column) -> Column:
     )
 
 
+def _ringed(shapes: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Shapes with their ring, dealt out by image; a rebalanced exchange also splits an image that has too many."""
+    ring = shape_ring(F.col("shape_type"), F.col("points"))
+    return compute_once(shapes.hint("rebalance", *[F.col(k) for k in keys]), ring.alias("__ring"))
+
+
+def shape_rows(shapes: DataFrame, keys: Sequence[str] = ("image_id", "shape_no"), outline: bool = True) -> DataFrame:
+    """Every shape with its ``runs`` as an array; a null array for shapes with too few points.
+
+    Needs ``shape_type``, ``points``, ``height`` and ``width``.
+    """
+    runs = ring_runs(F.col("__ring"), F.col("height"), F.col("width"), outline)
+    return _ringed(shapes, keys).where("__ring IS NOT NULL").select(*keys, runs.alias("runs"))
+
+
 def shape_runs(shapes: DataFrame, keys: Sequence[str] = ("image_id", "shape_no"), outline: bool = True) -> DataFrame:
-    """Run rows of each shape.
+    """Run rows of each shape; shapes with too few points for their type give none."""
+    return shape_rows(shapes, keys, outline).select(*keys, F.inline("runs"))
+
 
-    Needs ``shape_type``, ``points``, ``height`` and ``width``. Shapes with too few
-    points for their type give no rows.
+def shape_bands(shapes: DataFrame, keys: Sequence[str] = ("image_id",)) -> DataFrame:
+    """Union of all shapes of an image: ``band`` of lines and its disjoint ``runs`` as an array.
+
+    Shapes meet by image as vertices and are united in the task that fills them. Only what is left of
+    them, one list per image, band and task, is exchanged by image and band and united again.
     """
-    ring = shape_ring(F.col("shape_type"), F.col("points"))
-    ringed = compute_once(spread(shapes), ring.alias("__ring"))
-    filled = ringed.withColumn("__runs", ring_runs(F.col("__ring"), F.col("height"), F.col("width"), outline))
-    return filled.select(*keys, F.inline("__runs"))
+    parts = folded_runs(_ringed(shapes, keys), keys, "__ring").groupBy(*keys, "band").agg(F.collect_list("runs").alias("__parts"))
+    return parts.select(*keys, "band", union_of(F.col("__parts")).alias("runs"))
 
 
 def shape_masks(shapes: DataFrame, keys: Sequence[str] = ("image_id",)) -> DataFrame:
     """Union of all shapes of an image as merged run rows."""
-    return merge_runs(shape_runs(shapes, keys), keys)
+    return shape_bands(shapes, keys).select(*keys, F.inline("runs"))

@@ -66,18 +66,25 @@ class Balanced:
     bucket is cut while it holds more than ``least`` rows and more than one ``parts``-th of all, so a
     round cuts fewer than ``parts`` buckets and only their bounds travel, through the driver and by
     broadcast. Keys are compared as doubles; rows that tie on all of them stay together.
+    ``per_octave`` is the number of steps to a doubling of the first key.
     """
 
-    def __init__(self, *keys: Column, parts: int = 20_000, least: int = 4096, width: int = 1024) -> None:
-        self.keys, self.parts, self.least, self.width = keys, parts, least, width
+    def __init__(self, *keys: Column, parts: int = 20_000, least: int = 4096, width: int = 1024, per_octave: int = 1024) -> None:
+        self.keys, self.parts, self.least, self.width, self.per_octave = keys, parts, least, width, per_octave
+
+    @classmethod
+    def over_time(cls, ts: Column, *keys: Column) -> Balanced:
+        """Buckets along a time: first steps of about half an hour in this century, then cut as needed."""
+        return cls(F.unix_micros(ts.cast("timestamp")), *keys, per_octave=1 << 20)
 
     def add(self, base: DataFrame) -> DataFrame:
         """``base``, which has its group struct, with the bucket column."""
         names = [f"__key{i}" for i in range(len(self.keys))]
         keyed = base.withColumns({n: k.cast("double") for n, k in zip(names, self.keys)})
-        keyed = keyed.withColumn(_BUCKET, F.array(value_bucket(F.col(names[0]))))
+        keyed = keyed.withColumn(_BUCKET, F.array(value_bucket(F.col(names[0]), self.per_octave)))
+        most = max(self.least, keyed.count() // self.parts)
         while True:
-            cells = self._full(keyed, names)
+            cells = self._full(keyed, names, most)
             if cells is None:
                 return keyed.drop(*names)
             key = F.get(F.array(*names), F.col("__no"))
@@ -87,18 +94,19 @@ class Balanced:
             columns = keyed.columns
             keyed = keyed.join(F.broadcast(cells), [_GROUP, _BUCKET], "left").withColumn(_BUCKET, path).select(*columns)
 
-    def _full(self, keyed: DataFrame, names: Sequence[str]) -> DataFrame | None:
+    def _full(self, keyed: DataFrame, names: Sequence[str], most: int) -> DataFrame | None:
         """Buckets to cut: by which key, between which bounds, and whether by logarithmic steps first."""
         counts = keyed.groupBy(_GROUP, _BUCKET).agg(
             F.count(F.lit(1)).alias(_N),
             *[F.min(n).alias(f"{n}_low") for n in names], *[F.max(n).alias(f"{n}_high") for n in names],
-            *[(F.min(value_bucket(F.col(n))) < F.max(value_bucket(F.col(n)))).alias(f"{n}_steps") for n in names],
         )
-        most = F.greatest(F.lit(self.least), counts.agg(F.sum(_N) / self.parts).scalar())
+        steps = lambda n: value_bucket(F.col(f"{n}_low")) < value_bucket(F.col(f"{n}_high"))
         first = F.coalesce(*[F.when(F.col(f"{n}_low") < F.col(f"{n}_high"), i) for i, n in enumerate(names)])
-        pick = lambda part: F.get(F.array(*[F.col(f"{n}_{part}") for n in names]), F.col("__no")).alias(f"__{part}")
-        full = counts.where(F.col(_N) > most).withColumn("__no", first).where("__no IS NOT NULL")
-        full = full.select(_GROUP, _BUCKET, "__no", pick("low"), pick("high"), pick("steps"))
+        pick = lambda values: F.get(F.array(*values), F.col("__no"))
+        full = counts.where(F.col(_N) > most).withColumn("__no", first).where("__no IS NOT NULL").select(
+            _GROUP, _BUCKET, "__no", pick([F.col(f"{n}_low") for n in names]).alias("__low"),
+            pick([F.col(f"{n}_high") for n in names]).alias("__high"), pick([steps(n) for n in names]).alias("__steps"),
+        )
         rows = full.collect()
         return keyed.sparkSession.createDataFrame(rows, full.schema) if rows else None
 
@@ -110,11 +118,6 @@ def _bucketed(base: DataFrame, bucket: Bucket) -> DataFrame:
     return bucket.add(base) if isinstance(bucket, Balanced) else base.withColumn(_BUCKET, bucket)
 
 
-def time_order(ts: Column) -> Column:
-    """A time as a numeric key."""
-    return F.unix_micros(ts.cast("timestamp"))
-
-
 def with_pieces(df: DataFrame, group: Sequence[str], bucket: Bucket) -> tuple[DataFrame, list[str]]:
     """``df`` cut into order-preserving pieces, and the names of the columns that tell pieces apart: the group and its piece."""
     return _bucketed(df.withColumn(_GROUP, F.struct(*group)), bucket), [_GROUP, _BUCKET]

@@ -10,7 +10,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from defectspark.operators.ranking import Balanced, Bucket, exact_rank, join_groups, time_order, with_pieces
+from defectspark.operators.ranking import Balanced, Bucket, exact_rank, join_groups, with_pieces
 
 
 def numbered(df: DataFrame, group: Sequence[str], order: Sequence[Column], bucket: Bucket) -> DataFrame:
@@ -59,7 +59,7 @@ def broken_steps(df: DataFrame, group: Sequence[str], step: str, values: Sequenc
     for name in values:
         v = F.col(name)
         bad = bad | v.isNull() | F.isnan(v) | (F.abs(v) == float("inf"))
-    cut, piece = with_pieces(df, group, Balanced(time_order(F.col(ts)), F.col(step)))
+    cut, piece = with_pieces(df, group, Balanced.over_time(F.col(ts), F.col(step)))
     peaks = cut.groupBy(*piece).agg(F.max(step).alias("__peak"))
     past = Window.partitionBy(piece[0]).orderBy(piece[1]).rowsBetween(Window.unboundedPreceding, -1)
     carried = peaks.select(*piece, F.max("__peak").over(past).alias("__carry"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
 
 CHECKPOINT_CONF = "spark.checkpoint.dir"
 
@@ -27,21 +27,6 @@ def local_session(cores: int | str = "*", app: str = "defectspark") -> SparkSess
     )
 
 
-SMALL_INPUT_BYTES = 256 * 1024 * 1024
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """Use every core before an expanding step when the input is small.
-
-    Small files often form a single partition. Only inputs whose estimated size is under
-    ``SMALL_INPUT_BYTES`` move; larger scans have enough partitions and are left alone.
-    """
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    if size >= SMALL_INPUT_BYTES:
-        return df
-    return df.repartition(df.sparkSession.sparkContext.defaultParallelism)
-
-
 def shared_folder(spark: SparkSession, name: str) -> str:
     """A fresh folder below ``spark.checkpoint.dir``, for tables between steps.
 

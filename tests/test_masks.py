@@ -203,3 +203,31 @@ def test_composite_lays_overlapping_runs_once(spark):
     laid = M.composite_lines(lines, runs, "made", "clean")
     assert {(r["image_id"], r["y"]): r["pixels"] for r in laid.collect()} == {(1, 0): [1, 2, 3, 4, -5], (1, 1): [-7, -8], (2, 0): []}
     assert {r["image_id"]: r["changed_outside"] for r in M.composite_violations(laid, "made", "clean").collect()} == {1: 3}
+
+
+def test_folded_union_equals_the_union_of_shapes(spark):
+    """Many shapes of one image, several flushes and bands, null keys; shapes of a key may differ in frame."""
+    from defectspark.operators import fill
+
+    draw = random.Random(8)
+    rows = []
+    for i in range(600):
+        points = [(float(draw.randrange(-5, 90)), float(draw.randrange(-5, 700))) for _ in range(draw.choice([1, 2, 3, 5]))]
+        rows.append((draw.choice(["hot", "hot", "b", None]), draw.choice(["polygon", "rectangle"]), points, 640, draw.choice([64, 80])))
+    df = spark.createDataFrame(rows, "image_id string, shape_type string, points array<struct<x:double,y:double>>, height int, width int")
+    single = P.shape_runs(df.withColumn("shape_no", F.monotonically_increasing_id()), ["image_id", "shape_no"])
+    want = {}
+    for r in single.collect():
+        want.setdefault(r.image_id, set()).update((r.y, x) for x in range(r.x0, r.x1 + 1))
+    for held in (fill._HELD_RUNS, 500):
+        old, fill._HELD_RUNS = fill._HELD_RUNS, held
+        try:
+            bands = P.shape_bands(df).collect()
+        finally:
+            fill._HELD_RUNS = old
+        got = {}
+        for r in bands:
+            flat = [(y, x) for y, x0, x1 in r.runs for x in range(x0, x1 + 1)]
+            assert len(flat) == len(set(flat)) and all(y // 256 == r.band for y, _ in flat) and r.runs == sorted(r.runs)
+            got.setdefault(r.image_id, set()).update(flat)
+        assert got == want and len({(r.image_id, r.band) for r in bands}) == len(bands)

@@ -12,7 +12,11 @@ from defectspark.operators import series as S
 
 
 def sizes(df, *keys, **cut):
-    pieces, names = K.with_pieces(df, ["g"], K.Balanced(*keys, **cut))
+    return sizes_of(df, K.Balanced(*keys, **cut))
+
+
+def sizes_of(df, bucket):
+    pieces, names = K.with_pieces(df, ["g"], bucket)
     return [r["count"] for r in pieces.groupBy(*names).count().collect()]
 
 
@@ -25,9 +29,9 @@ def test_a_narrow_band_falls_into_many_buckets(spark):
 def test_one_hot_hour_spreads(spark):
     start = F.lit("2026-01-01 10:00:00").cast("timestamp")
     df = spark.range(100_000).select(F.lit(1).alias("g"), F.timestamp_micros(F.unix_micros(start) + F.col("id") * 7).alias("ts"), "id")
-    assert max(sizes(df, K.time_order(F.col("ts")))) <= 4096
+    assert max(sizes_of(df, K.Balanced.over_time(F.col("ts")))) <= 4096
     # All at one instant: the next key cuts.
-    assert max(sizes(df.withColumn("ts", start), K.time_order(F.col("ts")), F.col("id"))) <= 4096
+    assert max(sizes_of(df.withColumn("ts", start), K.Balanced.over_time(F.col("ts"), F.col("id")))) <= 4096
 
 
 def test_equal_rows_stay_together(spark):
