@@ -4,10 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from defectspark.catalog.masks import CROP
 from defectspark.catalog.registry import query, table
 from defectspark.operators import metrics as M
 from defectspark.operators import ranking as K
 from defectspark.operators import validate as V
+from defectspark.operators.coreset import coreset
+from defectspark.operators.neighbours import nearest_neighbours
 
 EVENT_SCORES = "SELECT 'cat_' || user_id % 15 AS category, event_type = 'error' AS label, value AS score FROM events"
 
@@ -173,11 +176,35 @@ def _kid(spark, sf_dir):
     )
 
 
-@query("kernel_distance_subsets")
+@query(
+    "kernel_distance_subsets",
+    f"""WITH {SIDES}, n AS (SELECT class, side, count(*) AS n FROM v GROUP BY ALL),
+        m AS (SELECT class, least(min(n), 1000) AS m FROM n GROUP BY class HAVING count(*) = 2 AND min(n) > 1),
+        drawn AS (SELECT class, side, subset, x, vec_id FROM (
+          SELECT v.*, m, subset, row_number() OVER (PARTITION BY class, side, subset ORDER BY sha256('42|' || subset || '|' || vec_id)) AS r
+          FROM v JOIN m USING (class), (SELECT unnest(range(20)) AS subset)) WHERE r <= m),
+        k AS (SELECT class, a.subset, a.side AS s, b.side AS t, sum((list_dot_product(a.x, b.x) / 64 + 1) ** 3) AS k
+          FROM drawn a JOIN drawn b USING (class, subset) WHERE a.side <> b.side OR a.vec_id <> b.vec_id GROUP BY ALL),
+        d AS (SELECT class, subset, sum(k) FILTER (WHERE s = t) / (m * (m - 1)::DOUBLE) - sum(k) FILTER (WHERE s <> t) / (m * m::DOUBLE) AS kid
+          FROM k JOIN m USING (class) GROUP BY class, subset, m)
+        SELECT class, round(avg(kid), 6) AS kid, count(*) AS subsets FROM d GROUP BY class""",
+)
 def _kid_subsets(spark, sf_dir):
-    return M.kernel_distance_subsets(
+    found = M.kernel_distance_subsets(
         side_view(spark, sf_dir), ["class"], "side", "vec_id", "embedding", "real", "synthetic", subsets=20
     )
+    return found.select("class", F.round("kid", 6).alias("kid"), "subsets")
+
+
+@query(
+    "set_moments",
+    f"""WITH {SIDES}, p AS (SELECT class, side, i, unnest(range(i, 64)) AS j, x FROM (SELECT *, unnest(range(64)) AS i FROM v))
+        SELECT class, side, i::INT AS i, j::INT AS j, count(*) AS n, round(avg(x[i + 1]), 6) AS mean_i, round(covar_samp(x[i + 1], x[j + 1]), 6) AS covariance
+        FROM p GROUP BY ALL""",
+)
+def _moments(spark, sf_dir):
+    found = M.set_moments(side_view(spark, sf_dir), ["class", "side"], "embedding")
+    return found.select("class", "side", "i", "j", "n", F.round("mean_i", 6).alias("mean_i"), F.round("covariance", 6).alias("covariance"))
 
 
 @query("frechet_distance")
@@ -185,9 +212,20 @@ def _fid(spark, sf_dir):
     return M.frechet_distance(side_view(spark, sf_dir), ["class"], "side", "embedding", "real", "synthetic")
 
 
-@query("coreset")
+@query(
+    "coreset",
+    f"""WITH RECURSIVE {SIDES}, s AS (SELECT class, min(vec_id) AS first, ceil(count(*) * 0.1)::BIGINT AS wanted FROM v GROUP BY class),
+        g(class, pick, vec_id, wanted, ids, cs) AS (
+          SELECT s.class, 0::BIGINT, s.first, s.wanted, [s.first], [v.x] FROM s JOIN v ON v.vec_id = s.first
+          UNION ALL
+          SELECT class, pick + 1, top.vec_id, wanted, list_append(ids, top.vec_id), list_append(cs, top.x)
+          FROM (SELECT g.class, g.pick, g.wanted, g.ids, g.cs,
+                  arg_max({{'vec_id': v.vec_id, 'x': v.x}}, {{'d': list_min(list_transform(g.cs, lambda c: list_distance(c, v.x))), 'k': -v.vec_id}}) AS top
+                FROM g JOIN v ON v.class = g.class AND NOT list_contains(g.ids, v.vec_id) WHERE g.pick + 1 < g.wanted GROUP BY ALL))
+        SELECT class, vec_id, pick FROM g""",
+)
 def _coreset(spark, sf_dir):
-    return M.coreset(side_view(spark, sf_dir), ["class"], "vec_id", "embedding", ratio=0.1, parts=4)
+    return coreset(side_view(spark, sf_dir), ["class"], "vec_id", "embedding", ratio=0.1)
 
 
 @query(
@@ -198,7 +236,7 @@ def _coreset(spark, sf_dir):
 )
 def _knn(spark, sf_dir):
     vectors = side_view(spark, sf_dir)
-    found = M.nearest_neighbours(
+    found = nearest_neighbours(
         vectors.where("side = 'synthetic'"), vectors.where("side = 'real'"), ["class"], "vec_id", "embedding"
     )
     scores = M.anomaly_scores(found, ["class", "vec_id"])
@@ -216,14 +254,13 @@ def _knn(spark, sf_dir):
 def _image_scores(spark, sf_dir):
     """Image score: the largest nearest-neighbour distance over the image's patches."""
     vectors = side_view(spark, sf_dir)
-    found = M.nearest_neighbours(
+    found = nearest_neighbours(
         vectors.where("side = 'synthetic'"), vectors.where("side = 'real'"), ["class"], "vec_id", "embedding", k=1
     )
     return found.groupBy("class").agg(F.round(F.max("distance"), 6).alias("image_score"))
 
 
-@query("fidelity_rows")
-def _fidelity(spark, sf_dir):
+def fidelity_view(spark, sf_dir):
     from defectspark.catalog.views import mask_view
     from defectspark.operators.masks import crop_eligibility, with_crop
 
@@ -239,6 +276,32 @@ def _fidelity(spark, sf_dir):
     )
 
 
+@query("fidelity_rows")
+def _fidelity(spark, sf_dir):
+    return fidelity_view(spark, sf_dir)
+
+
+@query(
+    "fidelity_table",
+    f"""WITH {SIDES}, k AS (SELECT a.class, a.side AS s, b.side AS t, sum((list_dot_product(a.x, b.x) / 64 + 1) ** 3) FILTER (WHERE a.vec_id <> b.vec_id) AS k
+          FROM v a JOIN v b ON a.class = b.class GROUP BY ALL),
+        n AS (SELECT class, count(*) FILTER (WHERE side = 'real') AS n_real, count(*) FILTER (WHERE side = 'synthetic') AS n_synth FROM v GROUP BY class),
+        kid AS (SELECT class, sum(k) FILTER (WHERE s = 'real' AND t = 'real') / (n_real * (n_real - 1)::DOUBLE)
+            + sum(k) FILTER (WHERE s = 'synthetic' AND t = 'synthetic') / (n_synth * (n_synth - 1)::DOUBLE)
+            - 2 * sum(k) FILTER (WHERE s = 'real' AND t = 'synthetic') / (n_real * n_synth::DOUBLE) AS kid FROM k JOIN n USING (class) GROUP BY class, n_real, n_synth),
+        lpips AS (SELECT a.class, avg(list_distance(a.x, b.x) ** 2) AS d FROM v a JOIN v b ON a.class = b.class AND a.side = 'synthetic' AND b.side = 'synthetic' AND a.vec_id < b.vec_id GROUP BY a.class),
+        cut AS (SELECT class, quantile_cont(x[2], 0.25) AS t FROM v GROUP BY class),
+        rate AS (SELECT class, avg((x[2] >= t)::INT) AS r FROM v JOIN cut USING (class) GROUP BY class),
+        {CROP.format(s=9)}, lost AS (SELECT 'class_' || label AS class, count(reason) AS crop_exclusion_count FROM crop GROUP BY ALL)
+        SELECT class, n_real, n_synth, crop_exclusion_count, round(kid, 6) AS KID, round(d, 6) AS LPIPS_diversity, round(r, 6) AS lfs_acceptance
+        FROM n JOIN kid USING (class) JOIN lpips USING (class) JOIN rate USING (class) JOIN lost USING (class)""",
+)
+def _fidelity_table(spark, sf_dir):
+    """Every column of the fidelity rows that SQL can state; the matrix root of the remaining one has no SQL form."""
+    rounded_to = [F.round(c, 6).alias(c) for c in ("KID", "LPIPS_diversity", "lfs_acceptance")]
+    return fidelity_view(spark, sf_dir).select("class", "n_real", "n_synth", "crop_exclusion_count", *rounded_to)
+
+
 @query(
     "quality_flags",
     """WITH r AS (SELECT l_suppkey, avg(l_extendedprice) AS kid, avg(l_discount) * 10 AS rate, count(*) AS accepted FROM lineitem GROUP BY 1),

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from defectspark.operators.ranking import Balanced, exact_percentiles, exact_rank, join_groups, running_sums
+from defectspark.operators.ranking import Balanced, exact_percentiles, exact_rank, hash_bucket, hash_order, join_groups, running_sums
 
 # --- detection scores ---------------------------------------------------------------
 
@@ -99,7 +99,7 @@ def acceptance_summary(filtered: DataFrame, group: Sequence[str], score: str = "
 
 # --- sums over vectors ----------------------------------------------------------------
 
-_OPEN_SUMS = 64
+_OPEN_BYTES = 64 << 20
 
 
 def vector_sums(df: DataFrame, group: Sequence[str], vector: str) -> DataFrame:
@@ -187,8 +187,8 @@ def _partial_sums(df: DataFrame, group: Sequence[str], vector: str, cubic: bool)
                 acc[0] += len(index)
                 acc[1] += diagonal
                 acc[2] = total if acc[2] is None else [u + v for u, v in zip(acc[2], total)]
-            if len(open_sums) > _OPEN_SUMS:
-                yield from flush()
+                if len(open_sums) * sum(8 * len(a) for a in total) > _OPEN_BYTES:
+                    yield from flush()
         yield from flush()
 
     narrow = df.select(*[F.col(n).cast("string") for n in names], F.col(vector).cast("array<double>").alias("__x")).where("__x IS NOT NULL")
@@ -241,7 +241,7 @@ def kernel_distance_subsets(
 ) -> DataFrame:
     """Mean kernel distance over ``subsets`` seeded draws of ``min(n_first, n_second, max_size)``.
 
-    Only ``(subset, key)`` pairs that can still be drawn are ranked; each task then holds
+    A draw takes the first keys in the order of the SHA-256 of seed, draw and key. Only ``(subset, key)`` pairs that can still be drawn are ranked; each task then holds
     at most ``2 * max_size`` vectors.
     """
     names = [*group, side]
@@ -251,10 +251,9 @@ def kernel_distance_subsets(
     draws = (
         join_groups(df.select(*names, key), limits, names)
         .withColumn("subset", F.explode(F.sequence(F.lit(0), F.lit(subsets - 1))))
-        .withColumn("h", F.shiftright(F.xxhash64(F.lit(seed), "subset", key), 1) + F.lit(1 << 62))
+        .withColumn("h", hash_order(seed, F.col("subset"), F.col(key)))
     )
-    bucket = F.floor(F.col("h") / F.lit(float(1 << 63)) * 4096)
-    drawn = exact_rank(draws, [*names, "subset"], [F.col("h"), F.col(key)], bucket, "r", keep=max_size)
+    drawn = exact_rank(draws, [*names, "subset"], [F.col("h")], hash_bucket(F.col("h")), "r", keep=max_size)
     chosen = drawn.where(F.col("r") <= F.col("m")).select(key, "subset").join(
         df.select(*names, key, F.col(vector).cast("array<double>").alias("x")), key
     )
@@ -276,6 +275,23 @@ def kernel_distance_subsets(
     return per_subset.groupBy(*group).agg(F.avg("kid").alias("kid"), F.count(F.lit(1)).alias("subsets"))
 
 
+def set_moments(df: DataFrame, group: Sequence[str], vector: str) -> DataFrame:
+    """Mean and covariance of each group's vectors from summed products: ``i``, ``j`` (from 0, ``i <= j``), ``n``, ``mean_i``, ``covariance``.
+
+    A task holds the summed products of as many groups as a bound in bytes allows. Partial sums
+    travel by group and line of the table, so no task needs a whole table.
+    """
+    names = list(group)
+    sums = _partial_sums(df, names, vector, False)
+    cells = sums.where("i >= 0 AND j > 0").select(*names, "i", (F.col("j") - 1).alias("j"), "v").where("i <= j")
+    heads = sums.where("i >= 0 AND j = 0").select(*names, "i", F.col("v").alias("s"))
+    counts = sums.where("i = -1 AND j = 0").select(*names, F.col("v").cast("long").alias("n"))
+    joined = join_groups(join_groups(cells, heads.withColumnRenamed("s", "si"), [*names, "i"]), heads.select(*names, F.col("i").alias("j"), F.col("s").alias("sj")), [*names, "j"])
+    n = F.col("n")
+    covariance = (F.col("v") - F.col("si") * F.col("sj") / n) / F.nullif(n - 1, F.lit(0))
+    return join_groups(joined, counts, names).select(*names, "i", "j", "n", (F.col("si") / n).alias("mean_i"), covariance.alias("covariance"))
+
+
 def frechet_distance(
     df: DataFrame, group: Sequence[str], side: str, vector: str, first: str, second: str
 ) -> DataFrame:
@@ -320,88 +336,6 @@ def frechet_distance(
 # --- memory bank ------------------------------------------------------------------------
 
 
-def _blocks(df: DataFrame, group: Sequence[str], key: str, rows: int, name: str) -> DataFrame:
-    """Adds a hash block number so that no (group, block) holds many more than ``rows``."""
-    sizes = df.groupBy(*group).agg(F.ceil(F.count(F.lit(1)) / F.lit(float(rows))).alias("__blocks"))
-    return join_groups(df, sizes, group).withColumn(name, F.pmod(F.xxhash64(F.lit(name), key), "__blocks")).drop("__blocks")
-
-
-def coreset(
-    df: DataFrame, group: Sequence[str], key: str, vector: str, ratio: float = 0.01, parts: int = 1
-) -> DataFrame:
-    """Greedy k-centre picks: keys that cover each group, ``ratio`` of its rows.
-
-    Every group is cut into ``parts`` hash parts, whatever its size, and each part runs the
-    greedy rule from its smallest key; one part is the plain greedy result. A part is held
-    by one task, so the caller names as many parts as the largest group needs.
-    """
-    blocked = df.select(*group, key, vector).withColumn("__block", F.pmod(F.xxhash64(F.lit("__block"), key), F.lit(parts)))
-    names = list(group)
-    schema = T.StructType([df.schema[n] for n in names] + [df.schema[key], T.StructField("pick", T.IntegerType())])
-
-    def greedy(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(key, ignore_index=True)
-        x = np.stack(pdf[vector].to_list()).astype(float)
-        wanted = max(1, int(np.ceil(ratio * len(x))))
-        picks = [0]
-        nearest = ((x - x[0]) ** 2).sum(1)
-        while len(picks) < wanted:
-            far = int(nearest.argmax())
-            picks.append(far)
-            nearest = np.minimum(nearest, ((x - x[far]) ** 2).sum(1))
-        out = pdf.loc[picks, [*names, key]].copy()
-        out["pick"] = np.arange(len(picks), dtype=np.int32)
-        return out
-
-    return blocked.groupBy(*names, "__block").applyInPandas(greedy, schema)
-
-
-def nearest_neighbours(
-    queries: DataFrame, bank: DataFrame, group: Sequence[str], key: str, vector: str, k: int = 9,
-    query_rows: int = 8192, bank_rows: int = 4096,
-) -> DataFrame:
-    """The ``k`` smallest distances from each query to its group's bank: ``rank_no, distance``.
-
-    Exact block search: query chunks meet bank blocks of bounded size, each meeting keeps
-    ``k`` rows per query, and the kept rows of a query are merged.
-    """
-    names = list(group)
-    q = _blocks(queries.select(*names, key, F.col(vector).alias("x")), names, key, query_rows, "__chunk")
-    b = _blocks(bank.select(*names, key, F.col(vector).alias("x")), names, key, bank_rows, "__block")
-    chunks = q.groupBy(*names).agg(F.max("__chunk").alias("__last_chunk"))
-    blocks = b.groupBy(*names).agg(F.max("__block").alias("__last_block"))
-    whole = lambda last: F.explode(F.sequence(F.lit(0).cast("long"), last))
-    left = join_groups(q, blocks, names).withColumn("__block", whole(F.col("__last_block"))).drop("__last_block")
-    right = join_groups(b, chunks, names).withColumn("__chunk", whole(F.col("__last_chunk"))).drop("__last_chunk", key)
-    meet = [*names, "__chunk", "__block"]
-    schema = T.StructType(
-        [queries.schema[n] for n in names] + [queries.schema[key], T.StructField("distance", T.DoubleType())]
-    )
-
-    def search(a: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
-        if a.empty or c.empty:
-            return pd.DataFrame({f.name: [] for f in schema})
-        x, y = (np.stack(p["x"].to_list()).astype(float) for p in (a, c))
-        keep = min(k, len(y))
-        square = np.maximum((x * x).sum(1)[:, None] + (y * y).sum(1)[None, :] - 2 * x @ y.T, 0)
-        best = np.sort(np.partition(square, keep - 1, axis=1)[:, :keep], axis=1)
-        out = a[[*[f"q_{n}" for n in names], key]].loc[a.index.repeat(keep)].reset_index(drop=True)
-        out.columns = [*names, key]
-        out["distance"] = np.sqrt(best).ravel()
-        return out
-
-    # Fresh column names: both sides may come from one table.
-    right = right.toDF(*[c if c == "x" else f"bank_{c}" for c in right.columns])
-    left = left.toDF(*[f"q_{c}" if c in meet else c for c in left.columns])
-    found = (
-        left.groupBy(*[f"q_{c}" for c in meet])
-        .cogroup(right.groupBy(*[f"bank_{c}" for c in meet]))
-        .applyInPandas(search, schema)
-    )
-    order = Window.partitionBy(*names, key).orderBy("distance")
-    return found.withColumn("rank_no", F.row_number().over(order)).where(F.col("rank_no") <= k)
-
-
 def anomaly_scores(neighbours: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Nearest distance and mean of the kept distances per query."""
     return neighbours.groupBy(*keys).agg(

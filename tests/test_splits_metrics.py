@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from defectspark.functions.rounding import half_even, half_up_product
 from defectspark.operators import metrics as N
 from defectspark.operators import ranking as K
+from defectspark.operators.coreset import coreset
+from defectspark.operators.neighbours import nearest_neighbours
 from defectspark.operators import results as R
 from defectspark.operators import series as S
 from defectspark.operators import splits as P
@@ -174,9 +176,9 @@ def test_null_groups_stay(spark):
     ):
         got = {r["class"]: r[key] for r in found.collect()}
         assert set(got) == {None, "b"} and all(v is not None for v in got.values())
-    assert {r["class"] for r in N.coreset(nulled, ["class"], "id", "x", parts=2).collect()} == {None, "b"}
+    assert {r["class"] for r in coreset(nulled, ["class"], "id", "x").collect()} == {None, "b"}
     halves = nulled.where("side = 'synthetic'"), nulled.where("side = 'real'")
-    assert {r["class"] for r in N.nearest_neighbours(*halves, ["class"], "id", "x", k=2).collect()} == {None, "b"}
+    assert {r["class"] for r in nearest_neighbours(*halves, ["class"], "id", "x", k=2).collect()} == {None, "b"}
 
 
 def test_buckets_order_every_double(spark):
@@ -205,24 +207,70 @@ def test_diversity_equals_all_pairs(spark):
         assert got[c] == pytest.approx(np.mean(pairs))
 
 
-def test_coreset_and_blocked_neighbours(spark):
-    df, pick = vectors(spark)
-    picks = N.coreset(df, ["class"], "id", "x", ratio=0.2).collect()
-    x = {r["id"]: np.array(r["x"]) for r in df.where("class = 'a'").collect()}
-    ids = sorted(x)
+def plain_greedy(points, count):
+    ids = sorted(points)
     chosen = [ids[0]]
-    near = {i: ((x[i] - x[ids[0]]) ** 2).sum() for i in ids}
-    while len(chosen) < math.ceil(0.2 * len(ids)):
-        far = max(ids, key=lambda i: near[i])
+    near = {i: ((points[i] - points[ids[0]]) ** 2).sum() for i in ids}
+    while len(chosen) < count:
+        far = max((i for i in ids if i not in chosen), key=lambda i: (near[i], -i))
         chosen.append(far)
-        near = {i: min(near[i], ((x[i] - x[far]) ** 2).sum()) for i in ids}
-    assert {r["id"] for r in picks if r["class"] == "a"} == set(chosen)
-    queries, bank = df.where("side = 'synthetic'"), df.where("side = 'real'")
-    found = N.nearest_neighbours(queries, bank, ["class"], "id", "x", k=4, query_rows=7, bank_rows=9).collect()
-    for r in queries.collect():
-        want = np.sort(np.sqrt(((pick(r["class"], "real") - np.array(r["x"])) ** 2).sum(1)))[:4]
-        got = sorted(f["distance"] for f in found if f["id"] == r["id"])
-        assert got == pytest.approx(want)
+        near = {i: min(near[i], ((points[i] - points[far]) ** 2).sum()) for i in ids}
+    return chosen
+
+
+@pytest.mark.parametrize("block_rows, proposed", [(65_536, 1 << 25), (11, 600), (40, 100_000)])
+def test_coreset_equals_plain_greedy(spark, monkeypatch, block_rows, proposed):
+    from defectspark.operators import coreset as C
+
+    monkeypatch.setattr(C, "BLOCK_ROWS", block_rows)
+    monkeypatch.setattr(C, "PROPOSED_BYTES", proposed)
+    draw = np.random.default_rng(6)
+    x = np.concatenate([draw.normal(size=(140, 3)), np.repeat(draw.integers(0, 2, (20, 3)), 2, 0)])
+    rows = [(i, "a" if i % 3 else "b", v.tolist(), "q") for i, v in enumerate(x)] + [(500, None, [1.0, 2.0, 3.0], "q"), (501, "a", None, "q")]
+    df = spark.createDataFrame(rows, "id long, class string, x array<double>, k string")
+    got = sorted((str(r["class"]), r["pick"], r["id"]) for r in coreset(df, ["class"], "id", "x", ratio=0.2).collect())
+    want = [("None", 0, 500)]
+    for c in "ab":
+        points = {i: np.array(v) for i, g, v, _ in rows if g == c and v is not None}
+        want += [(c, n, i) for n, i in enumerate(plain_greedy(points, math.ceil(0.2 * len(points))))]
+    assert got == sorted(want)
+    assert coreset(df.limit(0), ["class"], "id", "x").collect() == []
+
+
+@pytest.mark.parametrize("wave_bytes", [48 << 20, 4000])
+def test_neighbours_with_pivots(spark, wave_bytes):
+    df, pick = vectors(spark)
+    extra = spark.createDataFrame([(900, "c", "synthetic", [0.0] * 5), (901, "a", "real", None), (902, "b", "synthetic", None)], df.schema)
+    both = df.unionByName(extra).unionByName(df.where("side = 'real' AND id < 40"))  # some bank rows twice
+    bank = [(r["class"], np.array(r["x"])) for r in both.where("side = 'real' AND x IS NOT NULL").collect()]
+    queries = both.where("side = 'synthetic'")
+    found = nearest_neighbours(queries, both.where("side = 'real'"), ["class"], "id", "x", k=4, wave_bytes=wave_bytes).collect()
+    for r in queries.where("x IS NOT NULL").collect():
+        want = sorted(np.sqrt(((b - np.array(r["x"])) ** 2).sum()) for c, b in bank if c == r["class"])[:4]
+        got = sorted((f["rank_no"], f["distance"]) for f in found if f["id"] == r["id"])
+        assert [d for _, d in got] == pytest.approx(want, abs=1e-6) and [n for n, _ in got] == list(range(1, len(want) + 1))
+    assert not {900, 902} & {f["id"] for f in found}
+
+
+def test_blocks_out_of_reach_are_not_read():
+    from defectspark.operators.neighbours import Bank
+
+    draw = np.random.default_rng(2)
+    centres = 100 * draw.normal(size=(8, 4))
+    rows = []
+    for no, c in enumerate(centres):
+        for v in c + draw.normal(size=(50, 4)):
+            rows.append({"g": "a", "block": (no, 0), "pivot": c.tolist(), "away": float(np.sqrt(((v - c) ** 2).sum())), "x": v.tolist()})
+    bank = Bank(rows, ["g"])
+    q = centres + 0.1
+    want = np.sort(np.sqrt((((q[:, None, :] - np.array([r["x"] for r in rows])[None]) ** 2).sum(2))), axis=1)[:, :3]
+    first = bank.improve(("a",), q, np.full((8, 3), np.inf))
+    assert first == pytest.approx(want, abs=1e-6)
+    # With the answers at hand, a block is read for the queries near its pivot only.
+    met = []
+    for i, (pivot, reach, x) in enumerate(bank.groups[("a",)]):
+        met.append(int((np.sqrt(((q - pivot) ** 2).sum(1)) - reach <= first[:, -1]).sum()))
+    assert met == [1] * 8
 
 
 def test_quality_flags_fence(spark):
