@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from defectspark.catalog.registry import query, table
 from defectspark.session import shared_folder
 from defectspark.streaming import incremental as T
+from defectspark.streaming.keyed import KeyedTable
 
 
 def stream_of(spark, sf_dir, name):
@@ -43,13 +44,13 @@ def _upsert(spark, sf_dir):
     source = shared_folder(spark, "upsert-in")
     dealt = table(spark, sf_dir, "orders").withColumn("part", F.pmod(F.xxhash64("o_orderkey"), F.lit(4)))
     dealt.repartition(4, "part").write.partitionBy("part").parquet(source)
-    target, checkpoint = shared_folder(spark, "upsert"), shared_folder(spark, "upsert-ckpt")
+    target = KeyedTable(spark, shared_folder(spark, "upsert"), ["o_custkey", "o_orderpriority"], buckets=16)
     reader = spark.readStream.schema(dealt.schema).option("maxFilesPerTrigger", "1")
     rows = reader.parquet(source).select(
         "o_custkey", "o_orderpriority", F.col("o_totalprice").alias("price"), "o_orderkey"
     )
-    finish(T.upsert_new(rows, target, checkpoint, ["o_custkey", "o_orderpriority"], ["o_orderkey"]))
-    return spark.read.parquet(T.latest_version(spark, target))
+    finish(T.upsert_new(rows, target, shared_folder(spark, "upsert-ckpt"), ["o_orderkey"]))
+    return target.read()
 
 
 @query(

@@ -11,6 +11,7 @@ from defectspark.functions import text as X
 from defectspark.operators import ranking as K
 from defectspark.operators import splits as S
 from defectspark.operators import validate as V
+from defectspark.operators.ordering import with_position
 
 UID = """
 uids AS (SELECT *, rtrim(ltrim(regexp_replace(lower(class), '[^a-z0-9]+', '-', 'g'), '-'), '-') || '-'
@@ -276,3 +277,13 @@ def _plan(spark, sf_dir):
 def _accept(spark, sf_dir):
     parts = table(spark, sf_dir, "part").withColumn("accepted", F.col("p_size") >= 10)
     return S.accept_until(parts, ["p_brand"], "p_partkey", "accepted", 22).select("p_partkey", "p_brand")
+
+
+@query(
+    "canonical_order",
+    """SELECT p_partkey, row_number() OVER (ORDER BY p_brand, p_type, p_partkey) - 1 AS position FROM part""",
+)
+def _canonical_order(spark, sf_dir):
+    """The place of every sample in the order of class, defect type and id."""
+    parts = table(spark, sf_dir, "part").select(F.col("p_brand").alias("class"), F.col("p_type").alias("defect_type"), "p_partkey")
+    return with_position(parts, ["class", "defect_type", "p_partkey"]).select("p_partkey", "position")

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from defectspark.sources.annotations import document_frame_size, extract_shapes, parse_documents
-from defectspark.sources.reports import path_exists
+from defectspark.streaming.keyed import KeyedTable
 
 
 def stream_documents(spark: SparkSession, root: str, glob: str = "*.json", files_per_batch: int = 10000) -> DataFrame:
@@ -38,48 +38,18 @@ def append_new(stream: DataFrame, target: str, checkpoint: str) -> StreamingQuer
     )
 
 
-def upsert_new(
-    stream: DataFrame, target: str, checkpoint: str, keys: Sequence[str], order: Sequence[str]
-) -> StreamingQuery:
-    """Upsert each micro-batch by key; ``latest_version`` names the newest whole table.
+def upsert_new(stream: DataFrame, table: KeyedTable, checkpoint: str, order: Sequence[str]) -> StreamingQuery:
+    """Upsert each micro-batch into a keyed table; the batch number is the version it writes.
 
-    The row with the largest ``order`` stays, stored or new, so a late row replaces nothing;
-    of equal ones the newly arrived stays.
-
-    A batch writes folder ``version=<batch>`` from the newest earlier version, so a batch
-    that is replayed after a failure writes the same folder again.
+    A batch reads and rewrites only the buckets of its keys, and a batch that is replayed after a
+    failure writes the same version again.
     """
-
-    def merge(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        before = latest_version(spark, target, below=number)
-        old = spark.read.parquet(before) if before else batch.limit(0)
-        both = old.withColumn("__new", F.lit(False)).unionByName(batch.withColumn("__new", F.lit(True)))
-        rest = [c for c in batch.columns if c not in keys]
-        newest = both.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct(*order, "__new")).alias("__row"))
-        newest.select(*keys, "__row.*").select(*batch.columns).write.mode("overwrite").parquet(f"{target}/version={number:010d}")
-
     return (
-        stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True).start()
+        stream.writeStream.foreachBatch(lambda batch, number: table.merge(batch, order, number))
+        .option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     )
 
 
-def latest_version(spark: SparkSession, target: str, below: int | None = None) -> str | None:
-    """Newest complete version folder (one with a success marker), before ``below`` if given."""
-    if not path_exists(spark, target):
-        return None
-    jvm = spark.sparkContext._jvm
-    folder = jvm.org.apache.hadoop.fs.Path(target)
-    system = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    names = [s.getPath().getName() for s in system.listStatus(folder)]
-    versions = sorted(n for n in names if n.startswith("version="))
-    if below is not None:
-        versions = [v for v in versions if int(v.split("=")[1]) < below]
-    complete = [v for v in versions if path_exists(spark, f"{target}/{v}/_SUCCESS")]
-    return f"{target}/{complete[-1]}" if complete else None
-
-
 def process_rest(
     scope: DataFrame, finished: DataFrame, keys: Sequence[str], work: Callable[[DataFrame], DataFrame]
 ) -> DataFrame:

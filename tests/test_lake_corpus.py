@@ -16,6 +16,7 @@ from defectspark.sources import images as I
 from defectspark.sources import reports as IO
 from defectspark.sources.inventory import read_inventory
 from defectspark.streaming import incremental as T
+from defectspark.streaming.keyed import KeyedTable
 
 
 @pytest.fixture()
@@ -292,14 +293,55 @@ def test_streamed_upsert_keeps_the_last(spark, tmp_path):
 
     def run(rows):
         spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(source)
-        T.upsert_new(spark.readStream.schema(schema).parquet(source), target, ckpt, ["k"], ["t"]).awaitTermination()
-        return {r["k"]: r["v"] for r in spark.read.parquet(T.latest_version(spark, target)).collect()}
+        table = KeyedTable(spark, target, ["k"], buckets=4)
+        T.upsert_new(spark.readStream.schema(schema).parquet(source), table, ckpt, ["t"]).awaitTermination()
+        return {r["k"]: r["v"] for r in table.read().collect()}
 
     assert run([("a", 1, 1), ("a", 2, 2), ("b", 5, 1)]) == {"a": 2, "b": 5}
     assert run([("b", 6, 2), ("c", 7, 1)]) == {"a": 2, "b": 6, "c": 7}
     assert run([("b", 9, 1), ("c", 8, 1)]) == {"a": 2, "b": 6, "c": 8}
 
 
+def test_an_upsert_rewrites_only_the_buckets_it_touches(spark, tmp_path):
+    table = KeyedTable(spark, str(tmp_path / "t"), ["k"], buckets=8)
+    assert table.read() is None
+    files = lambda: {p: p.stat().st_mtime_ns for p in (tmp_path / "t/data").rglob("*.parquet")}
+    base = spark.range(200).select(F.col("id").alias("k"), F.lit(1).alias("t"), F.lit("old").alias("v"))
+    assert len(table.upsert(base, ["t"])) == 8
+    first = files()
+    assert len(first) == 8
+    one = spark.createDataFrame([(7, 2, "new"), (7, 1, "late")], "k long, t int, v string")
+    written = table.upsert(one, ["t"])
+    second = files()
+    assert len(written) == 1 and len(set(second) - set(first)) == 1 and all(second[p] == first[p] for p in first)
+    rows = {r.k: r.v for r in table.read().collect()}
+    assert len(rows) == 200 and rows.pop(7) == "new" and set(rows.values()) == {"old"}
+    # A version written again after a failure replaces itself; data that no kept manifest names goes.
+    assert table.merge(one.withColumn("v", F.lit("again")), ["t"], 1) == written and table.read().where("k = 7").first().v == "again"
+    table.upsert(base.withColumn("t", F.lit(3)), ["t"])
+    table.upsert(base.withColumn("t", F.lit(4)), ["t"])
+    assert {p.parent.parent.name for p in files()} == {"version=0000000002", "version=0000000003"}
+    assert table.upsert(one.limit(0), ["t"]) == [] and table.read().count() == 200
+    none = spark.createDataFrame([(None, 1, "x"), (None, 2, "y")], "k long, t int, v string")
+    table.upsert(none, ["t"])
+    assert [r.v for r in table.read().where("k IS NULL").collect()] == ["y"]
+
+
+def test_positions_spread_ties(spark):
+    from defectspark.operators.ordering import ranged, with_position
+
+    df = spark.range(30_000).select(F.when(F.col("id") % 3 > 0, F.col("id") % 5).alias("a"), (F.col("id") % 7).alias("b"), "id")
+    got = with_position(df, ["a", "b"])
+    rows = [tuple(r) for r in got.orderBy("position").select("position", "a", "b").collect()]
+    assert [r[0] for r in rows] == list(range(30_000))
+    order = [((a is not None, a), b) for _, a, b in rows]
+    assert order == sorted(order, key=lambda r: (r[0][0], r[0][1] or 0, r[1]))
+    # A third of the rows tie on a null; several tasks share them.
+    tasks = ranged(df, ["a"]).where("a IS NULL").groupBy(F.spark_partition_id()).count().collect()
+    assert len(tasks) > 1 and max(t["count"] for t in tasks) < 8000
+    assert with_position(df.limit(0), ["a"]).collect() == []
+
+
 def test_configuration_rows(spark):
     config = {"d": {"classes": {"a": {"x": ("text", "inspect", "why")}, "b": {}}, "excluded_classes": ["b"]}}
     classes, templates = IO.configuration_rows(spark, config)
