@@ -39,9 +39,14 @@ def records_view(spark, sf_dir):
             "area_pct": F.when(F.col("area_pct") > 15, F.col("area_pct") + 1).otherwise(F.col("area_pct")),
             "region": F.when(F.col("severity_level") == "minor", F.lit("centre")).otherwise(F.col("region")),
             "image_path": F.when(F.col("severity_level") == "none", F.lit("img/other.png")).otherwise(F.concat(F.lit("./"), F.col("image_path"))),
+            "dataset": F.when(F.col("severity_level") == "moderate", F.lit("elsewhere")).otherwise(F.col("dataset")),
         }
     )
-    return R.training_records(R.member_rows(members), drifted, members)
+    number = F.col("image_id")
+    images = members.where(number % 5 > 0).select(
+        F.concat(F.lit("img\\"), number.cast("string"), F.lit(".png")).alias("path"), (number * 3 + 40).alias("width"), (number * 29 + 40).alias("height")
+    )
+    return R.training_records(R.member_rows(members), drifted, members, images)
 
 
 @query("grounding_rows", FACTS + " SELECT 'u' || image_id AS uid, class, 'img/' || image_id || '.png' AS image_path, box_x, centroid_y, area_pct, region, severity_level FROM facts")
@@ -58,10 +63,25 @@ def _grounding(spark, sf_dir):
     FACTS
     + """ SELECT 'u' || image_id AS uid, 'area differs from the facts' AS rule FROM facts WHERE area_pct > 15
        UNION ALL SELECT 'u' || image_id, 'region differs from the facts' FROM facts WHERE severity_level = 'minor' AND region <> 'centre'
-       UNION ALL SELECT 'u' || image_id, 'image path mismatch' FROM facts WHERE severity_level = 'none'""",
+       UNION ALL SELECT 'u' || image_id, 'image path mismatch' FROM facts WHERE severity_level = 'none'
+       UNION ALL SELECT 'u' || image_id, 'dataset mismatch' FROM facts WHERE severity_level = 'moderate'""",
 )
 def _disagreements(spark, sf_dir):
-    return V.violations(records_view(spark, sf_dir), ["uid"], V.agreement_rules())
+    return V.violations(records_view(spark, sf_dir), ["uid"], V.agreement_rules(F.lit("vectors")))
+
+
+@query(
+    "record_image_sizes",
+    """WITH s AS (SELECT vec_id, CASE WHEN vec_id % 5 > 0 THEN vec_id * 3 + 40 END AS w, CASE WHEN vec_id % 5 > 0 THEN vec_id * 29 + 40 END AS h FROM embeddings),
+       r AS (SELECT *, round_even(w / 28.0::DOUBLE, 0) * 28 AS w0, round_even(h / 28.0::DOUBLE, 0) * 28 AS h0 FROM s),
+       b AS (SELECT *, sqrt(w * h / 3211264.0::DOUBLE) AS shrink, sqrt(200704.0::DOUBLE / (w * h)) AS grow FROM r)
+       SELECT 'u' || vec_id AS uid, w AS image_width, h AS image_height,
+         CASE WHEN w0 * h0 > 3211264 THEN greatest(1, floor(w / shrink / 28)) * greatest(1, floor(h / shrink / 28))
+          WHEN w0 * h0 < 200704 THEN ceil(w * grow / 28) * ceil(h * grow / 28) ELSE w0 * h0 / 784 END::BIGINT AS vision_tokens FROM b""",
+)
+def _record_sizes(spark, sf_dir):
+    """Frame and vision tokens of every training record; every fifth image is missing."""
+    return records_view(spark, sf_dir).select("uid", "image_width", "image_height", "vision_tokens")
 
 
 @query(

@@ -411,7 +411,8 @@ def _coco_masks(spark, sf_dir):
 @query(
     "mask_manifest",
     """SELECT o.o_orderkey AS image_id, count(l.l_orderkey) > 0 AS is_defective,
-         coalesce(string_agg(DISTINCT 'cat_' || l_returnflag, ';' ORDER BY 'cat_' || l_returnflag)
+         coalesce(string_agg(DISTINCT CASE l_returnflag WHEN 'A' THEN 'accepted' WHEN 'R' THEN 'returned' ELSE 'cat_N' END, ';'
+             ORDER BY CASE l_returnflag WHEN 'A' THEN 'accepted' WHEN 'R' THEN 'returned' ELSE 'cat_N' END)
            FILTER (WHERE NOT (l_linestatus = 'F' AND l_linenumber = 1)), '') AS defect_categories,
          count(l.l_orderkey) AS num_defect_regions,
          count(l.l_orderkey) FILTER (WHERE NOT (l_linestatus = 'F' AND l_linenumber = 1)) AS num_used_regions
@@ -427,7 +428,9 @@ def _manifest(spark, sf_dir):
         F.col("l_returnflag").alias("category_id"),
         F.when((F.col("l_linestatus") == "F") & (F.col("l_linenumber") == 1), 1).otherwise(0).alias("ignore"),
     )
-    names = annotations.sparkSession.createDataFrame([], "category_id string, category_name string")
+    # Two of the three categories have a name.
+    flag = F.col("l_returnflag")
+    names = lines.where(flag != "N").select(flag.alias("category_id"), F.when(flag == "A", "accepted").otherwise("returned").alias("category_name")).distinct()
     return mask_manifest(images, annotations, names, ["image_id"]).select(
         "image_id", "is_defective", F.array_join("defect_categories", ";").alias("defect_categories"),
         "num_defect_regions", "num_used_regions",

@@ -62,12 +62,25 @@ def base_name(path: Column) -> Column:
     return F.element_at(F.split(path, "/"), -1)
 
 
+def folder_of(path: Column) -> Column:
+    """Everything before the last slash; empty without one."""
+    return F.regexp_extract(path, r"^(?s)(.*)/[^/]*$", 1)
+
+
 def posix_path(path: Column) -> Column:
     """Backslashes to slashes, single separators, no leading ``./``."""
     slashed = F.replace(path, F.lit("\\"), F.lit("/"))
     return F.regexp_replace(F.regexp_replace(slashed, "/+", "/"), r"^(\./)+", "")
 
 
+def relative_path(path: Column, root: str) -> Column:
+    """The part of a file's address below ``root``; both may be encoded, and local ones may have one or three slashes."""
+    plain = F.url_decode(F.replace(path, F.lit("+"), F.lit("%2B")))
+    single = F.replace(plain, F.lit("file:///"), F.lit("file:/"))
+    base = root.replace("file:///", "file:/").rstrip("/") + "/"
+    return F.when(single.startswith(base), F.substring(single, len(base) + 1, 1 << 30)).otherwise(single)
+
+
 def is_under(path: Column, root: str) -> Column:
     """Lexical containment; any ``..`` component counts as outside."""
     clean = posix_path(path)

@@ -107,11 +107,12 @@ def _prefixed(names: Column, prefix: Column) -> Column:
     return F.transform(names, lambda name: F.concat(prefix, name))
 
 
-def agreement_rules() -> dict[str, Column]:
-    """Grounding against report, and both against the membership row."""
+def agreement_rules(dataset: Column | None = None) -> dict[str, Column]:
+    """Grounding against report, and both against the membership row; with ``dataset``, the grounding's data set against it too."""
     g, r = F.col("grounding"), F.col("report")
     differ = lambda a, b: ~a.eqNullSafe(b)
-    return {
+    owned = {} if dataset is None else {"dataset mismatch": differ(g["dataset"], dataset)}
+    return owned | {
         "box differs from the facts": differ(g["bounding_box"], r["location"]["bounding_box"]),
         "centroid differs from the facts": differ(g["centroid"], r["location"]["centroid"]),
         "region differs from the facts": differ(g["region"], r["location"]["region"]),

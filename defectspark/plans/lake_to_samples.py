@@ -7,11 +7,12 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from defectspark.functions import text as X
 from defectspark.operators import lake as L
 from defectspark.operators.splits import truncated_split
-from defectspark.sources.annotations import document_frame_size, document_masks, extract_shapes, parse_documents
+from defectspark.sources.annotations import document_frame_size, document_masks, extract_shapes, parse_documents, read_json_documents
 from defectspark.sources.images import probe_images, read_images
-from defectspark.sources.inventory import read_inventory
+from defectspark.sources.inventory import qualified, read_inventory
 
 
 @dataclass(frozen=True)
@@ -26,11 +27,24 @@ class LakeOptions:
 def audited_files(spark: SparkSession, root: str, options: LakeOptions) -> DataFrame:
     """Every file with its size and, for images, what the decoder says about it."""
     files = read_inventory(spark, root, options.listing_depth).withColumn("dataset", F.lit(options.dataset))
-    prefix = "file:" + root.rstrip("/") + "/"
-    probed = probe_images(read_images(spark, root)).withColumn(
-        "path", F.regexp_replace(F.replace(F.url_decode(F.replace("path", F.lit("+"), F.lit("%2B"))), F.lit("file:///"), F.lit("file:/")), "^" + prefix, "")
+    probed = probe_images(read_images(spark, root))
+    return files.join(probed.withColumn("path", X.relative_path(F.col("path"), qualified(spark, root))), "path", "left")
+
+
+def lake_documents(spark: SparkSession, root: str) -> DataFrame:
+    """Annotation documents of a lake as ``path`` (below the root), ``folder``, ``stem`` and ``text``."""
+    path = X.relative_path(F.col("path"), qualified(spark, root))
+    return read_json_documents(spark, root).withColumn("path", path).withColumns(
+        {"folder": X.folder_of(F.col("path")), "stem": X.file_stem(X.base_name(F.col("path")))}
+    )
+
+
+def image_frames(files: DataFrame) -> DataFrame:
+    """Frames of the readable images of ``audited_files``, for documents of their folder and stem that state none."""
+    return files.where("readable").select(
+        "path", X.folder_of(F.col("path")).alias("folder"), X.file_stem(X.base_name(F.col("path"))).alias("stem"),
+        F.col("height").alias("image_height"), F.col("width").alias("image_width"),
     )
-    return files.join(probed, "path", "left")
 
 
 def routed_files(files: DataFrame, options: LakeOptions) -> DataFrame:
@@ -43,7 +57,8 @@ def annotation_masks(documents: DataFrame, images: DataFrame | None = None) -> t
     """Mask rows per document, and the shapes behind the mask manifest.
 
     ``documents`` has ``path, stem, text``; ``images`` has ``stem, image_height,
-    image_width`` for documents that do not state their frame.
+    image_width`` for documents that do not state their frame. Where both have ``folder``, an image
+    counts for the documents beside it only.
     """
     sized = document_frame_size(parse_documents(documents), images)
     return document_masks(sized, ["path"]), extract_shapes(sized, ["path", "height", "width"])

@@ -45,6 +45,44 @@ def test_inventory_sees_every_file_once(spark, lake, depth):
     assert kept == 0
 
 
+def test_a_flat_folder_gives_several_partitions(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    for i in range(200):
+        (tmp_path / f"f{i}.bin").write_bytes(b"x" * (i % 3))
+    found = read_inventory(spark, str(tmp_path), 0, slices=4)
+    shares = [r["count"] for r in found.groupBy(F.spark_partition_id()).count().collect()]
+    assert len(shares) == 4 and sum(shares) == 200 and min(shares) > 20
+    sizes = {r["path"]: r["size_bytes"] for r in read_inventory(spark, "file://" + str(tmp_path), 2).collect()}
+    assert sizes == {f"f{i}.bin": i % 3 for i in range(200)}
+
+
+def test_addresses_that_are_not_local(tmp_path):
+    """The Arrow path, on the file system that any machine has."""
+    from pyarrow import fs
+
+    from defectspark.sources.inventory import entries
+
+    (tmp_path / "a").mkdir()
+    (tmp_path / "a/x.png").write_bytes(b"12")
+    (tmp_path / "empty.png").write_bytes(b"")
+    store = (fs.LocalFileSystem(), str(tmp_path))
+    top = {e.path: e.is_folder for e in entries("store://bucket/lake", "", store)}
+    below = [e.row()[:2] for e in entries("store://bucket/lake", "a", store)]
+    assert top == {"a": True, "empty.png": False} and below == [("a/x.png", 2)]
+
+
+def test_documents_take_the_frame_of_the_image_beside_them(spark, tmp_path):
+    for folder, size in (("one (x+y)", 3), ("two", 5)):
+        (tmp_path / folder).mkdir()
+        png(tmp_path / folder / "a.png", [[0] * size] * size)
+        (tmp_path / folder / "a.json").write_text(json.dumps({"shapes": [{"points": [[0, 0], [9, 0], [9, 9], [0, 9]], "label": "x"}]}))
+    files = E.audited_files(spark, str(tmp_path), E.LakeOptions("d"))
+    masks, shapes = E.annotation_masks(E.lake_documents(spark, str(tmp_path)), E.image_frames(files))
+    got = {r["path"]: (r["height"], r["width"], sum(x1 - x0 + 1 for _, x0, x1 in r["runs"])) for r in masks.collect()}
+    assert got == {"one (x+y)/a.json": (3, 3, 9), "two/a.json": (5, 5, 25)} and shapes.count() == 2
+
+
 def test_audit_rename_and_route(spark, lake):
     options = E.LakeOptions("d")
     files = E.audited_files(spark, lake, options)
