@@ -9,110 +9,156 @@ over the ranks of the pieces, so each piece finds its place by its exact rank al
 
 from __future__ import annotations
 
-import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from defectspark.llm.common import global_rank, store
 
-_END = b"\0\0\0\0"
-_SIMPLE = re.compile(r"[\x21-\x7e\xc0-\xff]+")
+# What a chunk may be made of to be cut by the pattern below; others go through the tokenizer whole.
+_SIMPLE = "^[\\x{21}-\\x{7e}\\x{c0}-\\x{ff}]+\\z"
 # How the tokenizer cuts a chunk of small letters: fixed by its file.
-_PIECE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z\xdf-\xf6\xf8-\xff]+|[0-9]|[^a-z0-9\xdf-\xf6\xf8-\xff]+")
-_ODD_BLANK = re.compile("[\x0b\x0c\x1c-\x1f\x85\xa0  -     　]")
-_ODD_ASCII = "\x0b\x0c\x1c\x1d\x1e\x1f"
+_PART = "'s|'t|'re|'ve|'m|'ll|'d|[a-z\xdf-\xf6\xf8-\xff]+|[0-9]|[^a-z0-9\xdf-\xf6\xf8-\xff]+"
+# White space that is no blank for the tokenizer, or none for the split below.
+_ODD_BLANK = "[\\x0b\\x0c\\x1c-\\x1f\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]"
 _HELD = 400_000
-_SLICE_CHARS = 4_000_000
+_SLICE_BYTES = 6_000_000
 
 
-def _has_odd_blank(text: str) -> bool:
-    """Whether ``str.split`` would cut where the tokenizer does not; plain text is searched character by character."""
-    return any(c in text for c in _ODD_ASCII) if text.isascii() else _ODD_BLANK.search(text) is not None
+def _ragged(pool: np.ndarray, offset: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """``pool[offset:offset + size]`` of every item, one after the other."""
+    before = np.cumsum(size) - size
+    return pool[np.repeat(offset - before, size) + np.arange(int(size.sum()))]
 
 
-class _Recent:
-    """A map that keeps the latest ``most`` to ``2 * most`` entries used."""
+class _Pool:
+    """Strings with their ids in one array; the number of a string says where they lie."""
 
-    def __init__(self, most: int) -> None:
-        self.most, self.new, self.old = most, {}, {}
+    def __init__(self) -> None:
+        self.number: dict[str, int] = {}
+        self.ids, self.offset, self.size = np.zeros(0, "<u4"), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
-    def get(self, key: str) -> bytes | None:
-        value = self.new.get(key)
-        if value is None and (value := self.old.get(key)) is not None:
-            self.new[key] = value
-        return value
+    def add(self, strings: list[str], ids: np.ndarray, size: np.ndarray) -> None:
+        first = len(self.number)
+        self.number.update(zip(strings, range(first, first + len(strings))))
+        self.offset = np.concatenate([self.offset, len(self.ids) + np.cumsum(size) - size])
+        self.ids, self.size = np.concatenate([self.ids, ids]), np.concatenate([self.size, size])
 
-    def put(self, key: str, value: bytes) -> None:
-        self.new[key] = value
-
-    def turn(self) -> None:
-        if len(self.new) > self.most:
-            self.new, self.old = {}, self.new
+    def numbers(self, strings: list[str], learn: Callable[[list[str]], tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+        missing = [s for s in strings if s not in self.number]
+        if missing:
+            self.add(missing, *learn(missing))
+        return np.fromiter(map(self.number.__getitem__, strings), np.int64, len(strings))
 
 
 class ChunkEncoder:
-    """Token ids as little-endian unsigned 32-bit bytes for a tokenizer that drops white space.
+    """Token ids of texts for a tokenizer that drops white space.
 
-    Such a tokenizer treats chunks between blanks independently, so the ids of a chunk are kept.
-    Chunks of plain Latin letters, digits and marks are cut as the tokenizer does and looked up
-    part by part; all others, and strings that may be special tokens, go through it whole.
+    Such a tokenizer treats chunks between blanks independently. The distinct chunks of a slice of
+    texts are found by dictionary encoding. Chunks of plain Latin letters, digits and marks are cut
+    as the tokenizer does, all at once, and only parts that were not met before go through it;
+    other chunks, and strings that may be special tokens, go through it whole. Ids are then gathered
+    by number, so no word is touched one by one.
     """
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.chunks, self.parts = _Recent(_HELD), _Recent(_HELD)
-
-    @staticmethod
-    def _bytes(ids: list[int]) -> bytes:
-        return np.asarray(ids, dtype="<u4").tobytes()
+        self.pool = _Pool()
 
-    def _encode_each(self, strings: list[str]) -> list[bytes]:
-        return [self._bytes(e.ids) for e in self.tokenizer.encode_batch_fast(strings, add_special_tokens=False)]
+    def _each(self, strings: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        found = [e.ids for e in self.tokenizer.encode_batch_fast(strings, add_special_tokens=False)]
+        return np.array([i for ids in found for i in ids], "<u4"), np.array([len(ids) for ids in found], np.int64)
 
-    def _learn_parts(self, parts: list[str]) -> None:
+    def _parts(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of parts that the tokenizer keeps apart between blanks, many at a time."""
+        ids, sizes = [], []
         for i in range(0, len(parts), 20_000):
             some = parts[i:i + 20_000]
             encoded = self.tokenizer.encode(" ".join(some), add_special_tokens=False)
-            words = np.asarray(encoded.word_ids, dtype=np.int64)
-            ids = np.asarray(encoded.ids, dtype="<u4")
-            first = np.flatnonzero(np.diff(words, prepend=-1))
-            if len(first) == len(some):
-                ends = [*first[1:].tolist(), len(ids)]
-                found = [ids[a:b].tobytes() for a, b in zip(first.tolist(), ends, strict=True)]
-            else:
-                found = self._encode_each(some)
-            for part, value in zip(some, found, strict=True):
-                self.parts.put(part, value)
-
-    def _learn_chunks(self, chunks: list[str]) -> None:
-        plain = {c: _PIECE.findall(c.lower()) for c in chunks if "<|" not in c and _SIMPLE.fullmatch(c)}
-        missing = {p for parts in plain.values() for p in parts if self.parts.get(p) is None}
-        self._learn_parts(sorted(missing))
-        for chunk, parts in plain.items():
-            self.chunks.put(chunk, b"".join([self.parts.new[p] for p in parts]))
-        other = [c for c in chunks if c not in plain]
-        for chunk, value in zip(other, self._encode_each(other), strict=True):
-            self.chunks.put(chunk, value)
-        self.parts.turn()
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        split = [re.split(r"[ \n\t\r]+", t.strip(" \n\t\r")) if _has_odd_blank(t) else t.split() for t in texts]
-        get = self.chunks.get
-        missing = {c for c in set().union(*split) if get(c) is None}
-        missing.discard("")
-        self._learn_chunks(sorted(missing))
-        held = self.chunks.new
-        out = [b"".join([held[c] for c in chunks if c]) for chunks in split]
-        self.chunks.turn()
+            words = np.asarray(encoded.word_ids, np.int64)
+            size = np.diff(np.flatnonzero(np.diff(words, prepend=-1, append=-1)))
+            found = (np.asarray(encoded.ids, "<u4"), size) if len(size) == len(some) else self._each(some)
+            ids.append(found[0])
+            sizes.append(found[1])
+        return np.concatenate(ids), np.concatenate(sizes)
+
+    def _chunks(self, chunks: pa.Array) -> _Pool:
+        """The ids of distinct chunks, numbered as they come; an empty chunk has none."""
+        empty = pc.equal(chunks, "")
+        plain = pc.and_(pc.match_substring_regex(chunks, _SIMPLE), pc.invert(pc.match_substring(chunks, "<|")))
+        cut = pc.replace_substring_regex(pc.utf8_lower(chunks.filter(plain)), pattern=_PART, replacement="\\0 ")
+        lists = pc.split_pattern(pc.utf8_rtrim(cut, " "), " ")
+        coded = lists.flatten().dictionary_encode()
+        numbers = self.pool.numbers(coded.dictionary.to_pylist(), self._parts)
+        parts = numbers[coded.indices.to_numpy(zero_copy_only=False)]
+        other = pc.and_(pc.invert(plain), pc.invert(empty))
+        # Whole chunks live in the same pool as parts: a part is plain, such a chunk is not or holds a mark of its own.
+        whole = self.pool.numbers(chunks.filter(other).to_pylist(), self._each)
+        size = self.pool.size[parts]
+        ends = np.concatenate([[0], np.cumsum(size)])[lists.offsets.to_numpy() - lists.offsets[0].as_py()]
+        out = _Pool()
+        sizes = np.zeros(len(chunks), np.int64)
+        is_plain, is_other = (m.to_numpy(zero_copy_only=False) for m in (plain, other))
+        sizes[is_plain], sizes[is_other] = np.diff(ends), self.pool.size[whole]
+        out.size, out.offset = sizes, np.cumsum(sizes) - sizes
+        out.ids = np.empty(int(sizes.sum()), "<u4")
+        spots = np.repeat(is_plain, sizes)
+        out.ids[spots] = _ragged(self.pool.ids, self.pool.offset[parts], size)
+        out.ids[~spots] = _ragged(self.pool.ids, self.pool.offset[whole], self.pool.size[whole])
         return out
 
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the texts in one array, and the place where each text's ids begin, with the end."""
+        if len(self.pool.number) > _HELD:
+            self.pool = _Pool()
+        odd = pc.match_substring_regex(texts, _ODD_BLANK)
+        if pc.any(odd).as_py():
+            # Blanks of the tokenizer become spaces; what else is white space is taken for a letter by this split.
+            lists = pc.split_pattern(pc.replace_substring_regex(texts, "[ \\n\\t\\r]+", " "), " ")
+        else:
+            lists = pc.ascii_split_whitespace(texts)
+        coded = lists.flatten().dictionary_encode()
+        chunks = self._chunks(coded.dictionary)
+        words = coded.indices.to_numpy(zero_copy_only=False)
+        size = chunks.size[words]
+        ids = _ragged(chunks.ids, chunks.offset[words], size)
+        ends = np.concatenate([[0], np.cumsum(size)])[lists.offsets.to_numpy() - lists.offsets[0].as_py()]
+        return ids, ends
+
+
+def _pieces_of(encoder: ChunkEncoder, texts: pa.Array, length: int, with_ids: bool) -> pa.ListArray:
+    ids, ends = encoder.encode(texts)
+    # A closing 0 after every document.
+    closed = np.zeros(len(ids) + len(texts), "<u4")
+    spots = np.ones(len(closed), bool)
+    spots[ends[1:] + np.arange(len(texts))] = False
+    closed[spots] = ids
+    first = ends + np.arange(len(ends))
+    size = np.diff(first)
+    count = -(-size // length)
+    piece = np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
+    start = piece * length
+    begin = np.repeat(first[:-1], count) + start
+    lengths = np.minimum(np.repeat(size, count) - start, length)
+    raw = memoryview(closed.tobytes())
+    cuts = [raw[4 * a:4 * (a + n)] for a, n in zip(begin.tolist(), lengths.tolist())]
+    columns = {
+        "piece": pa.array(piece.astype(np.int32)), "start": pa.array(start.astype(np.int64)), "length": pa.array(lengths.astype(np.int64)),
+        "ids_crc32": pa.array([zlib.crc32(c) for c in cuts], pa.int64()),
+    }
+    if with_ids:
+        columns["ids"] = pa.array([bytes(c) for c in cuts], pa.binary())
+    rows = pa.StructArray.from_arrays(list(columns.values()), list(columns))
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(count)]).astype(np.int32)), rows)
+
 
 def pieces(docs: DataFrame, tokenizer: str, length: int = 2048, text: str = "text", with_ids: bool = False) -> DataFrame:
     """One row per piece: the other columns, then ``piece``, ``start``, ``length``, ``ids_crc32`` (and ``ids``).
@@ -123,29 +169,15 @@ def pieces(docs: DataFrame, tokenizer: str, length: int = 2048, text: str = "tex
     kind = "array<struct<piece:int,start:long,length:long,ids_crc32:long" + (",ids:binary" if with_ids else "") + ">>"
     names = ["piece", "start", "length", "ids_crc32", *(["ids"] if with_ids else [])]
 
-    @F.pandas_udf(kind)
-    def cut(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf(kind)
+    def cut(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         encoder = ChunkEncoder(tokenizer)
         for batch in batches:
-            out, some, size = [], [], 0
-
-            def flush():
-                for ids in encoder.encode(some):
-                    ids += _END
-                    parts = [ids[i:i + 4 * length] for i in range(0, len(ids), 4 * length)]
-                    out.append([
-                        (k, k * length, len(p) // 4, zlib.crc32(p), *([p] if with_ids else [])) for k, p in enumerate(parts)
-                    ])
-                some.clear()
-
-            for value in batch:
-                some.append(value or "")
-                size += len(some[-1])
-                if size > _SLICE_CHARS:
-                    flush()
-                    size = 0
-            flush()
-            yield pd.Series(out)
+            texts = pc.fill_null(batch, "")
+            slice_no = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64)) // _SLICE_BYTES
+            edges = [0, *(np.flatnonzero(np.diff(slice_no)) + 1).tolist(), len(texts)]
+            parts = [_pieces_of(encoder, texts.slice(a, b - a), length, with_ids) for a, b in zip(edges, edges[1:]) if b > a]
+            yield pa.concat_arrays(parts) if parts else _pieces_of(encoder, texts, length, with_ids)
 
     rest = [c for c in docs.columns if c not in (text, *names)]
     return docs.select(*rest, F.explode(cut(F.col(text))).alias("__p")).select(*rest, *[F.col(f"__p.{n}").alias(n) for n in names])
