@@ -47,7 +47,9 @@ def global_rank(df: DataFrame, keys: Sequence[str], rank: str, name: str) -> Dat
     interchangeable, their order is free. The stored rows fix the ranks for all later reads.
     """
     ids, task, place = f"__{rank}_id", f"__{rank}_task", f"__{rank}_place"
-    ranged = df.repartitionByRange(*keys).sortWithinPartitions(*keys)
+    # A number of the row, not of its values, splits ties on all keys over tasks.
+    numbered = df.withColumn(ids, F.monotonically_increasing_id())
+    ranged = numbered.repartitionByRange(*keys, ids).sortWithinPartitions(*keys, ids).drop(ids)
     rows = store(ranged.withColumn(ids, F.monotonically_increasing_id()), name)
     rows = rows.withColumn(task, F.shiftright(ids, 33)).withColumn(place, F.col(ids).bitwiseAND(F.lit(_IN_TASK)))
     before = Window.orderBy(task).rowsBetween(Window.unboundedPreceding, -1)
