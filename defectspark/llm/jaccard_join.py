@@ -25,7 +25,7 @@ from defectspark.llm.decontamination import normal_words
 
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 _MIX = np.uint64(0xD6E8FEB86659FD93)
-_HELD_WORDS = 400_000
+_HELD_WORDS = 50_000
 
 
 def choose_bands(threshold: float, recall: float, most_rows: int = 5) -> tuple[int, int]:
@@ -226,8 +226,12 @@ def verified(rows: DataFrame, threshold: float, block_rows: int) -> DataFrame:
         docs, texts = linked @ copies, linked.sum(axis=1)
         return [(int(a), int(ids[r]), int(d), int(t)) for a, r, d, t in zip(ids, root, docs, texts, strict=True) if t]
 
+    def grouped(part: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame(work(part), columns=["rid", "root", "docs", "texts"])
+
+    # A group is a batch of its own: memory holds one pair of blocks, where batches of many rows could hold many long texts.
     dealt = in_blocks(rows, "cluster", "m", block_rows).select("cluster", "lo", "hi", "block", "rid", "copies", "shingles")
-    return dealt.mapInPandas(by_group(["cluster", "lo", "hi"], work, ["rid", "root", "docs", "texts"]), "rid long, root long, docs long, texts long")
+    return dealt.groupBy("cluster", "lo", "hi").applyInPandas(grouped, "rid long, root long, docs long, texts long")
 
 
 def shingle_sets(docs: DataFrame, n: int, text: Column, out: str) -> DataFrame:

@@ -6,6 +6,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from defectspark.llm import jaccard_join, packing, pii, queries
@@ -102,10 +103,14 @@ def test_tokens_equal_the_tokenizer(spark):
     texts = [t for _, t in table_texts(spark, SF)] + [
         "It's I'LL don't 'sun ''s !'s x'S 12a3é ß×÷ÿ <|endoftext|> a<|startoftext|>b", "é   x\x1cy 　 日本語 Ünï İstanbul ΟΔΟΣ", "", " \n ",
     ]
+    texts += [f"a{chr(c)}b {chr(c)} c{chr(c)}" for c in [*range(1, 0x250), 0x1680, *range(0x2000, 0x2070), 0x3000, 0xFEFF, 0x1F600]]
     encoder = packing.ChunkEncoder(packing.tokenizer_path())
-    want = [np.asarray(e.ids, "<u4").tobytes() for e in plain.encode_batch(texts, add_special_tokens=False)]
-    assert encoder.encode(texts) == want
-    assert encoder.encode(texts) == want
+    want = [e.ids for e in plain.encode_batch(texts, add_special_tokens=False)]
+    for some in (slice(None), slice(None), slice(0, 50), slice(100, None)):
+        ids, ends = encoder.encode(pa.array(texts)[some])
+        assert [ids[a:b].tolist() for a, b in zip(ends, ends[1:])] == want[some]
+    for text, ids in zip(texts, want):
+        assert encoder.encode(pa.array([text]))[0].tolist() == ids
 
 
 def check_packing(rows, texts, tokenizer):
