@@ -27,8 +27,10 @@ _SIMPLE = "^[\\x{21}-\\x{7e}\\x{c0}-\\x{ff}]+\\z"
 _PART = "'s|'t|'re|'ve|'m|'ll|'d|[a-z\xdf-\xf6\xf8-\xff]+|[0-9]|[^a-z0-9\xdf-\xf6\xf8-\xff]+"
 # White space that is no blank for the tokenizer, or none for the split below.
 _ODD_BLANK = "[\\x0b\\x0c\\x1c-\\x1f\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]"
+_WORD_END = "</w>"
+_TOGETHER = 2000
 _HELD = 400_000
-_SLICE_BYTES = 6_000_000
+_SLICE_BYTES = 10_000_000
 
 
 def _ragged(pool: np.ndarray, offset: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -51,10 +53,15 @@ class _Pool:
         self.ids, self.size = np.concatenate([self.ids, ids]), np.concatenate([self.size, size])
 
     def numbers(self, strings: list[str], learn: Callable[[list[str]], tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
-        missing = [s for s in strings if s not in self.number]
-        if missing:
+        """The numbers of distinct strings; those not met before are learned."""
+        get = self.number.get
+        found = np.fromiter([get(s, -1) for s in strings], np.int64, len(strings))
+        new = np.flatnonzero(found < 0)
+        if len(new):
+            found[new] = len(self.number) + np.arange(len(new))
+            missing = [strings[i] for i in new.tolist()]
             self.add(missing, *learn(missing))
-        return np.fromiter(map(self.number.__getitem__, strings), np.int64, len(strings))
+        return found
 
 
 class ChunkEncoder:
@@ -72,6 +79,9 @@ class ChunkEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.pool = _Pool()
+        vocabulary = self.tokenizer.get_vocab()
+        self.closes = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.closes[[i for token, i in vocabulary.items() if token.endswith(_WORD_END)]] = True
 
     def _each(self, strings: list[str]) -> tuple[np.ndarray, np.ndarray]:
         found = [e.ids for e in self.tokenizer.encode_batch_fast(strings, add_special_tokens=False)]
@@ -79,15 +89,16 @@ class ChunkEncoder:
 
     def _parts(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of parts that the tokenizer keeps apart between blanks, many at a time."""
+        groups = [parts[i:i + _TOGETHER] for i in range(0, len(parts), _TOGETHER)]
         ids, sizes = [], []
-        for i in range(0, len(parts), 20_000):
-            some = parts[i:i + 20_000]
-            encoded = self.tokenizer.encode(" ".join(some), add_special_tokens=False)
-            words = np.asarray(encoded.word_ids, np.int64)
-            size = np.diff(np.flatnonzero(np.diff(words, prepend=-1, append=-1)))
-            found = (np.asarray(encoded.ids, "<u4"), size) if len(size) == len(some) else self._each(some)
-            ids.append(found[0])
-            sizes.append(found[1])
+        for some, encoded in zip(groups, self.tokenizer.encode_batch_fast([" ".join(g) for g in groups], add_special_tokens=False)):
+            found = np.asarray(encoded.ids, "<u4")
+            # The last token of a part says so.
+            size = np.diff(np.flatnonzero(self.closes[found]), prepend=-1)
+            if len(size) != len(some) or size.sum() != len(found):
+                found, size = self._each(some)
+            ids.append(found)
+            sizes.append(size)
         return np.concatenate(ids), np.concatenate(sizes)
 
     def _chunks(self, chunks: pa.Array) -> _Pool:
