@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-GROUPS = ["masks", "splits", "metrics", "results", "lake", "corpus", "incremental"]
+GROUPS = ["masks", "splits", "metrics", "results", "lake", "corpus", "incremental", "roundtrips"]
 
 
 def load():

@@ -11,7 +11,6 @@ import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
-from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
@@ -35,7 +34,7 @@ class Entry:
         return self.path, self.info.size, None if when is None else when // 1_000_000
 
 
-def entries(root: str, folder: str, file_system: tuple[fs.FileSystem, str] | None = None) -> Iterator[Entry]:
+def entries(root: str, folder: str, file_system: tuple | None = None) -> Iterator[Entry]:
     """What lies directly in ``folder``, a path relative to ``root``; ``file_system`` and its path stand in for the root's."""
     local = root.removeprefix("file://") if root.startswith("file:///") else root.removeprefix("file:")
     inside = lambda name: f"{folder}/{name}" if folder else name
@@ -47,6 +46,8 @@ def entries(root: str, folder: str, file_system: tuple[fs.FileSystem, str] | Non
                 elif e.is_file():
                     yield Entry(inside(e.name), e.name, False, e)
         return
+    from pyarrow import fs  # starts threads, so only where it is needed
+
     system, base = fs.FileSystem.from_uri(root) if file_system is None else file_system
     place = base.rstrip("/") + ("/" + folder if folder else "")
     for info in system.get_file_info(fs.FileSelector(place, recursive=False)):

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from defectspark.operators.validate import FIDELITY_FIELDS, fidelity_rules, require_none, violations
+from defectspark.sources.versions import drop_versions, latest_version, path_exists, version_folder
 
 FIDELITY_SCHEMA = T.StructType(
     [T.StructField(n, T.StringType()) for n in FIDELITY_FIELDS[:2]]
@@ -24,13 +25,6 @@ _MANIFEST = (
 )
 
 
-def path_exists(spark: SparkSession, path: str) -> bool:
-    """Existence through the Hadoop file system, so any mounted store works."""
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target)
-
-
 # --- fidelity table -----------------------------------------------------------------------
 
 
@@ -143,31 +137,42 @@ def write_corpus(members: DataFrame, grounding: DataFrame, reports: DataFrame, p
 # --- results and candidates -----------------------------------------------------------------------
 
 
-def read_results(spark: SparkSession, path: str) -> DataFrame:
-    """Result CSV as text columns, whatever its header."""
-    return spark.read.option("header", "true").csv(path)
-
-
-def append_results(rows: DataFrame, path: str) -> None:
-    rows.write.mode("append").parquet(path)
-
-
-def write_accepted(candidates: DataFrame, path: str, keys: Sequence[str] = ("dataset", "class")) -> None:
-    """Accepted candidates replace their class partitions; rejected ones disappear with them.
+def write_accepted(candidates: DataFrame, path: str, keys: Sequence[str] = ("dataset", "class")) -> int:
+    """Accepted candidates replace their class; rejected ones disappear with it. Returns the version written.
 
-    A class of the batch without an accepted row loses its old partition. Keys must be strings.
+    A class of the batch without an accepted row has no rows any more. The new rows are written first,
+    then a manifest that says for every class which version holds it; readers switch with the manifest,
+    so a failure in between loses nothing. Keys must be strings.
     """
     spark, names = candidates.sparkSession, list(keys)
+    before = latest_version(spark, path, "manifest")
+    version = 0 if before is None else before + 1
     accepted = candidates.where("accepted")
-    emptied = candidates.groupBy(*names).agg(F.count_if("accepted").alias("n")).where("n = 0").drop("n")
-    if path_exists(spark, path):
-        old = spark.read.schema(candidates.schema).parquet(path).withColumn("__file", F.col("_metadata.file_path"))
-        stale = old.join(emptied, names, "left_semi").select(F.regexp_replace("__file", "/[^/]*$", "").alias("f")).distinct()
-        jvm = spark.sparkContext._jvm
-        for row in stale.collect():  # one row per emptied class
-            folder = jvm.org.apache.hadoop.fs.Path(jvm.java.net.URI(row["f"]))
-            folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
-    accepted.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*names).parquet(path)
+    accepted.write.mode("overwrite").partitionBy(*names).parquet(version_folder(path, "data", version))
+    current = accepted.select(*names).distinct().withColumn("version", F.lit(version).cast("long"))
+    kept = {version}
+    if before is not None:
+        old = _accepted_manifest(spark, path, names, before)
+        kept |= {r[0] for r in old.select("version").distinct().collect()}
+        current = old.join(candidates.select(*names).distinct(), names, "left_anti").unionByName(current)
+    current.write.mode("overwrite").parquet(version_folder(path, "manifest", version))
+    drop_versions(spark, path, "data", kept)
+    drop_versions(spark, path, "manifest", {version} | ({before} if before is not None else set()))
+    return version
+
+
+def _accepted_manifest(spark: SparkSession, path: str, names: Sequence[str], version: int) -> DataFrame:
+    schema = ", ".join(f"`{n}` string" for n in names) + ", version long"
+    return spark.read.schema(schema).parquet(version_folder(path, "manifest", version))
+
+
+def read_accepted(spark: SparkSession, path: str, keys: Sequence[str] = ("dataset", "class")) -> DataFrame | None:
+    """Accepted candidates of the newest version; none before the first."""
+    newest, names = latest_version(spark, path, "manifest"), list(keys)
+    if newest is None:
+        return None
+    rows = spark.read.option("inferSchema", "false").parquet(f"{path.rstrip('/')}/data")
+    return rows.join(_accepted_manifest(spark, path, names, newest), [*names, "version"]).drop("version")
 
 
 def candidate_metadata(

@@ -13,40 +13,24 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from defectspark.sources.versions import drop_versions, latest_version, version_folder
+
 
 class KeyedTable:
     def __init__(self, spark: SparkSession, path: str, keys: Sequence[str], buckets: int = 64) -> None:
         """``buckets`` must stay the same for a table; give it as many as its rows need tasks."""
         self.spark, self.path, self.keys, self.buckets = spark, path.rstrip("/"), list(keys), buckets
 
-    def _folder(self, kind: str, version: int) -> str:
-        return f"{self.path}/{kind}/version={version:010d}"
-
-    def _hadoop(self, path: str):
-        target = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-        return target.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), target
-
-    def _versions(self, kind: str) -> list[int]:
-        system, folder = self._hadoop(f"{self.path}/{kind}")
-        if not system.exists(folder):
-            return []
-        names = [s.getPath().getName() for s in system.listStatus(folder)]
-        return sorted(int(n.split("=")[1]) for n in names if n.startswith("version="))
-
-    def _complete(self, version: int) -> bool:
-        system, marker = self._hadoop(f"{self._folder('manifest', version)}/_SUCCESS")
-        return system.exists(marker)
-
     def manifest(self, below: int | None = None) -> tuple[int, dict[int, int]] | None:
         """The newest whole version (before ``below``) and the version that wrote each of its buckets."""
-        for version in reversed(self._versions("manifest")):
-            if (below is None or version < below) and self._complete(version):
-                rows = self.spark.read.schema("bucket int, version long").parquet(self._folder("manifest", version)).collect()
-                return version, {r.bucket: r.version for r in rows}
-        return None
+        version = latest_version(self.spark, self.path, "manifest", below)
+        if version is None:
+            return None
+        rows = self.spark.read.schema("bucket int, version long").parquet(version_folder(self.path, "manifest", version)).collect()
+        return version, {r.bucket: r.version for r in rows}
 
     def _paths(self, places: dict[int, int]) -> list[str]:
-        return [f"{self._folder('data', v)}/bucket={b}" for b, v in sorted(places.items())]
+        return [f"{version_folder(self.path, 'data', v)}/bucket={b}" for b, v in sorted(places.items())]
 
     def read(self) -> DataFrame | None:
         """All rows of the newest version; none before the first."""
@@ -72,21 +56,15 @@ class KeyedTable:
             rest = [c for c in rows.columns if c not in self.keys]
             newest = both.groupBy(*self.keys).agg(F.max_by(F.struct(*rest), F.struct(*order, "__new")).alias("__row"))
             newest = newest.select(*self.keys, "__row.*").select(*rows.columns, bucket.alias("bucket"))
-            newest.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(self._folder("data", version))
+            newest.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(version_folder(self.path, "data", version))
         current = places | {b: version for b in touched}
         named = self.spark.createDataFrame(sorted(current.items()), "bucket int, version long")
-        named.coalesce(1).write.mode("overwrite").parquet(self._folder("manifest", version))
-        self._clean(set(current.values()) | set(places.values()), {version} | ({before[0]} if before else set()))
+        named.coalesce(1).write.mode("overwrite").parquet(version_folder(self.path, "manifest", version))
+        drop_versions(self.spark, self.path, "data", set(current.values()) | set(places.values()))
+        drop_versions(self.spark, self.path, "manifest", {version} | ({before[0]} if before else set()))
         return touched
 
     def upsert(self, rows: DataFrame, order: Sequence[str]) -> list[int]:
         """``merge`` as the next version."""
         newest = self.manifest()
         return self.merge(rows, order, newest[0] + 1 if newest else 0)
-
-    def _clean(self, data: set[int], manifests: set[int]) -> None:
-        for kind, named in (("data", data), ("manifest", manifests)):
-            for version in self._versions(kind):
-                if version not in named and version < max(named, default=0):
-                    system, folder = self._hadoop(self._folder(kind, version))
-                    system.delete(folder, True)

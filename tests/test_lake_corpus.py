@@ -294,9 +294,12 @@ def test_accepted_partitions_are_replaced(spark, tmp_path):
     IO.write_accepted(rows(True), path)
     IO.write_accepted(spark.createDataFrame([("d", "b", "u3", True)], "dataset string, class string, uid string, accepted boolean"), path)
     IO.write_accepted(rows(False), path)
-    assert sorted(r["uid"] for r in spark.read.parquet(path).collect()) == ["u1", "u3"]
+    assert sorted(r["uid"] for r in IO.read_accepted(spark, path).collect()) == ["u1", "u3"]
     IO.write_accepted(rows(False).withColumn("accepted", F.lit(False)), path)
-    assert [r["uid"] for r in spark.read.parquet(path).collect()] == ["u3"]
+    assert [r["uid"] for r in IO.read_accepted(spark, path).collect()] == ["u3"]
+    # A batch that fails before its manifest is written leaves the table as it was.
+    rows(True).where("accepted").write.partitionBy("dataset", "class").parquet(f"{path}/data/version=0000000009")
+    assert [r["uid"] for r in IO.read_accepted(spark, path).collect()] == ["u3"] and IO.read_accepted(spark, str(tmp_path / "no")) is None
 
 
 def test_images_of_one_stem_do_not_repeat_a_document(spark):
