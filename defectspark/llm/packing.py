@@ -9,6 +9,7 @@ over the ranks of the pieces, so each piece finds its place by its exact rank al
 
 from __future__ import annotations
 
+import os
 import zlib
 from collections.abc import Callable, Iterator
 
@@ -29,14 +30,18 @@ _PART = "'s|'t|'re|'ve|'m|'ll|'d|[a-z\xdf-\xf6\xf8-\xff]+|[0-9]|[^a-z0-9\xdf-\xf
 _ODD_BLANK = "[\\x0b\\x0c\\x1c-\\x1f\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]"
 _WORD_END = "</w>"
 _TOGETHER = 2000
-_HELD = 400_000
-_SLICE_BYTES = 10_000_000
+_HELD = 300_000
+_SLICE_BYTES = 5_000_000
 
 
 def _ragged(pool: np.ndarray, offset: np.ndarray, size: np.ndarray) -> np.ndarray:
     """``pool[offset:offset + size]`` of every item, one after the other."""
-    before = np.cumsum(size) - size
-    return pool[np.repeat(offset - before, size) + np.arange(int(size.sum()))]
+    total = int(size.sum())
+    kind = np.int32 if max(total, len(pool)) < 2**31 else np.int64
+    shift = (offset - (np.cumsum(size) - size)).astype(kind)
+    at = np.repeat(shift, size)
+    at += np.arange(total, dtype=kind)
+    return pool[at]
 
 
 class _Pool:
@@ -75,6 +80,7 @@ class ChunkEncoder:
     """
 
     def __init__(self, path: str) -> None:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism; threads only cost memory
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
