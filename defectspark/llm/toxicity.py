@@ -67,11 +67,14 @@ def _document_words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(rows, columns=["word", "toxic", "clean"])
 
 
-def learn_lexicon(labelled: DataFrame, text: str, label: str, size: int = 256) -> list[str]:
-    """At most ``size`` words and stems that mark toxic documents, those in most toxic documents first.
-
-    Their log odds against clean documents exceed 3, and even among as many entries as were looked
-    at, less than one would be that one-sided by chance (Chernoff bound of the binomial tail).
+def learn_lexicon(labelled: DataFrame, text: str, label: str, false_share: float = 0.2) -> list[str]:
+    """Words and stems that mark toxic documents.
+
+    Their log odds against clean documents exceed 3, and they are the longest list, by how unlikely
+    their one-sidedness is, in which a share of ``false_share`` at most is expected to be there by chance
+    (Benjamini and Hochberg, with the Chernoff bound of the binomial tail). So an entry of a language
+    with few labels is not asked to beat all entries of the others. The list is as large as the
+    labelled rows make it; those are what the caller bounds.
     """
     rows = labelled.select(F.col(text).alias("text"), F.col(label).alias("label")).where("text is not null")
     totals = rows.agg(F.sum("label"), F.count("*")).first()
@@ -85,9 +88,10 @@ def learn_lexicon(labelled: DataFrame, text: str, label: str, size: int = 256) -
     odds = F.log((F.col("t") + 0.5) / (toxic - F.col("t") + 0.5)) - F.log((F.col("c") + 0.5) / (clean - F.col("c") + 0.5))
     n, rate = F.col("t") + F.col("c"), toxic / (toxic + clean)
     surplus = lambda k, share: F.when(k > 0, k * F.log(k / n / share)).otherwise(0.0)
-    chance = surplus(F.col("t"), rate) + surplus(F.col("c"), 1 - rate)
-    marked = sums.where((F.col("t") >= 3) & (odds > 3) & (chance > math.log(tests))).orderBy(F.desc("t"), "word").limit(size)
-    return [r["word"] for r in marked.select("word").collect()]
+    unlikely = surplus(F.col("t"), rate) + surplus(F.col("c"), 1 - rate)
+    marked = sums.where((F.col("t") >= 3) & (odds > 3)).select("word", unlikely.alias("u")).orderBy(F.desc("u"), "word").collect()
+    passing = [i for i, r in enumerate(marked, 1) if -r["u"] <= math.log(false_share * i / tests)]
+    return [r["word"] for r in marked[:max(passing, default=0)]]
 
 
 def _features(text: str | None, lexicon: frozenset[str]) -> tuple[float, ...]:

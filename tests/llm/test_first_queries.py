@@ -129,6 +129,19 @@ def test_toxicity_held_out(spark):
     assert auc(held) > 0.97
 
 
+def test_toxicity_by_language(spark):
+    """All labelled documents. Of Spanish, with fewest labels, half are found (README)."""
+    folder = "/root/testdata/sf0.1"
+    labels = {x["doc_id"]: x["toxic"] for x in spark.read.parquet(f"{folder}/labels.parquet").collect() if x["toxic"] is not None}
+    langs = {x["doc_id"]: x["lang"] for x in spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "lang").collect()}
+    hits = {r["doc_id"]: r["predicted"] for r in queries.QUERIES["op4_toxicity"](spark, folder).collect()}
+    recall = lambda keys: sum(hits[k] for k in keys) / len(keys)
+    toxic = [k for k, t in labels.items() if t == 1]
+    assert recall(toxic) >= 0.85 and recall([k for k, t in labels.items() if t == 0]) <= 0.01
+    for lang, least in (("en", 0.85), ("de", 0.85), ("fr", 0.85), ("es", 0.5)):
+        assert recall([k for k in toxic if langs[k] == lang]) >= least, lang
+
+
 def test_toxicity_features():
     plain = toxicity._features("You are an idiot. Fine day", frozenset(["idiot"]))
     assert dict(zip(toxicity.FEATURES, plain, strict=True))["near_you"] > 0
