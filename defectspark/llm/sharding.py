@@ -1,10 +1,11 @@
 """Hilbert-curve sharding: order documents by several metadata dimensions at once, cut runs.
 
-Each dimension is quantised to ``2**bits`` cells by its quantiles, the cells of a row become one
-index on a Hilbert curve, rows are ranked exactly by (index, id), and the ranking is cut into
-runs whose counts differ by one at most. Files of a run cover a small box of every dimension, so
-minimum and maximum statistics prune on any of them. Only thin rows move; a hot cell is split by
-the id, which is part of the sort key.
+Each dimension is quantised to ``2**bits`` cells by the running counts of its values, so that a
+bit halves the rows also where a dimension has few values. The cells of a row become one index on a
+Hilbert curve, rows are ranked exactly by (index, id), and the ranking is cut into runs whose counts
+differ by one at most. A run covers a small box of the dimensions, so minimum and maximum
+statistics prune on all of them. Only thin rows move; a hot cell is split by the id, which is part
+of the sort key.
 """
 
 from __future__ import annotations
@@ -18,17 +19,52 @@ from pyspark.sql import functions as F
 
 from defectspark.llm.boosting import bin_index, quantile_cuts
 from defectspark.llm.common import global_rank, store
+from defectspark.operators.ranking import running_sums, sampled_bucket
 
 
-def numeric(df: DataFrame, name: str) -> Column:
-    """A dimension as an ordered number: numbers as they are, other types by their first six bytes."""
+_NUMBERS = ("tinyint", "smallint", "int", "bigint", "float", "double")
+
+
+def _numeric(df: DataFrame, name: str) -> Column | None:
+    """A dimension as a number, if its type has one."""
     kind = dict(df.dtypes)[name]
-    if kind in ("tinyint", "smallint", "int", "bigint", "float", "double") or kind.startswith("decimal"):
+    if kind in _NUMBERS or kind.startswith("decimal"):
         return F.col(name).cast("double")
     if kind in ("date", "timestamp", "timestamp_ntz"):
         return F.col(name).cast("timestamp").cast("double")
-    head = F.rpad(F.hex(F.substring(F.col(name).cast("string").cast("binary"), 1, 6)), 12, "0")
-    return F.conv(head, 16, 10).cast("double")
+    return None
+
+
+def _spread(counts: Sequence[int], bits: int) -> list[int]:
+    """A cell for each of the ordered bins: where its middle row stands among all, on ``2**bits`` cells."""
+    total, before, out = max(sum(counts), 1), 0, []
+    for n in counts:
+        out.append(min(int((2 * before + n) * (1 << bits) // (2 * total)), (1 << bits) - 1))
+        before += n
+    return out
+
+
+def _number_cells(df: DataFrame, value: Column, bits: int) -> Column:
+    """Cells of a number: quantile bins over all rows, spread by their counts over the whole range."""
+    named = df.select(value.alias("__v"))
+    cuts = quantile_cuts(named, ["__v"], 1 << bits)["__v"]
+    found = {r["b"]: r["count"] for r in named.where("__v IS NOT NULL").groupBy(bin_index(F.col("__v"), cuts).alias("b")).count().collect()}
+    cells = _spread([found.get(b, 0) for b in range(len(cuts) + 1)], bits)
+    return F.get(F.array(*[F.lit(c) for c in cells]), bin_index(value, cuts))
+
+
+def _text_cells(df: DataFrame, name: str, bits: int) -> Column:
+    """Cells of an ordered text: exact running counts of its distinct values; only the first value of each cell reaches the driver."""
+    text = df.select(F.col(name).cast("string").alias("v")).where("v IS NOT NULL")
+    values = text.groupBy("v").agg(F.count("*").alias("n")).withColumn("g", F.lit(1))
+    runs = running_sums(values, ["g"], "v", {"n": F.sum("n")}, sampled_bucket(values, F.col("v")))
+    size = F.lit(1 << bits)
+    cell = F.expr("(2 * n_before + n)") * size / (2 * F.col("n_total"))
+    firsts = runs.groupBy(F.floor(cell).cast("int").alias("cell")).agg(F.min("v").alias("v")).orderBy("v").collect()
+    if not firsts:
+        return F.lit(0)
+    below = F.size(F.filter(F.array(*[F.lit(r["v"]) for r in firsts]), lambda first: first <= F.col(name).cast("string")))
+    return F.get(F.array(*[F.lit(r["cell"]) for r in firsts]), F.greatest(below - 1, F.lit(0)))
 
 
 def hilbert_index(cells: np.ndarray, bits: int) -> np.ndarray:
@@ -61,15 +97,17 @@ def hilbert_index(cells: np.ndarray, bits: int) -> np.ndarray:
 
 def with_curve(df: DataFrame, dims: Sequence[str], bits: int, index: str = "curve") -> DataFrame:
     """Add the curve index of ``dims``. A null dimension takes the lowest cell; without rows nothing is fitted."""
-    named = df.select("*", *[F.coalesce(numeric(df, d), F.lit(float("-inf"))).alias(f"__d{i}") for i, d in enumerate(dims)])
-    cuts = quantile_cuts(named, [f"__d{i}" for i in range(len(dims))], 1 << bits)
 
     @F.pandas_udf("long")
     def curve(*cells: pd.Series) -> pd.Series:
         return pd.Series(hilbert_index(np.stack([c.to_numpy() for c in cells], axis=1), bits))
 
-    cells = [bin_index(F.col(d), c) for d, c in cuts.items()]
-    return named.withColumn(index, curve(*cells)).drop(*cuts)
+    cells = []
+    for name in dims:
+        number = _numeric(df, name)
+        cell = _text_cells(df, name, bits) if number is None else _number_cells(df, number, bits)
+        cells.append(F.when(F.col(name).isNull(), 0).otherwise(cell).cast("int"))
+    return df.withColumn(index, curve(*cells))
 
 
 def hilbert_shards(df: DataFrame, dims: Sequence[str], ties: Sequence[str], shards: int, bits: int = 5) -> DataFrame:

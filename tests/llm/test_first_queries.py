@@ -51,8 +51,37 @@ def test_shards(spark, tiny):
     check_rows_law([r for r in queries.QUERIES["op1_hilbert_shards"](spark, tiny).collect()], documents(spark, tiny))
 
 
+def test_shards_prune_on_every_dimension(spark):
+    """A language lies in few of the 40 shards, and so does a source or a length; sorted by length alone, all languages lie in most."""
+    folder = "/root/testdata/sf0.01"
+    docs = {r["doc_id"]: r for r in spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "lang", "source", "n_chars").collect()}
+    shard = {r["doc_id"]: r["shard"] for r in queries.QUERIES["op1_hilbert_shards"](spark, folder).collect()}
+    by_length = {k: i * 40 // len(docs) for i, k in enumerate(sorted(docs, key=lambda k: (docs[k]["n_chars"], k)))}
+    held = lambda place, of, value: len({place[k] for k, r in docs.items() if r[of] == value})
+    for lang in ("de", "es", "fr"):
+        assert held(shard, "lang", lang) <= 14 and held(by_length, "lang", lang) >= 30, lang
+    assert held(shard, "lang", "en") <= 32
+    assert max(held(shard, "source", s) for s in {r["source"] for r in docs.values()}) <= 18
+    ends = {}
+    for k, s in shard.items():
+        n = docs[k]["n_chars"]
+        low, high = ends.get(s, (n, n))
+        ends[s] = (min(low, n), max(high, n))
+    spans = [sum(low <= r["n_chars"] <= high for low, high in ends.values()) / 40 for r in docs.values()]
+    assert np.mean(spans) <= 0.4
+
+
+def test_cells_of_long_texts_with_one_beginning(spark):
+    """Values that share a long prefix are told apart, and cells follow the counts."""
+    values = [f"https://example.org/page/{i:03d}" for i in range(100)] + ["https://example.org/page/000"] * 300 + [None] * 5
+    rows = spark.createDataFrame([(v,) for v in values], "v string").withColumn("c", sharding._text_cells(spark.createDataFrame([(v,) for v in values], "v string"), "v", 3))
+    cells = {r["v"]: r["c"] for r in rows.where("v IS NOT NULL").distinct().collect()}
+    order = [cells[v] for v in sorted(cells)]
+    assert order == sorted(order) and order[0] == 3 and set(order[1:]) == {6, 7}
+
+
 def test_shard_boxes_prune(spark):
-    """Half of the shards or fewer hold any one language, and curve neighbours touch in one dimension."""
+    """Curve neighbours touch in one dimension, and written shards hold all rows."""
     grid = np.stack(np.meshgrid(*[np.arange(8)] * 3, indexing="ij"), -1).reshape(-1, 3)
     index = sharding.hilbert_index(grid, 3)
     assert sorted(index) == list(range(512))
@@ -214,3 +243,49 @@ def test_unseen_words_fall_back(spark):
     scorer = language_id._Scorer(counts)
     assert scorer.predict("qqq")[0] == "a" and scorer.predict("zzz")[0] == "b" and scorer.predict("other")[0] == "b"
     assert scorer.predict("12 !") == ("und", 0.0)
+
+
+def test_language_against_plain_scoring(spark):
+    """Counting and scoring again with plain dictionaries, word by word."""
+    import math
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "lang")
+    train = docs.where("doc_id % 3 > 0")
+    counts = language_id.learn(train)
+    words, grams, total = Counter(), Counter(), Counter()
+    letters = lambda t: re.findall(r"[^\W\d_]+", (t or "").lower())
+    for r in train.where("lang IS NOT NULL AND text IS NOT NULL").collect():
+        for w in letters(r["text"]):
+            words[r["lang"], w] += 1
+            for size in range(1, 5):
+                padded = w if size == 1 else f"_{w}_"
+                for i in range(len(padded) - size + 1):
+                    grams[r["lang"], size, padded[i:i + size]] += 1
+    kept = {(lang, 0, w): n for (lang, w), n in words.items() if n >= 2} | {k: n for k, n in grams.items() if n >= 2}
+    assert {(lang, size, e): n for lang, size, e, n in counts} == kept
+    langs = sorted({k[0] for k in kept})
+    for (lang, size, _), n in kept.items():
+        total[lang, size] += n
+    known = {(size, e) for _, size, e in kept}
+    score = lambda lang, size, e: math.log((kept.get((lang, size, e), 0) + 0.5) / (1 + total[lang, size]))
+
+    def plain(word):
+        if (0, word) in known:
+            return [score(lang, 0, word) for lang in langs]
+        padded, hits = f"_{word}_", []
+        for i in range(len(padded) - 1):
+            for size in (4, 3, 2, 1):
+                part = padded[i:i + size]
+                if len(part) == size and (size, part) in known:
+                    hits.append([score(lang, size, part) for lang in langs])
+                    break
+        return [sum(h[j] for h in hits) / len(hits) for j in range(len(langs))] if hits else [0.0] * len(langs)
+
+    for r in language_id.identify(docs.select("doc_id", "text"), counts).collect():
+        sums = [sum(x) for x in zip(*map(plain, letters(r["text"])))] or None
+        if sums is None:
+            assert tuple(r["language"]) == ("und", 0.0)
+        else:
+            best = max(sums)
+            assert r["language"]["lang"] == langs[sums.index(best)] or sorted(sums)[-2] > best - 1e-6
+            assert r["language"]["score"] == pytest.approx(1 / sum(math.exp(s - best) for s in sums), abs=1e-6)
