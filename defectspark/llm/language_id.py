@@ -2,7 +2,7 @@
 
 Known words are scored by their log frequency in each language. An unseen word falls back to
 character n-grams: at each place the longest known n-gram counts, down to single characters.
-Counts are taken in a bounded sample of labelled rows and kept for the most frequent entries.
+Counts are taken in a bounded sample of labelled rows; entries seen once are not kept.
 """
 
 from __future__ import annotations
@@ -13,13 +13,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from defectspark.llm.common import store
+
 UNKNOWN = "und"
 _LETTERS = re.compile(r"[^\W\d_]+")
 _LONGEST = 4
 _HELD_WORDS = 200_000
+_FEW_LABELS = 10_000
 
 
 def _grams(word: str, size: int) -> Iterator[str]:
@@ -45,23 +48,23 @@ def _count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def learn(labelled: DataFrame, lang: str = "lang", text: str = "text", key: str = "doc_id",
-          docs_per_lang: int = 3000, entries: int = 20_000) -> list[tuple[str, int, str, int]]:
+          docs_per_lang: int = 3000, least: int = 2) -> list[tuple[str, int, str, int]]:
     """Counts (language, size, entry, n); size 0 is a word.
 
     Learns from about ``docs_per_lang`` labelled rows of each language, taken by a hash of the
-    key so that no order matters, and keeps the ``entries`` most frequent of each size. Rows
-    without text or language teach nothing.
+    key so that no order matters, where they lie; every entry counted ``least`` times or more is kept.
+    Rows without text or language teach nothing.
     """
     known = labelled.select(F.col(lang).alias("lang"), F.col(text).alias("text"), F.col(key).alias("key")).where(
         F.col("lang").isNotNull() & F.col("text").isNotNull()
     )
-    share = known.groupBy("lang").agg((F.lit(float(docs_per_lang)) / F.count("*")).alias("share"))
+    share = store(known.groupBy("lang").agg((F.lit(float(docs_per_lang)) / F.count("*")).alias("share")), "language-shares")
+    # A few labels go to the rows; texts do not go to the labels.
+    share = F.broadcast(share) if share.count() <= _FEW_LABELS else share
     spot = F.pmod(F.xxhash64("key"), F.lit(1 << 30)) / F.lit(float(1 << 30))
     sample = known.join(share, "lang").where(spot < F.col("share")).select("lang", "text")
     counts = sample.mapInPandas(_count, "lang string, size int, entry string, n long")
-    ranked = Window.partitionBy("lang", "size").orderBy(F.desc("n"), "entry")
-    totals = counts.groupBy("lang", "size", "entry").agg(F.sum("n").alias("n"))
-    kept = totals.withColumn("r", F.row_number().over(ranked)).where(F.col("r") <= entries).drop("r")
+    kept = counts.groupBy("lang", "size", "entry").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
     return [tuple(r) for r in kept.orderBy("lang", "size", "entry").toLocalIterator()]
 
 
