@@ -9,6 +9,7 @@ from defectspark.functions.text import base_name, file_stem, part_name
 from defectspark.operators.fill import ring_union
 from defectspark.operators.masks import compute_once
 from defectspark.operators.polygons import POINTS_TYPE, points_from_flat, points_from_nested, shape_ring
+from defectspark.sources.json_elements import read_elements
 
 
 def read_json_documents(spark: SparkSession, root: str) -> DataFrame:
@@ -194,6 +195,17 @@ def read_coco_documents(spark: SparkSession, root: str) -> DataFrame:
     return parse_documents(master.withColumn("part", part_name(F.col("stem"))))
 
 
+def _annotation_fields(e: Column) -> list[Column]:
+    return [
+        _get(e, "$.image_id", "bigint").alias("image_id"),
+        _get(e, "$.category_id", "bigint").alias("category_id"),
+        F.coalesce(_get(e, "$.ignore", "int"), F.lit(0)).alias("ignore"),
+        _get(e, "$.segmentation", "array<double>").alias("flat"),
+        _get(e, "$.segmentation", "array<array<double>>").alias("nested"),
+        _get(e, "$.bbox", "array<double>").alias("bbox"),
+    ]
+
+
 def coco_tables(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Image, annotation and category rows of parsed COCO documents."""
     doc = F.col("doc")
@@ -212,16 +224,33 @@ def coco_tables(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     )
     annotations = docs.select(
         "part", F.posexplode(_get(doc, "$.annotations", "array<variant>")).alias("ann_no", "e")
-    ).select(
-        "part",
-        "ann_no",
-        _get(F.col("e"), "$.image_id", "bigint").alias("image_id"),
-        _get(F.col("e"), "$.category_id", "bigint").alias("category_id"),
-        F.coalesce(_get(F.col("e"), "$.ignore", "int"), F.lit(0)).alias("ignore"),
-        _get(F.col("e"), "$.segmentation", "array<double>").alias("flat"),
-        _get(F.col("e"), "$.segmentation", "array<array<double>>").alias("nested"),
-        _get(F.col("e"), "$.bbox", "array<double>").alias("bbox"),
+    ).select("part", "ann_no", *_annotation_fields(F.col("e")))
+    return images, annotations, categories
+
+
+def read_coco_elements(spark: SparkSession, root: str) -> DataFrame:
+    """Elements of the master COCO files below ``root`` as ``part, section, e``; each is parsed once, by whichever task has it."""
+    found = read_elements(spark, root)
+    master = found.withColumn("stem", file_stem(base_name(F.col("path")))).where(~F.lower("stem").rlike("train|val"))
+    wanted = master.where(F.col("section").isin("images", "annotations", "categories"))
+    return wanted.select(part_name(F.col("stem")).alias("part"), "section", "element", F.try_parse_json("element").alias("e"))
+
+
+def coco_element_tables(elements: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """``coco_tables`` from elements; an annotation's number is its id, else a hash of its text."""
+    e = F.col("e")
+
+    def rows(section: str, kind: str) -> DataFrame:
+        return elements.where(F.col("section") == section).select("part", F.try_variant_get("e", "$", kind).alias("r"))
+
+    images = rows("images", "struct<id:bigint,file_name:string,height:int,width:int>").select(
+        "part", F.col("r.id").alias("image_id"), "r.file_name", "r.height", "r.width"
+    )
+    categories = rows("categories", "struct<id:bigint,name:string>").select(
+        "part", F.col("r.id").alias("category_id"), F.col("r.name").alias("category_name")
     )
+    number = F.coalesce(_get(e, "$.id", "bigint"), F.xxhash64("element"))
+    annotations = elements.where("section = 'annotations'").select("part", number.alias("ann_no"), *_annotation_fields(e))
     return images, annotations, categories
 
 

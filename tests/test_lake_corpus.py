@@ -165,6 +165,50 @@ def test_coco_documents(spark, tmp_path):
     assert manifest[3]["is_defective"] is False and manifest[3]["defect_categories"] == []
 
 
+NASTY_TEXTS = ["}", "{", "a } b { c ] [", '\\" } \\\\', "é}ü", "]}],", "", "\\\\"]
+
+
+@pytest.mark.parametrize("block", [40, 113, 128 << 20])
+def test_json_elements_over_blocks(spark, tmp_path, block):
+    """Documents cut at any place give the elements that a plain parser sees."""
+    from defectspark.sources.json_elements import read_elements
+
+    docs = {}
+    for i in range(6):
+        items = lambda n: [{"id": k, "name": NASTY_TEXTS[(i + k) % 8], "more": {"x": [1, {"y": "}"}], "z": {}}} for k in range(n)]
+        docs[f"d{i}.json"] = {"info": {"a": {"b": "{"}, "c": [{"d": 1}]}, "images": items(i * 3), "none": [], "numbers": [[1, 2], [3]], "annotations": items(7) + [{}], "text": "}]"}
+    for i, (name, doc) in enumerate(docs.items()):
+        (tmp_path / name).write_text(json.dumps(doc, indent=2 if i % 2 else None, ensure_ascii=i % 3 > 0))
+    (tmp_path / "list.json").write_text(json.dumps([{"a": 1}]))
+    (tmp_path / "empty.json").write_text("")
+    sizes = {"spark.sql.files.maxPartitionBytes": str(block), "spark.sql.files.openCostInBytes": "1", "spark.sql.files.minPartitionNum": "1"}
+    for k, v in sizes.items():
+        spark.conf.set(k, v)
+    try:
+        rows = read_elements(spark, str(tmp_path)).collect()
+    finally:
+        for k in sizes:
+            spark.conf.unset(k)
+    got = {}
+    for r in rows:
+        got.setdefault((os.path.basename(r.path), r.section), []).append(json.dumps(json.loads(r.element), sort_keys=True))
+    want = {(n, key): sorted(json.dumps(e, sort_keys=True) for e in doc[key]) for n, doc in docs.items() for key in ("images", "annotations") if doc[key]}
+    assert {k: sorted(v) for k, v in got.items()} == want
+
+
+def test_coco_elements_equal_coco_documents(spark, tmp_path):
+    doc = {
+        "images": [{"id": 1, "file_name": "a}.png", "height": 10, "width": 12}, {"id": 2, "file_name": "b.png"}], "categories": [{"id": 5, "name": "chip"}],
+        "annotations": [{"id": 0, "image_id": 1, "category_id": 5, "segmentation": [1, 1, 4, 1, 4, 3, 1, 3]}, {"id": 1, "image_id": 1, "category_id": 6, "segmentation": [[6, 6, 8, 6, 8, 8]], "ignore": 1}, {"id": 2, "image_id": 2, "bbox": [0, 9, 2, 0]}],
+    }
+    (tmp_path / "annotations_lb101.json").write_text(json.dumps(doc))
+    (tmp_path / "lb101_val1.json").write_text(json.dumps(doc))
+    whole = A.coco_tables(A.read_coco_documents(spark, str(tmp_path)))
+    parts = A.coco_element_tables(A.read_coco_elements(spark, str(tmp_path)))
+    for a, b in zip(whole, parts):
+        assert sorted(map(str, a.collect())) == sorted(map(str, b.select(a.columns).collect()))
+
+
 def test_processed_lake_to_samples(spark, tmp_path):
     root = tmp_path / "processed"
     for folder in ("cat/train/good", "cat/test/good", "cat/test/dent", "cat/ground_truth/dent", "ground_truth/defects", "solo/train/good"):
