@@ -15,6 +15,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -94,19 +95,24 @@ class Signer:
         return (low & np.uint32(0xFFFF)).astype("<u2").tobytes(), _mixed(key).view(np.int64).tolist()
 
 
+def _structs(rows: list[tuple], types: dict[str, pa.DataType]) -> pa.StructArray:
+    columns = zip(*rows) if rows else [[] for _ in types]
+    return pa.StructArray.from_arrays([pa.array(c, t) for c, t in zip(columns, types.values())], list(types))
+
+
 def signatures(docs: DataFrame, n: int, bands: int, rows: int, text: str, key: str) -> DataFrame:
     """Stored thin rows: row number, key, set size, fingerprint, signature, band keys."""
 
-    @F.pandas_udf("struct<n:long,fp1:long,fp2:long,sig:binary,keys:array<long>>")
-    def sign(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    @F.arrow_udf("struct<n:long,fp1:long,fp2:long,sig:binary,keys:array<long>>")
+    def sign(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         shingler, signer = Shingler(n), Signer(bands, rows)
         for texts in batches:
             out = []
-            for t in texts:
+            for text in texts:  # one text at a time, not a batch of them
+                t = text.as_py()
                 s = shingler(t)
                 out.append((len(s), *fingerprint(s, t), *(signer(s) if len(s) else (b"", []))))
-            frame = pd.DataFrame(out, columns=["n", "fp1", "fp2", "sig", "keys"])
-            yield frame.astype({"fp1": "Int64", "fp2": "Int64"})
+            yield _structs(out, {"n": pa.int64(), "fp1": pa.int64(), "fp2": pa.int64(), "sig": pa.binary(), "keys": pa.list_(pa.int64())})
 
     signed = docs.select(F.col(key).alias("key"), F.xxhash64(F.col(text)).alias("text_hash"), sign(F.col(text)).alias("s"))
     signed = signed.select("key", "text_hash", "s.*")
@@ -237,13 +243,16 @@ def verified(rows: DataFrame, threshold: float, block_rows: int) -> DataFrame:
 def shingle_sets(docs: DataFrame, n: int, text: Column, out: str) -> DataFrame:
     """Add ``out``: struct(fp1, fp2, shingles) with the full sorted set as bytes."""
 
-    @F.pandas_udf("struct<fp1:long,fp2:long,shingles:binary>")
-    def cut(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    @F.arrow_udf("struct<fp1:long,fp2:long,shingles:binary>")
+    def cut(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         shingler = Shingler(n)
         for texts in batches:
-            sets = [(shingler(t), t) for t in texts]
-            frame = pd.DataFrame([(*fingerprint(s, t), s.tobytes()) for s, t in sets], columns=["fp1", "fp2", "shingles"])
-            yield frame.astype({"fp1": "Int64", "fp2": "Int64"})
+            out_rows = []
+            for text in texts:
+                t = text.as_py()
+                s = shingler(t)
+                out_rows.append((*fingerprint(s, t), s.tobytes()))
+            yield _structs(out_rows, {"fp1": pa.int64(), "fp2": pa.int64(), "shingles": pa.binary()})
 
     return docs.withColumn(out, cut(text))
 

@@ -14,7 +14,9 @@ from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -124,10 +126,11 @@ def _features(text: str | None, lexicon: frozenset[str]) -> tuple[float, ...]:
 def with_features(docs: DataFrame, lexicon: list[str], text: str = "text", out: str = "__f") -> DataFrame:
     """Add the struct of features; null counts as empty text, which has all zeros."""
 
-    @F.pandas_udf(_SCHEMA)
-    def features(texts: pd.Series) -> pd.DataFrame:
+    @F.arrow_udf(_SCHEMA)
+    def features(texts: pa.Array) -> pa.Array:
         words = frozenset(lexicon)
-        return pd.DataFrame([_features(t, words) for t in texts], columns=FEATURES)
+        rows = np.array([_features(t.as_py(), words) for t in texts]).reshape(len(texts), len(FEATURES))
+        return pa.StructArray.from_arrays([pa.array(c) for c in rows.T], FEATURES)
 
     return docs.withColumn(out, features(F.col(text)))
 
