@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
+import functools
+import re
+import shutil
 import tempfile
 import uuid
 
@@ -27,17 +31,25 @@ def local_session(cores: int | str = "*", app: str = "defectspark") -> SparkSess
     )
 
 
+@functools.cache
+def _own_folder() -> str:
+    """One temporary folder per process, gone when it ends."""
+    path = tempfile.mkdtemp(prefix="defectspark-")
+    atexit.register(shutil.rmtree, path, ignore_errors=True)
+    return "file://" + path
+
+
 def shared_folder(spark: SparkSession, name: str) -> str:
-    """A fresh folder below ``spark.checkpoint.dir``, for tables between steps.
+    """A fresh folder for tables between steps, below ``spark.checkpoint.dir`` and there below one folder per application.
 
     Only a single-machine session (a test) that leaves the setting out gets a temporary folder.
     """
     base = spark.conf.get(CHECKPOINT_CONF, None) or spark.sparkContext.getConf().get(CHECKPOINT_CONF)
     if not base:
-        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
             raise ValueError(f"set {CHECKPOINT_CONF} to a folder that the driver and all executors share")
-        base = tempfile.mkdtemp(prefix="defectspark-")
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+        base = _own_folder()
+    return f"{base.rstrip('/')}/run-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:

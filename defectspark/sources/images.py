@@ -96,10 +96,3 @@ def mask_rows(images: DataFrame, rule: str = "hard", key: Column | None = None)
 def colour_masks(images: DataFrame) -> DataFrame:
     """Masks that are not single-channel: violations of the grounding contract."""
     return images.where((F.col("mode") >= 0) & (F.col("channels") != 1)).select("path", "channels")
-
-
-def size_violations(masks: DataFrame, images: DataFrame) -> DataFrame:
-    """Masks whose frame differs from their image's (``image_id`` on both sides)."""
-    frames = images.select("image_id", F.col("height").alias("image_h"), F.col("width").alias("image_w"))
-    joined = masks.join(frames, "image_id")
-    return joined.where("height <> image_h OR width <> image_w").select("image_id", "height", "width", "image_h", "image_w")
