@@ -22,9 +22,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
 
 from defectspark.llm.common import store
-from defectspark.operators.ranking import exact_rank, value_bucket
+from defectspark.operators.ranking import Balanced, exact_rank
 
 OPEN, CLOSE = "### ", "</turn>\n"
 # Literal replacements, in this order; reading back undoes them.
@@ -79,8 +80,10 @@ def reply_paths(messages: DataFrame, tree: str, node: str, parent: str, role: st
         stored = store(moved.unionByName(ends), "chat-jumps")
         ends, open_rows, reach = stored.where("up IS NULL"), stored.where("up IS NOT NULL"), 2 * reach
     leaves = ends.join(inner, ["tree", "node"], "left_anti").select("tree", F.col("node").alias("leaf"), "steps", (F.col("total") / F.col("steps")).alias("path_score"))
-    worst = -F.col("path_score")
-    return nodes, exact_rank(leaves, ["tree"], [worst, F.col("leaf")], value_bucket(worst), "path_rank")
+    # Ranked in pieces of bounded size, also where one tree has most of the leaves and they tie on the score.
+    worst, leaves = -F.col("path_score"), store(leaves, "chat-leaves")
+    keys = [worst, F.col("leaf")] if isinstance(leaves.schema["leaf"].dataType, NumericType) else [worst]
+    return nodes, exact_rank(leaves, ["tree"], [worst, F.col("leaf")], Balanced(*keys), "path_rank")
 
 
 def path_messages(nodes: DataFrame, leaves: DataFrame) -> DataFrame:

@@ -94,3 +94,19 @@ def test_query_on_awkward_tables(spark, tmp_path):
             digest = lambda s: hashlib.sha256(s.encode()).hexdigest()
             assert (got[key].n_turns, got[key].turns_sha256) == (len(turns), digest("".join(f"{a}\n{b}\n" for a, b in turns)))
             assert (got[key].loss_chars, got[key].loss_sha256) == (len(learned), digest(learned))
+
+
+def test_one_tree_with_most_leaves(spark):
+    """A root with 20,000 answers of one score: ranks follow the ids, whatever type they have."""
+    star = spark.range(1, 20_001).select(F.lit(1).cast("long").alias("tree"), "id", F.when(F.col("id") > 1, 1).alias("parent"), F.lit("assistant").alias("role"), F.col("id").cast("string").alias("text"))
+    nodes, leaves = reply_trees.reply_paths(star, "tree", "id", "parent", "role", "text")
+    got = [tuple(r) for r in leaves.orderBy("path_rank").select("path_rank", "leaf").collect()]
+    assert got == [(i, i + 1) for i in range(1, 20_000)] and nodes.count() == 20_000
+    named = star.where("id <= 40").withColumn("id", F.concat(F.lit("m"), F.col("id").cast("string"))).withColumn("parent", F.concat(F.lit("m"), F.col("parent").cast("string")))
+    done = reply_trees.format_paths(named, "tree", "id", "parent", "role", "text", best=3).orderBy("path_rank").collect()
+    texts = [reply_trees_text(r.formatted) for r in done]
+    assert texts == [["1", x[1:]] for x in sorted(f"m{i}" for i in range(2, 41))[:3]]
+
+
+def reply_trees_text(formatted):
+    return [turn.split(": ", 1)[1] for turn in formatted.split("</turn>\n") if turn]
