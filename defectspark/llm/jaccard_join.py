@@ -232,12 +232,8 @@ def verified(rows: DataFrame, threshold: float, block_rows: int) -> DataFrame:
         docs, texts = linked @ copies, linked.sum(axis=1)
         return [(int(a), int(ids[r]), int(d), int(t)) for a, r, d, t in zip(ids, root, docs, texts, strict=True) if t]
 
-    def grouped(part: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame(work(part), columns=["rid", "root", "docs", "texts"])
-
-    # A group is a batch of its own: memory holds one pair of blocks, where batches of many rows could hold many long texts.
     dealt = in_blocks(rows, "cluster", "m", block_rows).select("cluster", "lo", "hi", "block", "rid", "copies", "shingles")
-    return dealt.groupBy("cluster", "lo", "hi").applyInPandas(grouped, "rid long, root long, docs long, texts long")
+    return dealt.mapInPandas(by_group(["cluster", "lo", "hi"], work, ["rid", "root", "docs", "texts"]), "rid long, root long, docs long, texts long")
 
 
 def shingle_sets(docs: DataFrame, n: int, text: Column, out: str) -> DataFrame:
@@ -274,7 +270,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", n:
     members = store(sigs.select("rid", "key", "text_hash", "n", "fp1", "fp2").join(groups, ["fp1", "fp2"]), "jaccard-members")
     reps = members.where("rid = rep").select("rid", "key", "text_hash", "fp1", "fp2", "copies", "n")
     nodes = sigs.join(reps.where("n > 0").select("rid"), "rid").select("rid", "n", "sig", "keys")
-    near = store(components(candidate_edges(nodes, threshold, margin, bucket_rows), "jaccard-clusters"), "jaccard-near")
+    near = components(candidate_edges(nodes, threshold, margin, bucket_rows), "jaccard-clusters")
     sizes = near.groupBy("label").agg(F.count("*").alias("m"))
     wanted = near.withColumnRenamed("node", "rid").join(sizes, "label").join(reps, "rid").select(
         F.col("label").alias("cluster"), "m", "rid", "copies", F.col("fp1").alias("w1"), F.col("fp2").alias("w2"),
