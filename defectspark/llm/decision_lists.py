@@ -4,6 +4,8 @@ Sequential covering: a rule grows one threshold condition at a time by informati
 growing part of the labelled rows, is cut back to its best prefix on the pruning part, and the
 rows it covers are set aside before the next rule. Each step is one aggregation to
 (feature, bin) counts. The list is emitted as an ordered ``CASE WHEN``. Only built-in functions run.
+Null texts have no words, repeated rows one result each, null ids are rows like others, and an empty table
+gives an empty result.
 """
 
 from __future__ import annotations

@@ -130,7 +130,8 @@ def identify(docs: DataFrame, counts: list[tuple[str, int, str, int]], text: str
     """Add ``out``: struct(lang, score). Null texts and texts without a letter are ``und`` with score 0.
 
     The score is the posterior of the best language under equal priors; ties go to the first
-    name. A model without counts answers ``und``. A column of that name is replaced.
+    name. A model without counts answers ``und``. A column of that name is replaced. Repeated rows are
+    answered each for itself, and ids are not looked at, so null ones do no harm. An empty table gives an empty result.
     """
     held = docs.sparkSession.sparkContext.broadcast(counts)
 

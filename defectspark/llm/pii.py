@@ -4,7 +4,8 @@ Strict rules give the base spans, which always stay. High-recall generators prop
 candidates of each kind; their format and context are the features, and agreement with a base
 span of the kind is the label to learn from, so the trees pick up what personal data looks like
 without the checks (checksums, prefixes, ranges). Candidates above the threshold that touch no
-base span are added. Only built-in functions run, and no text leaves its row.
+base span are added. Only built-in functions run, and no text leaves its row. Repeated rows have one
+result each, null ids are rows like others, null texts count as empty, and an empty table gives an empty result.
 """
 
 from __future__ import annotations
