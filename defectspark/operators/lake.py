@@ -10,29 +10,46 @@ from pyspark.sql import functions as F
 from defectspark.functions import text as X
 
 
+_ROWS_PER_TASK = 250_000
+_FEW_CATEGORIES = 100_000
+_SALTS = 16
+
+
 def mask_manifest(
-    images: DataFrame, annotations: DataFrame, categories: DataFrame, keys: Sequence[str]
+    images: DataFrame, annotations: DataFrame, categories: DataFrame, keys: Sequence[str], partitions: int | None = None
 ) -> DataFrame:
     """One row per image: sorted distinct category names, region counts, defect flag.
 
     Ignored annotations count as regions but add no name; images without annotations
     stay, as normals. Unnamed categories appear as ``cat_<id>``.
+
+    Images and annotations meet by image in ``partitions`` parts; by default they are counted, so that a task
+    holds as much of a large table as of a small one. A table of categories that is not small is joined
+    over copies of it, as a few categories hold most annotations.
     """
+    n = partitions or max(images.count(), annotations.count()) // _ROWS_PER_TASK + 1
     on_category = [c for c in categories.columns if c != "category_name"]
-    named = annotations.join(categories, on_category, "left").withColumn(
-        "name", F.coalesce("category_name", F.concat(F.lit("cat_"), F.col("category_id").cast("string")))
-    )
     used = F.coalesce(F.col("ignore"), F.lit(0)) != 1
-    # Two steps, so a hot image is reduced to its few distinct names before names are listed.
-    by_name = named.groupBy(*keys, "name").agg(
+    # A hot image is reduced to its few categories before they are named and listed.
+    own = [c for c in on_category if c not in keys]
+    counted = annotations.repartition(n, *keys).groupBy(*keys, *own).agg(
         F.count(F.lit(1)).alias("n"), F.count_if(used).alias("n_used")
     )
-    per_image = by_name.groupBy(*keys).agg(
-        F.array_sort(F.collect_list(F.when(F.col("n_used") > 0, F.col("name")))).alias("defect_categories"),
+    if categories.limit(_FEW_CATEGORIES + 1).count() <= _FEW_CATEGORIES:
+        joined = counted.join(F.broadcast(categories), on_category, "left")
+    else:
+        copies = categories.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))))
+        salted = counted.withColumn("__salt", F.pmod(F.xxhash64(*keys), F.lit(_SALTS)).cast("int"))
+        sides = [side.repartition(n, *on_category, "__salt") for side in (salted, copies)]
+        joined = sides[0].join(sides[1], [*on_category, "__salt"], "left").repartition(n, *keys)
+    name = F.coalesce("category_name", F.concat(F.lit("cat_"), F.col("category_id").cast("string")))
+    names = F.collect_list(F.when(F.col("n_used") > 0, name))
+    per_image = joined.groupBy(*keys).agg(
+        F.array_sort(F.array_distinct(names)).alias("defect_categories"),
         F.sum("n").alias("num_defect_regions"),
         F.sum("n_used").alias("num_used_regions"),
     )
-    joined = images.join(per_image, list(keys), "left")
+    joined = images.repartition(n, *keys).join(per_image, list(keys), "left")
     zero = F.lit(0).cast("long")
     return joined.select(
         *images.columns,

@@ -437,3 +437,19 @@ def test_configuration_rows(spark):
     assert {(r["class"], r["excluded"]) for r in classes.collect()} == {("a", False), ("b", True)} and templates.count() == 1
     with pytest.raises(ValueError):
         IO.configuration_rows(spark, {"d": {"classes": {"a": {}}, "excluded_classes": ["z"]}})
+
+
+def test_manifest_of_few_categories_spreads_by_image(spark, monkeypatch):
+    """No step gathers all annotations of a category; a large category table gives the same rows."""
+    images = spark.createDataFrame([(i,) for i in [*range(30), None]], "image_id long")
+    rows = [(i % 25, ["a", "b", None][i % 3], int(i % 4 == 0)) for i in range(300)] + [(None, "a", 0)]
+    annotations = spark.createDataFrame(rows, "image_id long, category_id string, ignore int")
+    categories = spark.createDataFrame([("a", "dent"), ("c", "chip")], "category_id string, category_name string")
+    found = L.mask_manifest(images, annotations, categories, ["image_id"])
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(category_id" not in plan
+    got = sorted(map(repr, found.collect()))
+    assert len(got) == 31 and "num_defect_regions=12" in got[0]
+    for partitions in (1, 5):
+        monkeypatch.setattr(L, "_FEW_CATEGORIES", 0)
+        assert sorted(map(repr, L.mask_manifest(images, annotations, categories, ["image_id"], partitions).collect())) == got
