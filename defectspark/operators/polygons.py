@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from defectspark.operators.fill import folded_runs, ring_runs, union_of
+from defectspark.operators.fill import folded_runs, ring_runs, union_of_packed
 from defectspark.operators.masks import compute_once
 
 POINTS_TYPE = "array<struct<x:double,y:double>>"
@@ -97,10 +97,10 @@ def shape_bands(shapes: DataFrame, keys: Sequence[str] = ("image_id",)) -> DataF
     """Union of all shapes of an image: ``band`` of lines and its disjoint ``runs`` as an array.
 
     Shapes meet by image as vertices and are united in the task that fills them. Only what is left of
-    them, one list per image, band and task, is exchanged by image and band and united again.
+    them, one packed list per image, band and task, is exchanged by image and band and united again.
     """
     parts = folded_runs(_ringed(shapes, keys), keys, "__ring").groupBy(*keys, "band").agg(F.collect_list("runs").alias("__parts"))
-    return parts.select(*keys, "band", union_of(F.col("__parts")).alias("runs"))
+    return parts.select(*keys, "band", union_of_packed(F.col("band"), F.col("__parts")).alias("runs"))
 
 
 def shape_masks(shapes: DataFrame, keys: Sequence[str] = ("image_id",)) -> DataFrame:

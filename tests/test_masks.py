@@ -231,3 +231,21 @@ def test_folded_union_equals_the_union_of_shapes(spark):
             assert len(flat) == len(set(flat)) and all(y // 256 == r.band for y, _ in flat) and r.runs == sorted(r.runs)
             got.setdefault(r.image_id, set()).update(flat)
         assert got == want and len({(r.image_id, r.band) for r in bands}) == len(bands)
+
+
+def test_folded_runs_travel_packed(spark):
+    """A run of a small frame takes three bytes, whatever its neighbours are; wide frames come back whole too."""
+    from defectspark.operators import fill
+
+    rows = [(i // 4, "polygon", [(float(i % 64), 3.0), (60.0, float(7 * i % 64)), (9.0, 61.0)], 64, 64) for i in range(80)]
+    df = spark.createDataFrame(rows, "image_id long, shape_type string, points array<struct<x:double,y:double>>, height int, width int")
+    parts = fill.folded_runs(P._ringed(df, ["image_id"]), ["image_id"], "__ring").collect()
+    assert parts and all(len(r.runs.data) == 3 * r.runs.n for r in parts)
+    draw = np.random.default_rng(3)
+    for side in (200, 70_000, 2**31 - 5):
+        x0 = draw.integers(0, side - 9, 900)
+        runs = fill._islands(np.repeat(np.arange(9), 100), draw.integers(0, 3000, 900), x0, x0 + draw.integers(0, 9, 900))
+        band = runs[1] // fill._BAND
+        opens = np.flatnonzero(np.concatenate([[True], (np.diff(runs[0]) != 0) | (np.diff(band) != 0)]))
+        group, *back = fill.unpack_runs(fill.pack_runs(np.diff(np.append(opens, band.size)), *runs[1:]), band[opens])
+        assert all(np.array_equal(a, b) for a, b in zip(runs[1:], back)) and np.array_equal(runs[0], runs[0][opens][group])
