@@ -6,7 +6,7 @@ inclusive ends plus its outline; a two-point shape is a line three pixels wide.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -40,22 +40,28 @@ def _whole_points(points: Column) -> Column:
     )
 
 
+def _once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value computed once, however often it is used: a one-element transform binds it."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
 def _thick_line(points: Column, half: float = 1.0) -> Column:
     """Corners of the band around a two-point line, three pixels wide by default."""
     a, b = F.get(points, 0), F.get(points, 1)
-    dx, dy = b["x"] - a["x"], b["y"] - a["y"]
-    length = F.sqrt(dx * dx + dy * dy)
-    nx = F.when(length > 0, F.round(-dy / length * half)).otherwise(F.lit(0.0))
-    ny = F.when(length > 0, F.round(dx / length * half)).otherwise(F.lit(0.0))
-    corner = lambda p, s: F.struct((p["x"] + s * nx).alias("x"), (p["y"] + s * ny).alias("y"))
-    return F.array(corner(a, 1), corner(b, 1), corner(b, -1), corner(a, -1))
+    corner = lambda p, n, s: F.struct((p["x"] + s * n["x"]).alias("x"), (p["y"] + s * n["y"]).alias("y"))
+    step = F.struct((b["x"] - a["x"]).alias("x"), (b["y"] - a["y"]).alias("y"))
+
+    def across(d: Column, length: Column) -> Column:
+        side = lambda along: F.when(length > 0, F.round(along / length * half)).otherwise(F.lit(0.0))
+        return F.struct(side(-d["y"]).alias("x"), side(d["x"]).alias("y"))
+
+    normal = _once(step, lambda d: _once(F.sqrt(d["x"] * d["x"] + d["y"] * d["y"]), lambda length: across(d, length)))
+    return _once(normal, lambda n: F.array(corner(a, n, 1), corner(b, n, 1), corner(b, n, -1), corner(a, n, -1)))
 
 
 def shape_ring(shape_type: Column, points: Column) -> Column:
     """Ring of whole-pixel vertices that covers a shape; null with too few points."""
-    # The one-element transform binds the cut vertices once for all their uses.
-    bound = F.transform(F.array(_whole_points(points)), lambda whole: _ring_of(shape_type, whole))
-    return F.get(bound, 0)
+    return _once(_whole_points(points), lambda whole: _ring_of(shape_type, whole))
 
 
 def _ring_of(shape_type: Column, whole: Column) -> Column:

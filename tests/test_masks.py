@@ -249,3 +249,11 @@ def test_folded_runs_travel_packed(spark):
         opens = np.flatnonzero(np.concatenate([[True], (np.diff(runs[0]) != 0) | (np.diff(band) != 0)]))
         group, *back = fill.unpack_runs(fill.pack_runs(np.diff(np.append(opens, band.size)), *runs[1:]), band[opens])
         assert all(np.array_equal(a, b) for a, b in zip(runs[1:], back)) and np.array_equal(runs[0], runs[0][opens][group])
+
+
+def test_line_ring_computes_its_normal_once(spark):
+    df = spark.createDataFrame([([(0.0, 0.0), (8.0, 6.0)],), ([(3.0, 3.0), (3.0, 3.0)],)], "points array<struct<x:double,y:double>>")
+    ring = df.select(P.shape_ring(F.lit("polygon"), F.col("points")).alias("r"))
+    assert ring._jdf.queryExecution().analyzed().toString().count("round(") == 2
+    got = [[(p.x, p.y) for p in r.r] for r in ring.collect()]
+    assert got == [[(-1.0, 1.0), (7.0, 7.0), (9.0, 5.0), (1.0, -1.0)], [(3.0, 3.0)] * 4]
