@@ -20,7 +20,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from defectspark.llm.common import global_rank, store
+from defectspark.llm.common import TEXT_ROWS, give_back, global_rank, store
 
 # What a chunk may be made of to be cut by the pattern below; others go through the tokenizer whole.
 _SIMPLE = "^[\\x{21}-\\x{7e}\\x{c0}-\\x{ff}]+\\z"
@@ -31,7 +31,7 @@ _ODD_BLANK = "[\\x0b\\x0c\\x1c-\\x1f\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\
 _WORD_END = "</w>"
 _TOGETHER = 2000
 _HELD = 300_000
-_SLICE_BYTES = 5_000_000
+_SLICE_BYTES = 2_000_000
 
 
 def _ragged(pool: np.ndarray, offset: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -195,6 +195,9 @@ def pieces(docs: DataFrame, tokenizer: str, length: int = 2048, text: str = "tex
             edges = [0, *(np.flatnonzero(np.diff(slice_no)) + 1).tolist(), len(texts)]
             parts = [_pieces_of(encoder, texts.slice(a, b - a), length, with_ids) for a, b in zip(edges, edges[1:]) if b > a]
             yield pa.concat_arrays(parts) if parts else _pieces_of(encoder, texts, length, with_ids)
+            batch = texts = parts = None  # gone before the next batch comes
+        del encoder
+        give_back()
 
     rest = [c for c in docs.columns if c not in (text, *names)]
     return docs.select(*rest, F.explode(cut(F.col(text))).alias("__p")).select(*rest, *[F.col(f"__p.{n}").alias(n) for n in names])
@@ -322,7 +325,7 @@ def pack(rows: DataFrame, ties: list[str], length: int = 2048) -> DataFrame:
     ``ties`` fixes the order of pieces of one length; rows that agree on all of it are
     interchangeable. An empty table gives an empty result. No piece is cut or dropped.
     """
-    rows = store(rows, "packing-pieces")  # ranging reads its input twice; tokens are made once
+    rows = store(rows, "packing-pieces", TEXT_ROWS)  # ranging reads its input twice; tokens are made once
     ranked = global_rank(rows, ["length", *ties], "__rank", "packing")
     counts = np.zeros(length + 1, dtype=np.int64)
     for size, n in ranked.groupBy("length").count().collect():

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from defectspark.llm.boosting import Boosted, calibrated, fit_boosted, fit_isotonic
-from defectspark.llm.common import store
+from defectspark.llm.common import give_back, store
 
 FEATURES = ["lex_rate", "lex_count", "lex_kinds", "near_you", "obfuscated", "upper_rate", "shout_rate", "mark_rate", "mask_rate"]
 _SCHEMA = "struct<" + ",".join(f"{f}:double" for f in FEATURES) + ">"
@@ -127,10 +127,13 @@ def with_features(docs: DataFrame, lexicon: list[str], text: str = "text", out:
     """Add the struct of features; null counts as empty text, which has all zeros."""
 
     @F.arrow_udf(_SCHEMA)
-    def features(texts: pa.Array) -> pa.Array:
+    def features(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         words = frozenset(lexicon)
-        rows = np.array([_features(t.as_py(), words) for t in texts]).reshape(len(texts), len(FEATURES))
-        return pa.StructArray.from_arrays([pa.array(c) for c in rows.T], FEATURES)
+        for texts in batches:
+            rows = np.array([_features(t.as_py(), words) for t in texts]).reshape(len(texts), len(FEATURES))
+            yield pa.StructArray.from_arrays([pa.array(c) for c in rows.T], FEATURES)
+            texts = rows = None  # gone before the next batch comes
+        give_back()
 
     return docs.withColumn(out, features(F.col(text)))
 

@@ -6,10 +6,12 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
-from defectspark.llm import jaccard_join, packing, pii, queries
+from defectspark.llm import common, jaccard_join, packing, pii, queries
 from defectspark.llm.common import fold
 from defectspark.llm.components import components
 
@@ -237,3 +239,41 @@ def test_rows_of_one_key_meet_only_equal_texts(spark, monkeypatch):
     assert cut == [60]
     assert Counter((r["doc_id"], r["class_id"], r["n_links"]) for r in rows) == classes(texts)
     assert sum(r["first"] for r in rows) == 220
+
+
+def test_text_steps_send_few_rows_at_a_time(spark):
+    """A stored step may ask for small batches; the session's own size holds before and after, also where the step fails."""
+    size = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+    @F.pandas_udf("int")
+    def together(x: pd.Series) -> pd.Series:
+        return pd.Series(len(x), index=x.index)
+
+    @F.pandas_udf("int")
+    def fails(x: pd.Series) -> pd.Series:
+        raise ValueError("no")
+
+    old, rows = spark.conf.get(size), spark.range(0, 3000, 1, 1)
+    assert common.store(rows.select(together("id").alias("n")), "few", 500).agg(F.max("n")).first()[0] == 500
+    assert common.store(rows.select(together("id").alias("n")), "all").agg(F.max("n")).first()[0] == min(int(old), 3000)
+    with pytest.raises(Exception, match="no"):
+        common.store(rows.select(fails("id")), "none", 500)
+    assert spark.conf.get(size) == old
+
+
+def test_workers_give_memory_back(spark):
+    """After its last batch a packing task leaves little in its worker, which waits beside those of other stages."""
+    draw = np.random.RandomState(3)
+    texts = [" ".join(f"w{x:x}q" for x in draw.randint(0, 10**9, 400)) for _ in range(800)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string").coalesce(1)
+
+    @F.pandas_udf("long")
+    def held(x: pd.Series) -> pd.Series:
+        with open("/proc/self/smaps_rollup") as f:
+            return pd.Series(sum(int(line.split()[1]) for line in f if line.startswith("Anonymous:")) // 1024, index=x.index)
+
+    rest = lambda: max(r[0] for r in spark.range(0, 64, 1, 16).select(held("id")).collect())
+    before = rest()
+    packing.pieces(docs, packing.tokenizer_path()).agg(F.sum("length")).collect()
+    after = rest()
+    assert after - before < 60, (before, after)
